@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import bpe, cooccurrence, packing
+from quarrymill.llm import addresses, bpe, catalog_match, cooccurrence, packing
 from quarrymill.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,21 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in containers of 2,048 tokens."""
     return packing.pack(bpe.token_counts(table(spark, sf_dir, "documents")), 2048)
+
+
+@query()
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog term every keyword means, or -1."""
+    return catalog_match.match_catalog(table(spark, sf_dir, "keywords"), table(spark, sf_dir, "terms"))
+
+
+@query()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of address records of the same place."""
+    return addresses.same_place(table(spark, sf_dir, "addresses"))
+
+
+@query()
+def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place every address record denotes."""
+    return addresses.places(table(spark, sf_dir, "addresses"))
