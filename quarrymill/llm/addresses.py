@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.catalog_match import edit_distance
+from quarrymill.llm.catalog_match import flattened
 from quarrymill.llm.lookalikes import fold_lookalikes
 from quarrymill.tables import staged
 
@@ -51,7 +51,7 @@ def plain(s: str) -> str:
 
 def street_form(s: str) -> str:
     """Street without blanks, dots and hyphens, its type in one spelling."""
-    words = regex.sub(r"[^\p{L}\p{N}]+", " ", plain(s)).split()
+    words = flattened(regex.sub(r"[^\p{L}\p{N}]+", " ", plain(s))).split()
     if not words:
         return ""
     if words[-1] in STREET_TYPES:
@@ -67,7 +67,7 @@ def street_form(s: str) -> str:
 
 def town_form(s: str) -> str:
     words = regex.sub(rf"^(?:{PLACE_WORDS}\.?\s+)+", "", plain(s))
-    return regex.sub(r"[^\p{L}]+", "", words)
+    return flattened(regex.sub(r"[^\p{L}]+", "", words))
 
 
 def house_number(m: regex.Match) -> tuple[str, str]:
@@ -205,7 +205,10 @@ def places(df: DataFrame) -> DataFrame:
     better = frequent_forms(streets, [], "street", 4)
     fixed = settled.join(better, "street", "left").withColumn("street", F.coalesce("better", "street")).drop("better")
     keys = ["town", "number", "suffix"]
-    different = staged(fixed.groupBy(*keys, "street").agg(F.count(F.lit(1)).alias("n")), "different")
+    # the address written most often in its house, then the street known best, names the place
+    known = fixed.groupBy("street").agg(F.count(F.lit(1)).alias("all"))
+    different = fixed.groupBy(*keys, "street").agg(F.count(F.lit(1)).alias("here")).join(known, "street")
+    different = staged(different.select(*keys, "street", (F.shiftleft("here", 32) + F.least("all", F.lit((1 << 32) - 1))).alias("n")), "different")
     wide = staged(_expanded(different, keys, "street"), "expanded")
     top = wide.groupBy("hash").agg(F.max(F.struct("n", "street")).alias("top"))
     joined = wide.join(top.select("hash", F.col("top.n").alias("top_n"), F.col("top.street").alias("better")), "hash").filter((F.col("better") != F.col("street")) & _close("street", "better"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import addresses, bpe, catalog_match, cooccurrence, packing
+from quarrymill.llm import addresses, bpe, catalog_match, cooccurrence, packing, sentences
 from quarrymill.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place every address record denotes."""
     return addresses.places(table(spark, sf_dir, "addresses"))
+
+
+@query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all documents that are no scans."""
+    documents = table(spark, sf_dir, "documents").filter(F.col("origin") != "scan")
+    return sentences.split_sentences(documents).select("doc_id", "start_pos", "end_pos").distinct()
