@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import addresses, bpe, catalog_match, cooccurrence, packing, sentences
+from quarrymill.llm import addresses, bpe, catalog_match, cooccurrence, packing, scans, sentences
 from quarrymill.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of all documents that are no scans."""
     documents = table(spark, sf_dir, "documents").filter(F.col("origin") != "scan")
     return sentences.split_sentences(documents).select("doc_id", "start_pos", "end_pos").distinct()
+
+
+@query()
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of scans that are furniture, end in a cut word, or hold misread words."""
+    return scans.line_findings(table(spark, sf_dir, "documents"))
+
+
+@query()
+def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans as continuous paragraphs."""
+    return scans.repaired_text(table(spark, sf_dir, "documents"))
