@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import unicodedata
-from functools import cache
+import regex
 
 # Cyrillic and Greek letters with a Latin lookalike.
 LOOKALIKE = str.maketrans(
@@ -12,23 +11,13 @@ LOOKALIKE = str.maketrans(
 )
 
 
-@cache
-def script(c: str) -> str:
-    """First word of a letter's Unicode name: LATIN, CYRILLIC, GREEK, ..."""
-    return unicodedata.name(c, "").partition(" ")[0] if c.isalpha() else ""
+_MIXED = regex.compile(r"[\p{L}\p{M}]*[\p{Cyrillic}\p{Greek}][\p{L}\p{M}]*")
+_FOREIGN = regex.compile("[\u0370-\u03ff\u0400-\u052f]")
+_LATIN = regex.compile(r"\p{Latin}")
 
 
 def fold_lookalikes(s: str) -> str:
     """Replace lookalikes one by one in words that also hold Latin letters; length stays."""
-    if s.isascii():
+    if s.isascii() or not _FOREIGN.search(s):
         return s
-    out, start = list(s), 0
-    while start < len(s):
-        end = start
-        while end < len(s) and (s[end].isalpha() or unicodedata.category(s[end]) == "Mn"):
-            end += 1
-        word = s[start:end]
-        if word and not word.isascii() and any(script(c) == "LATIN" for c in word):
-            out[start:end] = word.translate(LOOKALIKE)
-        start = max(end, start + 1)
-    return "".join(out)
+    return _MIXED.sub(lambda m: m.group().translate(LOOKALIKE) if _LATIN.search(m.group()) else m.group(), s)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import addresses, bpe, catalog_match, cooccurrence, packing, scans, sentences
+from quarrymill.llm import addresses, bpe, catalog_match, cooccurrence, packing, personal, scans, sentences
 from quarrymill.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scans as continuous paragraphs."""
     return scans.repaired_text(table(spark, sf_dir, "documents"))
+
+
+@query()
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Email addresses, phone and identity numbers, street addresses and names in all documents."""
+    return personal.find_personal(table(spark, sf_dir, "documents"))
+
+
+@query()
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with typed placeholders."""
+    return personal.redact(table(spark, sf_dir, "documents"))

@@ -94,6 +94,7 @@ FIRMS: list[tuple[bool, str, str]] = [
     (JOIN, r"(?<![\p{L}\p{N}])Ltd\.", r"\s*(?:&|and\b|Sons)"),
 ]
 LATIN: list[tuple[bool, str, str]] = [
+    (JOIN, r"(?i:str|pl|all|av|bd|rd)\.", r"\s*(?:\d|(?:Nr|No|Haus)\b)"),
     (BREAK, r"\d{1,2}\.\s?\d{1,2}\.\s?\d{2,4}\.", r"\s"),
     # ordinals and days of German dates
     (JOIN, r"(?<![\p{L}\p{N}.,/])\d{1,2}\.", rf"\s+(?:{MONTHS})(?![\p{{Ll}}])"),
