@@ -46,6 +46,14 @@ _SPACED = regex.compile(r"(?<!\S)(?:[\p{L}\p{N}!|] ){3,}[\p{L}\p{N}!|](?=[.,;:!?
 _SPLIT = regex.compile(r"[\s–—/„“”\"«»‚‘()\[\]{}<>,;:…]+|(?<=\p{L})[-‐‑](?=\p{L})")
 
 
+_BEGINS = regex.compile(r"[\p{Lu}\dlI\[(-]")
+_FIGURES = regex.compile(r"[\d.,\s%]+$")
+_TAIL = regex.compile(r"(?<![\p{L}\p{M}\p{N}!|~‐‑-])[\p{L}\p{M}\p{N}!|~]++(?:[-‐‑][\p{L}\p{M}\p{N}]++)*+([-‐‑–\u00ac\u00ad])?$")
+_HEAD = regex.compile(r"\s*([\p{L}\p{M}\p{N}!|~]+)")
+_HAS_LETTER, _LETTER, _LOWER = regex.compile(r"\p{L}"), regex.compile(r"\p{L}"), regex.compile(r"\p{Ll}")
+_LAST_PART = regex.compile(r"[-‐‑]")
+
+
 def words_of(line: str) -> list[str]:
     """Words of a line without punctuation around them; marks inside a word stay."""
     return [w for w in (x.strip(".!?'’*_-‐‑¬­~|").strip() for x in _SPLIT.split(line)) if w]
@@ -61,7 +69,12 @@ def width_of(lines: list[str]) -> int:
 
 
 def _alike(a: str, b: str) -> bool:
-    return a == b or (abs(len(a) - len(b)) <= 3 and SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.85)
+    """Equal but for a few characters; lines that share no word are not compared further."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 3 or set(a.split()).isdisjoint(b.split()):
+        return False
+    return SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.85
 
 
 def furniture(lines: list[str]) -> set[int]:
@@ -86,18 +99,23 @@ def furniture(lines: list[str]) -> set[int]:
         return len(plain[i]) + 1 + len(first) <= width or any(not plain[j] for j in range(i + 1, filled[k]))
 
     def begins(i: int) -> bool:
-        return bool(regex.match(r"[\p{Lu}\dlI\[(-]", plain[i]))
+        return bool(_BEGINS.match(plain[i]))
 
-    alone = [i for i in filled if stands_alone(i) and begins(i) and not regex.match(r"[\d.,\s%]+$", plain[i])]
+    alone = [i for i in filled if stands_alone(i) and begins(i) and not _FIGURES.match(plain[i])]
     bare = {i: _EDGE_NUMBER.sub("", plain[i]).strip() for i in alone}
     groups: list[list[int]] = []
+    equal: dict[str, list[int]] = {}
     for i in alone:
+        if bare[i] in equal:
+            equal[bare[i]].append(i)
+            continue
         for g in groups:
             if _alike(bare[g[0]], bare[i]):
                 g.append(i)
                 break
         else:
             groups.append([i])
+            equal[bare[i]] = groups[-1]
     found = set(numbers)
     repeated = {i for g in groups if len(g) > 1 for i in g}
 
@@ -151,15 +169,16 @@ def scan_lines(text: str) -> list[tuple]:
         j = after.get(i)
         gap = j is not None and (j == i + 1 or any(k in page for k in range(i + 1, j)))
         if gap:
-            tail = regex.search(r"[\p{L}\p{M}\p{N}!|~]+(?:[-‐‑][\p{L}\p{M}\p{N}]+)*([-‐‑–¬­])?$", line)
-            head = regex.match(r"\s*([\p{L}\p{M}\p{N}!|~]+)", lines[j].replace("\f", ""))
-            if tail and head and regex.match(r"\p{L}", head[1]) and regex.search(r"\p{L}", tail[0]):
+            tail = _TAIL.search(line, max(0, len(line) - 80))
+            head = _HEAD.match(lines[j].lstrip("\f"))
+            if tail and head and _LETTER.match(head[1]) and _HAS_LETTER.search(tail[0]):
                 cut = tail[1] or ""
                 word = tail[0][: -len(cut)] if cut else tail[0]
-                left, right = regex.split(r"[-‐‑]", word)[-1] if not cut else word, head[1]
-                if not left or (not cut and not regex.match(r"\p{Ll}", right)):
+                left, right = _LAST_PART.split(word)[-1] if not cut else word, head[1]
+                if not left or (not cut and not _LOWER.match(right)):
                     cut, left, right = "", None, None
-        rows.append((i + 1, False, bool(_SPACED.search(line)), words_of(_SPACED.sub(" ", line)), cut, left, right, len(line) >= width - 2))
+        spaced = bool(_SPACED.search(line))
+        rows.append((i + 1, False, spaced, words_of(_SPACED.sub(" ", line) if spaced else line), cut, left, right, len(line) >= width - 2))
     return rows
 
 
@@ -182,12 +201,10 @@ def is_odd(word: str) -> bool:
 
 def vocabulary(documents: DataFrame) -> DataFrame:
     """``(word, n)`` of words of letters in all texts, without those at line edges of scans."""
-    text = documents.filter(F.col("text").isNotNull())
-    lines = text.select((F.col("origin") == "scan").alias("scan"), F.explode(F.split("text", "\n")).alias("line"))
-    inner = F.when(F.col("scan"), F.regexp_replace("line", r"^\s*\S+|\S+\s*$", "")).otherwise(F.col("line"))
-    words = lines.select(F.explode(F.split(inner, r"[\s–—/„“”\"«»‚‘()\[\]{}<>,;:…‐‑-]+")).alias("w"))
-    words = words.select(F.regexp_replace("w", r"^[.!?'’*_¬­~|]+|[.!?'’*_¬­~|]+$", "").alias("word"))
-    return words.filter(F.col("word").rlike(r"^\p{L}[\p{L}\p{M}'’]*$")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    inner = F.when(F.col("origin") == "scan", F.regexp_replace("text", r"(?m)^\s*\S+|\S+\s*$", " ")).otherwise(F.col("text"))
+    word = r"(?<![\p{L}\p{M}\p{N}|~$@!'’])\p{L}[\p{L}\p{M}'’]*+(?![\p{N}|~$@€£§]|!\p{L})"
+    words = documents.filter(F.col("text").isNotNull()).select(F.explode(F.regexp_extract_all(inner, F.lit(word), F.lit(0))).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _verdicts(words: DataFrame, vocabulary: DataFrame, ratio: int = RATIO) -> DataFrame:
