@@ -28,7 +28,7 @@ from quarrymill.tables import staged
 # Street types with their abbreviations, words before a street name, before a town
 # and before a house number.
 STREET_TYPES = {
-    "strasse": "str", "str": "str", "weg": "weg", "platz": "platz", "pl": "platz", "allee": "allee", "all": "allee", "gasse": "gasse", "g": "g", "ufer": "ufer", "damm": "damm", "ring": "ring",
+    "strasse": "strasse", "str": "strasse", "weg": "weg", "platz": "platz", "pl": "platz", "allee": "allee", "all": "allee", "gasse": "gasse", "g": "g", "ufer": "ufer", "damm": "damm", "ring": "ring",
     "chaussee": "chaussee", "ch": "chaussee", "pfad": "pfad", "steig": "steig", "promenade": "promenade", "prom": "promenade", "markt": "markt", "zeile": "zeile", "stieg": "stieg", "bogen": "bogen", "kai": "kai",
     "street": "street", "st": "street", "road": "road", "rd": "road", "lane": "lane", "ln": "lane", "avenue": "avenue", "av": "avenue", "ave": "avenue", "rue": "rue",
 }
@@ -59,7 +59,7 @@ def street_form(s: str) -> str:
     joined = "".join(words)
     for end in ("strasse", "str"):
         if joined.endswith(end) and len(joined) > len(end):
-            return joined[: -len(end)] + "str"
+            return joined[: -len(end)] + "strasse"
     if regex.search(r"\.\s*$", s) and (m := regex.search(r"(pl|all)$", joined)):
         return joined[: -len(m[1])] + STREET_TYPES[m[1]]
     return joined

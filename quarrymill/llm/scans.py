@@ -62,9 +62,10 @@ def words_of(line: str) -> list[str]:
 def width_of(lines: list[str]) -> int:
     """The width lines were wrapped at: the longest line that others come close to."""
     sizes = sorted((len(x.rstrip()) for x in lines if x.strip()), reverse=True)
-    for i, n in enumerate(sizes):
-        if sum(1 for m in sizes[i + 1 : i + 4] if m >= 0.9 * n) >= min(3, len(sizes) - i - 1):
-            return n
+    for close in (3, 1):
+        for i, n in enumerate(sizes):
+            if sum(1 for m in sizes[i + 1 : i + 1 + close] if m >= 0.9 * n) == close:
+                return n
     return sizes[0] if sizes else 0
 
 
