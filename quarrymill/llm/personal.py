@@ -13,6 +13,7 @@ have no findings; findings of one text do not overlap.
 
 from __future__ import annotations
 
+import bisect
 import unicodedata
 from collections.abc import Iterator
 
@@ -59,11 +60,15 @@ _WORD = r"\p{Lu}(?:\p{Ll}[\p{Ll}\p{M}'’]*(?:\p{Lu}\p{Ll}+)?|\p{Lu}+)(?:-\p{Lu}
 _INITIAL = r"\p{Lu}\."
 _AFTER = r"(?![\p{L}\p{N}@]|-\p{L}|\s(?:School|Schule|Street|Road|Lane|Close|Mews|Square|Avenue|Platz|Weg|Straße|Str\.|Allee|Gasse|Ufer|Damm|Gymnasium|Grundschule|Park|Haus|Halle|Stiftung|College|University)\b)"
 _NAME = regex.compile(
-    rf"(?<![\p{{L}}\p{{N}}\-@])(?:(?P<s1>{_WORD}),\s(?P<g1>{_WORD}|{_INITIAL})(?:\s{_INITIAL})?|(?P<g2>{_WORD}|{_INITIAL})(?:\s{_INITIAL}){{0,2}}(?:\s{PARTICLES}){{0,2}}\s(?P<s2>{_WORD})){_AFTER}"
+    # first a cheap look: a capitalised word before another one
+    rf"(?=\p{{Lu}}[\p{{L}}\p{{M}}.'’\-]*+,?\s(?:{PARTICLES}\s){{0,2}}\p{{Lu}})(?<![\p{{L}}\p{{N}}\-@])(?:(?P<s1>{_WORD}),\s(?P<g1>{_WORD}|{_INITIAL})(?:\s{_INITIAL})?|(?P<g2>{_WORD}|{_INITIAL})(?:\s{_INITIAL}){{0,2}}(?:\s{PARTICLES}){{0,2}}\s(?P<s2>{_WORD})){_AFTER}"
 )
-_TITLE_BEFORE = regex.compile(rf"(?<!\p{{L}})(?:{TITLES})\s+$")
+_TITLE_BEFORE = regex.compile(rf"(?r)(?<!\p{{L}})(?:{TITLES})\s+")
 _CLOSING = regex.compile(rf"(?:^|\n)[^\S\n]*(?:{CLOSINGS})[^\n]{{0,20}}\s*\n\s*(?:(?:gez\.|i\.\s?[AV]\.|Signed:?)\s*)?")
-_SCHOOL_BEFORE = regex.compile(r"(?:[ÉéEe]cole|Schule|School|Platz|Straße|rue|avenue|quai|allée|collège|lycée)\s(?:de\s|du\s|de\sla\s)?$")
+#: Parts of words of which every closing formula holds one.
+_CLOSING_HINTS = ("Grüß", "Gruß", "Hochachtungs", "egards", "incerely", "aithfully", "ruly", "Cordialement", "Salutations", "Bien à")
+_BY_ORDER = regex.compile(r"(?r)(?<!\p{L})[iI]\.\s?")
+_SCHOOL_BEFORE = regex.compile(r"(?r)(?:[ÉéEe]cole|Schule|School|Platz|Straße|rue|avenue|quai|allée|collège|lycée)\s(?:de\s|du\s|de\sla\s)?")
 
 _WS = r"(?:[^\S\n]+|[^\S\n]*\r?\n[^\S\n]*)"
 _SUFFIX = r"(?:\s?(?:bis|ter)\b|\s?[a-zA-Z](?![\p{L}\p{N}]))?"
@@ -73,15 +78,17 @@ _CAP = r"\p{Lu}[\p{L}\p{M}]+"
 #: An address is looked for around its number: the street before it, or after it.
 _STREET_NUMBER = regex.compile(
     rf"(?r)(?<![\p{{L}}\-])(?:(?:{_CAP}[- ])?(?:{_CAP}-)*\p{{Lu}}[\p{{L}}\p{{M}}]*?{TYPES}|(?:{_CAP}(?:-|{_WS})){{1,3}}(?i:{TYPES})|(?:Am|An\s(?:der|den|dem)|Zum|Zur|Im|In\s(?:der|den)|Auf\s(?:dem|der)|Unter\s(?:den|der)|Hinter\s(?:dem|der)|Vor\s(?:dem|der)|Beim|Bei\sder){_WS}(?!(?:{'|'.join(NEVER.split())})\b){_CAP}(?:-\p{{Lu}}\p{{L}}+)*)"
-    rf",?{_WS}(?:(?:Nr|No|Hausnr|Haus)\.?{_WS}?)?$"
+    rf",?{_WS}(?:(?:Nr|No|Hausnr|Haus)\.?{_WS}?)?"
 )
 _AFTER_STREET = regex.compile(rf"{_RANGE}{_TOWN}")
 _NUMBER_STREET = regex.compile(
     rf"\d{{1,4}}(?:\s?[-–]\s?\d{{1,4}})?{_SUFFIX},?{_WS}(?:(?:\p{{Lu}}[\p{{L}}\p{{M}}'’]+{_WS}){{1,3}}{EN_TYPES}(?![\p{{L}}\-])|{FR_TYPES}{_WS}(?:(?:de\sla|de\sl['’]|des|de|du|d['’])\s*)?\p{{Lu}}[\p{{L}}\p{{M}}'’\-]+(?:\s\p{{Lu}}[\p{{L}}\p{{M}}'’\-]+)?){_TOWN}"
 )
+_NUMBER_WORDS = frozenset(("Nr", "No", "Hausnr", "Haus"))
+_STREET_LEADS = frozenset("Am der den dem Zum Zur Im Beim".split())
+_TYPE_ENDS = tuple("straße strasse str str. weg platz pl. allee all. gasse ufer damm ring chaussee pfad steig promenade zeile stieg markt bogen kai".split())
 _HOUSE_NUMBER = regex.compile(r"(?<![\p{L}\d.,/\-–])\d{1,4}(?!\d|[.,]\d)")
 _LEADING_WORD = regex.compile(r"(?:Das|Der|Die|Haus|Grundstück|Anschrift|Adresse|Gebäude|Objekt|Wohnung)\s+(?=\p{Lu})")
-_STREET_HINT = regex.compile(rf"{TYPES}|{FR_TYPES}|{EN_TYPES}|\b(?:Am|An|Zum|Zur|Im|In|Auf|Unter|Hinter|Vor|Beim|Bei)\b", regex.I)
 _EMAIL = regex.compile(r"(?<![\p{L}\d._%+\-@])[\p{L}\d](?:[\p{L}\d._%+\-]*[\p{L}\d_])?@(?:[\p{L}\d](?:[\p{L}\d\-]*[\p{L}\d])?\.)+\p{L}{2,}(?![\p{L}\d@])")
 _S = r"[ \-./‑–]{0,3}\s?"
 _PHONE = [
@@ -98,10 +105,17 @@ _PHONE = [
 _ID_VALUE = r"(?=[A-Z\d .\-/]{0,24}\d)(?:[A-Z]{0,3}\d[A-Z\d]*|[A-Z]{1,3}(?=[\s\-]?\d))(?:[\s\-/][A-Z\d]*\d[A-Z\d]*|[\s\-/][A-Z]{1,2}(?![\p{L}]))*"
 _IDS = [  # labelled values, then formats that need no label
     regex.compile(rf"(?<![\p{{L}}])(?:{ID_LABELS})(?:\s*(?:Nr\.?|No\.?|n°|number|:|ist|lautet|is|est|=))*\s*(?P<id>{_ID_VALUE})(?![\p{{L}}\d])"),
-    regex.compile(r"(?<![\p{L}\d\-/.])(?<!\d )(?P<id>\d{2} ?\d{6} ?[A-Z] ?\d{3}|[A-CEGHJ-PR-TW-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{3}-\d{2}-\d{4}|[12] ?\d{2} ?(?:0[1-9]|1[0-2]) ?\d{2} ?\d{3} ?\d{3} ?\d{2})(?![\p{L}\d]|[\-/. ]\d)"),
+    regex.compile(r"(?=\d\d|\d \d|[A-Z][A-Z] ?\d)(?<![\p{L}\d\-/.])(?<!\d )(?P<id>\d{2} ?\d{6} ?[A-Z] ?\d{3}|[A-CEGHJ-PR-TW-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{3}-\d{2}-\d{4}|[12] ?\d{2} ?(?:0[1-9]|1[0-2]) ?\d{2} ?\d{3} ?\d{3} ?\d{2})(?![\p{L}\d]|[\-/. ]\d)"),
 ]
 
 
+_DIGIT = regex.compile(r"\d")
+#: Parts of words that every label of an identity number holds.
+_ID_HINTS = (
+    "nummer", "usweis", "teuer-", "teuer ", "dNr", "RVNR", "Pass", "pass", "nsurance", "ecurity", "SSN", "NINO", "Tax", "tax ", "dentity", "ID card", "ID number", "ID no", "ID-", "écurité", "fiscal", "identité", "NIR", "ИНН", "СНИЛС", "паспорт", "ersicherungs",
+)
+
+
 class Normal:
     """A normalised text with the source span of every character."""
 
@@ -144,10 +158,12 @@ _DOMAIN = regex.compile(rf"@[\p{{L}}\d\-]+(?:(?:\.|\s*[(\[{{<]\s*{DOT}\s*[)\]}}>
 _DOT = regex.compile(rf"\s*[(\[{{<]\s*{DOT}\s*[)\]}}>]\s*|\s+(?:dot|punkt|point)\s+", regex.I)
 _LOCAL_DOT = regex.compile(rf"(?<=[\p{{L}}\d])\s*[(\[{{<]\s*{DOT}\s*[)\]}}>]\s*(?=[\p{{L}}\d])", regex.I)
 _SPELLED = regex.compile(rf"(?<!\p{{L}})(?:(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))}|\d)(?!\p{{L}})[\s,\-–/]*){{6,}}", regex.I)
-#: Digit words that are rare in other text; a spelled number without any of them is not looked for.
-_TELLING = ("null", "zero", "zéro", "zwei", "zwo", "drei", "vier", "fünf", "sechs", "sieben", "neun", "three", "four", "five", "seven", "nine", "trois", "quatre", "cinq", "huit", "neuf")
+#: Digit words of which a spelled number holds at least two.
+_TELLING = frozenset(DIGIT_WORDS) - {"ein", "un", "oh"}
 _DIGIT_WORD = regex.compile(r"\p{L}+", regex.I)
-_AT_HINT = regex.compile(r"[(\[{<]\s*(?:at|ät|æt|a|@)\s*[)\]}>]|&#64;|&commat;|-at-|_at_|@\s|\s@|\b(?:dot|punkt)\b", regex.I)
+#: Cheap signs of a disguise; texts without any are not searched for it.
+_AT_BRACKETS = ("at)", "at]", "at}", "at>", "at )", "at ]", "at }", "at >", "ät)", "ät]", "ät}", "ät>", "ät )", "ät ]", "æt)", "æt]", "(a)", "[a]", "@)", "@]", "@ )", "@ ]", "robase)", "robase]", "affe)", "affe]", "&#64;", "&commat;", "-at-", "_at_")
+_DOT_WORDS = ("dot", "punkt", "point")
 
 
 def normalise(text: str, scanned: bool = False) -> Normal:
@@ -168,13 +184,13 @@ def normalise(text: str, scanned: bool = False) -> Normal:
         out = rewrite(out, edits)
     if scanned:
         out = rewrite(out, [(m.start(), m.end(), "") for m in _CUT.finditer(out.text)])
-    if _AT_HINT.search(out.text):
+    low = out.text.lower()
+    if any(h in low for h in _AT_BRACKETS) or ("@" in low or " at " in low or " ät " in low) and any(h in low for h in _DOT_WORDS):
         out = rewrite(out, [(m.start(), m.end(), "@") for m in _AT.finditer(out.text)])
         if "@" in out.text:
             out = rewrite(out, [(m.start(), m.end(), ".") for m in _LOCAL_DOT.finditer(out.text)])
             out = rewrite(out, [(m.start(), m.end(), ".") for d in _DOMAIN.finditer(out.text) for m in _DOT.finditer(out.text, d.start(), d.end())])
-    low = out.text.lower()
-    if not any(w in low for w in _TELLING):
+    if len(_TELLING.intersection(low.replace("-", " ").replace(",", " ").split())) < 2:
         return out
     edits = []
     for run in _SPELLED.finditer(out.text):
@@ -184,6 +200,16 @@ def normalise(text: str, scanned: bool = False) -> Normal:
     return rewrite(out, edits)
 
 
+def _may_be_street(words: list[str]) -> bool:
+    """Whether the words before a number end like a street."""
+    if words and words[-1].rstrip(".") in _NUMBER_WORDS:
+        words = words[:-1]
+    if not words:
+        return False
+    last = words[-1].rstrip(",").lower()
+    return last.endswith(_TYPE_ENDS) or len(words) > 1 and words[-2] in _STREET_LEADS
+
+
 def addresses(t: str) -> list[tuple[int, int]]:
     """Spans of street and house number, with postcode and town if they follow."""
     out, end = [], 0
@@ -194,7 +220,7 @@ def addresses(t: str) -> list[tuple[int, int]]:
         before = t[n - 1 : n]
         if before.isspace() or before == ".":
             left = max(end, n - 90)
-            street = _STREET_NUMBER.search(t, left, n)
+            street = _STREET_NUMBER.match(t, left, n) if _may_be_street(t[max(left, n - 60) : n].split()) else None
             if street and (rest := _AFTER_STREET.match(t, n)):
                 a = street.start()
                 while lead := _LEADING_WORD.match(t, a, n):
@@ -208,52 +234,64 @@ def addresses(t: str) -> list[tuple[int, int]]:
     return out
 
 
-def identifiers(norm: Normal) -> list[tuple[int, int, str]]:
-    """Spans in the normalised text of all but names, without overlaps, by certainty of kind."""
-    t, found = norm.text, []
-    taken = np.zeros(len(t) + 1, dtype=bool)
+class Spans:
+    """Taken spans, without overlaps."""
+
+    def __init__(self) -> None:
+        self.found: list[tuple[int, int, str]] = []
+
+    def free(self, a: int, b: int) -> bool:
+        at = bisect.bisect_left(self.found, (a,))
+        return (at == 0 or self.found[at - 1][1] <= a) and (at == len(self.found) or self.found[at][0] >= b)
 
-    def take(a: int, b: int, kind: str) -> None:
-        if b > a and not taken[a:b].any():
-            taken[a:b] = True
-            found.append((a, b, kind))
+    def take(self, a: int, b: int, kind: str) -> None:
+        if b > a and self.free(a, b):
+            bisect.insort(self.found, (a, b, kind))
 
+
+def identifiers(norm: Normal) -> Spans:
+    """Spans in the normalised text of all but names, by certainty of kind."""
+    t, spans = norm.text, Spans()
     if "@" in t:
         for m in _EMAIL.finditer(t):
-            take(m.start(), m.end(), "email")
-    if regex.search(r"\d", t):
-        for p in _IDS:
+            spans.take(m.start(), m.end(), "email")
+    if _DIGIT.search(t):
+        for p in _IDS if any(h in t for h in _ID_HINTS) else _IDS[1:]:
             for m in p.finditer(t):
                 if sum(c.isdigit() for c in m["id"]) >= 5:
-                    take(*m.span("id"), "id_number")
+                    spans.take(*m.span("id"), "id_number")
         for a, b in addresses(t):
-            take(a, b, "address")
+            spans.take(a, b, "address")
         for p in _PHONE:
             for m in p.finditer(t):
                 if 6 <= sum(c.isdigit() for c in m.group()) <= 15:
-                    take(m.start(), m.end(), "phone")
-    return sorted(found)
+                    spans.take(m.start(), m.end(), "phone")
+    return spans
+
+
+def is_french(text: str, lang: str | None) -> bool:
+    """By common words, the declared language deciding ties."""
+    french = sum(text.count(w) for w in (" le ", " la ", " les ", " est ", " une "))
+    other = sum(text.count(w) for w in (" der ", " die ", " und ", " the ", " of "))
+    return french > other or french == other and str(lang).lower().startswith("fr")
 
 
-def name_candidates(norm: Normal, taken: list[tuple[int, int, str]], french: bool) -> list[tuple[int, int, str, str, bool]]:
+def name_candidates(norm: Normal, taken: Spans, french: bool) -> list[tuple[int, int, str, str, bool]]:
     """``(start, end, given, surname, sure?)`` in the normalised text; they may overlap. ``given``
     is '' for an initial; words in title case."""
     t, out = norm.text, []
-    signed = {m.end() for m in _CLOSING.finditer(t)}
-    busy = np.zeros(len(t) + 1, dtype=bool)
-    for a, b, _ in taken:
-        busy[a:b] = True
+    signed = {m.end() for m in _CLOSING.finditer(t)} if any(w in t for w in _CLOSING_HINTS) else ()
     for m in _NAME.finditer(t, overlapped=True):
         a, b = m.span()
         given, surname = m["g1"] or m["g2"], m["s1"] or m["s2"]
-        if busy[a:b].any() or given in NOT_NAMES or surname in NOT_NAMES:
+        if given in NOT_NAMES or surname in NOT_NAMES or not taken.free(a, b):
             continue
-        before = t[max(0, a - 24) : a]
-        if given.endswith(".") and (regex.search(r"(?<!\p{L})[iI]\.\s?$", before) or (french and given == "M." and m["g2"])):
+        left = max(0, a - 24)
+        if given.endswith(".") and (_BY_ORDER.match(t, left, a) or (french and given == "M." and m["g2"])):
             continue
-        if _SCHOOL_BEFORE.search(before):
+        if _SCHOOL_BEFORE.match(t, left, a):
             continue
-        sure = bool(_TITLE_BEFORE.search(before)) or a in signed and t[b : b + 1] in ("", "\n", "\r")
+        sure = bool(_TITLE_BEFORE.match(t, left, a)) or a in signed and t[b : b + 1] in ("", "\n", "\r")
         out.append((a, b, "" if given.endswith(".") else given.title(), surname.title(), sure))
     return out
 
@@ -273,9 +311,8 @@ def _found(documents: DataFrame, id_col: str, text_col: str, lang_col: str | Non
             for doc, text, lang, scan in zip(b["doc_id"], b["text"], b["lang"], b["scanned"], strict=True):
                 norm = normalise(text, bool(scan))
                 known = identifiers(norm)
-                rows += [(doc, *norm.source(s, e), kind, None, None, True) for s, e, kind in known]
-                french = str(lang).lower().startswith("fr") or len(regex.findall(r"\b(?:le|la|les|est|une|des)\b", norm.text[:4000])) > 2 * len(regex.findall(r"\b(?:der|die|und|the|of|and)\b", norm.text[:4000]))
-                rows += [(doc, *norm.source(s, e), "name", g, n, sure) for s, e, g, n, sure in name_candidates(norm, known, french)]
+                rows += [(doc, *norm.source(s, e), kind, None, None, True) for s, e, kind in known.found]
+                rows += [(doc, *norm.source(s, e), "name", g, n, sure) for s, e, g, n, sure in name_candidates(norm, known, is_french(norm.text, lang))]
             yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos", "kind", "given", "surname", "sure"])
 
     return staged(source.mapInPandas(find, "doc_id long, start_pos long, end_pos long, kind string, given string, surname string, sure boolean"), "found")
