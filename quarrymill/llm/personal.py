@@ -84,6 +84,8 @@ _AFTER_STREET = regex.compile(rf"{_RANGE}{_TOWN}")
 _NUMBER_STREET = regex.compile(
     rf"\d{{1,4}}(?:\s?[-–]\s?\d{{1,4}})?{_SUFFIX},?{_WS}(?:(?:\p{{Lu}}[\p{{L}}\p{{M}}'’]+{_WS}){{1,3}}{EN_TYPES}(?![\p{{L}}\-])|{FR_TYPES}{_WS}(?:(?:de\sla|de\sl['’]|des|de|du|d['’])\s*)?\p{{Lu}}[\p{{L}}\p{{M}}'’\-]+(?:\s\p{{Lu}}[\p{{L}}\p{{M}}'’\-]+)?){_TOWN}"
 )
+#: Parts of which every street type after a number holds one.
+_FOREIGN_STREETS = tuple("Street St. Road Rd Lane Ln Close Mews Avenue Ave Drive Dr. Court Ct Gardens Terrace Square Way Crescent Place Hill Row Walk Grove Parade rue av. avenue bd boulevard chemin place pl. quai allée impasse route cours square passage villa".split())
 _NUMBER_WORDS = frozenset(("Nr", "No", "Hausnr", "Haus"))
 _STREET_LEADS = frozenset("Am der den dem Zum Zur Im Beim".split())
 _TYPE_ENDS = tuple("straße strasse str str. weg platz pl. allee all. gasse ufer damm ring chaussee pfad steig promenade zeile stieg markt bogen kai".split())
@@ -109,6 +111,8 @@ _IDS = [  # labelled values, then formats that need no label
 ]
 
 
+#: Stretches that may hold an identity number without a label.
+_LONG_NUMBER = regex.compile(r"\d(?:[ \-]?[\dA-Z])(?:[ \-]?[\dA-Z]){6,}")
 _DIGIT = regex.compile(r"\d")
 #: Parts of words that every label of an identity number holds.
 _ID_HINTS = (
@@ -149,8 +153,8 @@ def rewrite(base: Normal, edits: list[tuple[int, int, str]]) -> Normal:
     return Normal("".join(parts), np.concatenate(s_parts).astype(np.int64), np.concatenate(e_parts).astype(np.int64))
 
 
-_CHARS = regex.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]+|\p{L}[\u0300-\u036f]+|[\uff01-\uff5e]|(?![0-9])\p{Nd}|[\U0001d400-\U0001d7ff]|[\u00a0\u2000-\u200a\u202f\u205f\u3000]")
-_ODD = regex.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff\u0300-\u036f\uff01-\uff5e\U0001d400-\U0001d7ff\u00a0\u2000-\u200a\u202f\u205f\u3000]|(?![0-9])\p{Nd}")
+_CHARS = regex.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]+|\p{L}[\u0300-\u036f]+|[\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff20\uff0e\uff0b\uff0d\uff3f]|(?![0-9])\p{Nd}|[\U0001d400-\U0001d7ff]|[\u00a0\u2000-\u200a\u202f\u205f\u3000]")
+_ODD = regex.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff\u0300-\u036f\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff20\uff0e\uff0b\uff0d\uff3f\U0001d400-\U0001d7ff\u00a0\u2000-\u200a\u202f\u205f\u3000]|(?![0-9])\p{Nd}")
 _INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff")
 _CUT = regex.compile(r"(?<=\p{L})[-‐‑¬­][^\S\n]*\r?\n\s*(?=\p{Ll})")
 _AT = regex.compile(rf"(?<=[\p{{L}}\d])\s*(?:[(\[{{<]\s*{AT}\s*[)\]}}>]|&#64;|&commat;|-at-|_at_)\s*(?=[\p{{L}}\d])|(?<=[\p{{L}}\d])(?:\s+(?:@|at|ät)\s+|\s+@|@\s+)(?=[\p{{L}}\d\-]+\s*(?:\(|\[|\{{)?\s*(?:dot|punkt|point)\b)", regex.I)
@@ -213,6 +217,7 @@ def _may_be_street(words: list[str]) -> bool:
 def addresses(t: str) -> list[tuple[int, int]]:
     """Spans of street and house number, with postcode and town if they follow."""
     out, end = [], 0
+    foreign = any(w in t for w in _FOREIGN_STREETS)
     for m in _HOUSE_NUMBER.finditer(t):
         if m.start() < end:
             continue
@@ -228,7 +233,7 @@ def addresses(t: str) -> list[tuple[int, int]]:
                 end = rest.end()
                 out.append((a, end))
                 continue
-        if whole := _NUMBER_STREET.match(t, n):
+        if foreign and (whole := _NUMBER_STREET.match(t, n)):
             end = whole.end()
             out.append((n, end))
     return out
@@ -256,10 +261,13 @@ def identifiers(norm: Normal) -> Spans:
         for m in _EMAIL.finditer(t):
             spans.take(m.start(), m.end(), "email")
     if _DIGIT.search(t):
-        for p in _IDS if any(h in t for h in _ID_HINTS) else _IDS[1:]:
-            for m in p.finditer(t):
+        if any(h in t for h in _ID_HINTS):
+            for m in _IDS[0].finditer(t):
                 if sum(c.isdigit() for c in m["id"]) >= 5:
                     spans.take(*m.span("id"), "id_number")
+        for c in _LONG_NUMBER.finditer(t):
+            for m in _IDS[1].finditer(t, max(0, c.start() - 3), min(len(t), c.end() + 3)):
+                spans.take(*m.span("id"), "id_number")
         for a, b in addresses(t):
             spans.take(a, b, "address")
         for p in _PHONE:
