@@ -29,6 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return have
 
 
+#: Folders written by ``staged`` in this process.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all staged tables of this process; results that still read them are lost."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -38,9 +50,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, limit: str = "16m") -> DataFrame:
+    """``df``, with Arrow batches of its session bounded in bytes, so that very long texts do not
+    meet in one batch; a limit that is set already stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = str(df.sparkSession.conf.get(key, None)).rstrip("b")
+    if not digits.isdigit() or int(digits) > 1 << 30:
+        df.sparkSession.conf.set(key, limit)
+    return df
+
+
 def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast only if the counted ``rows`` stay within ``limit``."""
     return F.broadcast(df) if rows <= limit else df
