@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.tables import bounded_batches
+
 TOKENIZERS = os.environ.get("QUARRYMILL_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the published splitting pattern of this family of vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -138,7 +140,7 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0)[part], lists], names=["doc_id", "ids"])
 
-    return source.mapInArrow(encode, "doc_id long, ids array<int>")
+    return bounded_batches(source).mapInArrow(encode, "doc_id long, ids array<int>")
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", directory: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.lookalikes import fold_lookalikes
-from quarrymill.tables import bounded_broadcast, staged
+from quarrymill.tables import bounded_batches, bounded_broadcast, staged
 
 #: Name words are broadcast up to this many rows, shuffled beyond.
 BROADCAST_NAMES = 500_000
@@ -323,7 +323,7 @@ def _found(documents: DataFrame, id_col: str, text_col: str, lang_col: str | Non
                 rows += [(doc, *norm.source(s, e), "name", g, n, sure) for s, e, g, n, sure in name_candidates(norm, known, is_french(norm.text, lang))]
             yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos", "kind", "given", "surname", "sure"])
 
-    return staged(source.mapInPandas(find, "doc_id long, start_pos long, end_pos long, kind string, given string, surname string, sure boolean"), "found")
+    return staged(bounded_batches(source).mapInPandas(find, "doc_id long, start_pos long, end_pos long, kind string, given string, surname string, sure boolean"), "found")
 
 
 def name_lexicon(candidates: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.tables import bounded_broadcast, staged
+from quarrymill.tables import bounded_batches, bounded_broadcast, staged
 
 #: Verdicts on words, and vocabularies, are broadcast up to this many rows, shuffled beyond.
 BROADCAST_WORDS = 500_000
@@ -248,7 +248,7 @@ def _analysed(documents: DataFrame) -> DataFrame:
             rows = [(doc, *r) for doc, text in zip(b["doc_id"], b["text"], strict=True) for r in scan_lines(text)]
             yield pd.DataFrame(rows, columns=["doc_id", "line_no", "page", "spaced", "words", "cut", "left", "right", "full"])
 
-    return staged(scans.mapInPandas(analyse, "doc_id long, line_no long, page boolean, spaced boolean, words array<string>, cut string, left string, right string, full boolean"), "lines")
+    return staged(bounded_batches(scans).mapInPandas(analyse, "doc_id long, line_no long, page boolean, spaced boolean, words array<string>, cut string, left string, right string, full boolean"), "lines")
 
 
 def _splits(lines: DataFrame, vocab: DataFrame, n_vocab: int) -> DataFrame:

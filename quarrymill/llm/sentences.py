@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.tables import bounded_batches
+
 L = r"[\p{L}\p{M}]"
 OPEN = r"[\"'„“”«»‹›‚‘’(\[{「『（〈《【]"
 BREAK, JOIN = True, False
@@ -280,4 +282,4 @@ def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 rows += [(doc, i, s, e, text[s:e]) for i, (s, e) in enumerate(sentence_spans(text, lang if isinstance(lang, str) else None))]
             yield pd.DataFrame(rows, columns=["doc_id", "sent_no", "start_pos", "end_pos", "sentence"])
 
-    return source.mapInPandas(split, "doc_id long, sent_no int, start_pos long, end_pos long, sentence string")
+    return bounded_batches(source).mapInPandas(split, "doc_id long, sent_no int, start_pos long, end_pos long, sentence string")
