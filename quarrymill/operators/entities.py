@@ -101,7 +101,7 @@ def validate_locations(found: DataFrame, places: DataFrame, in_synonyms: bool =
     ``in_synonyms`` one of its synonyms, case ignored."""
     names = places.select(F.lower("name").alias("key"), "id")
     if in_synonyms:
-        names = names.unionByName(places.select(F.lower(F.explode("synonyms")).alias("key"), "id"))
+        names = names.unionByName(places.select(F.explode(F.transform("synonyms", F.lower)).alias("key"), "id"))
     return entity_prefixes(found, min_length).withColumn("key", F.lower("prefix")).join(names.distinct(), "key").select("doc_id", "prefix", "id").distinct()
 
 
@@ -125,7 +125,7 @@ def locations_near(found: DataFrame, places: DataFrame, origin: tuple[float, flo
     near = box.filter(distance_from(F.col("latitude"), F.col("longitude"), origin) <= max_distance_m)
     names = near.select(F.lower("name").alias("key"), "id")
     if in_synonyms:
-        names = names.unionByName(near.select(F.lower(F.explode("synonyms")).alias("key"), "id"))
+        names = names.unionByName(near.select(F.explode(F.transform("synonyms", F.lower)).alias("key"), "id"))
     words = found.select("doc_id", F.explode(F.split("entity", " ")).alias("word")).filter(~F.col("word").rlike(r"\p{Nd}") & (F.length("word") > min_length)).distinct()
     return words.withColumn("key", F.lower("word")).join(names.distinct(), "key").select("doc_id", "word", "id").distinct()
 
