@@ -72,10 +72,11 @@ def match_register(candidates: DataFrame, register: DataFrame) -> DataFrame:
 
 def validate_addresses(found: DataFrame, register: DataFrame, max_streets: int = MAX_STREETS, max_sections: int = MAX_SECTIONS) -> DataFrame:
     """``(doc_id, entity, name, number, suffix, section, feature_id)`` of the register rows that an
-    entity denotes: candidates with at most ``max_streets`` rows; their sections named by an entity
+    entity denotes, read from where a street or section name begins in it: candidates with at most ``max_streets`` rows; their sections named by an entity
     of the document, or the only one; at most ``max_sections`` of them."""
     key = ["doc_id", "entity", "name", "number", "suffix"]
-    met = match_register(address_candidates(found), register)
+    known = register.select(F.col("strnam").alias("name")).unionByName(register.select(F.col("bez_name").alias("name")))
+    met = match_register(address_candidates(containing_names(found, known)), register)
     counted = met.groupBy(*key).agg(F.count("feature_id").alias("n"), F.collect_set("section").alias("sections"), F.collect_set(F.struct("section", "feature_id")).alias("rows"))
     guarded = counted.filter(F.col("n").between(1, max_streets))
     named = found.groupBy("doc_id").agg(F.collect_set("entity").alias("entities"))
