@@ -121,7 +121,11 @@ def pairs_together(tokens: DataFrame, basket: list[str], item: str, min_count: i
         for b in batches:
             for at in range(0, len(b), 20_000):
                 c = b.iloc[at : at + 20_000].copy()
-                c["expected"], c["neg_log10_p"] = null.expected_and_tail(c["n_a"].to_numpy(float), c["n_b"].to_numpy(float), c["n_ab"].to_numpy(float))
+                # equal counts have equal tails, whichever item comes first
+                counts = np.column_stack([np.minimum(c["n_a"], c["n_b"]), np.maximum(c["n_a"], c["n_b"]), c["n_ab"]])
+                kinds, of = np.unique(counts, axis=0, return_inverse=True)
+                expected, tail = null.expected_and_tail(*kinds.astype(float).T)
+                c["expected"], c["neg_log10_p"] = expected[of.ravel()], tail[of.ravel()]
                 yield c
 
     schema = "a long, b long, n_ab long, n_a long, n_b long, lift double, expected double, neg_log10_p double"

@@ -53,10 +53,20 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n_baskets", F.round("lift", 6).alias("lift"))
 
 
+@query(_BASKETS + """
+    SELECT item_a, item_b, n_ab, a.n AS n_a, b.n AS n_b, n_baskets, round(n_ab * n_baskets / (a.n * b.n), 6) AS lift
+    FROM p JOIN n a ON a.item = item_a JOIN n b ON b.item = item_b, total
+""")
+def p3_all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts and lift of all pairs that share a sentence."""
+    pairs = cooccurrence.pairs_together(table(spark, sf_dir, "tagged_tokens"), ["doc_id", "sent_id"], "term", 1)
+    return pairs.select("item_a", "item_b", "n_ab", "n_a", "n_b", "n_baskets", F.round("lift", 6).alias("lift"))
+
+
 @query()
 def p3_surprising(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs whose count under the configuration null is a discovery at a rate of one in a thousand."""
-    pairs = cooccurrence.pairs_together(table(spark, sf_dir, "tagged_tokens"), ["doc_id", "sent_id"], "term", 5)
+    pairs = cooccurrence.pairs_together(table(spark, sf_dir, "tagged_tokens"), ["doc_id", "sent_id"], "term", 1)
     return pairs.filter(F.col("q_value") <= 0.001)
 
 

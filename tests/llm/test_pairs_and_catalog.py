@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from quarrymill.llm import catalog_match, cooccurrence
+from quarrymill.llm import catalog_match, cooccurrence, queries
 from quarrymill.llm.cooccurrence import ConfigurationNull, pairs_together
 
 SCHEMA = "doc_id long, sent_id int, term string, item string, n long"
@@ -88,3 +88,12 @@ def test_edit_distance():
     assert catalog_match.edit_distance("abcd", "abdc", 2) == 1
     assert catalog_match.edit_distance("abcd", "xyzw", 2) == 3
     assert rows is not None
+
+
+def test_registered_pairs_have_no_floor(spark, tmp_path):
+    # "rar" and "selten" share 3 of 2,000 sentences, "rar" and "w0" one
+    words = [(d, 0, f"w{d % 20}") for d in range(2000)] + [(d, 0, f"v{d % 7}") for d in range(2000)] + [(d, 0, t) for d in (0, 21, 42) for t in ("rar", "selten")]
+    spark.createDataFrame(words, "doc_id long, sent_id int, term string").write.parquet(str(tmp_path / "tagged_tokens.parquet"))
+    together = Counter((r["item_a"], r["item_b"]) for r in queries.p3_all_counts(spark, str(tmp_path)).collect())
+    assert set(together) == set(brute(words, 1, 0.0)) and max(together.values()) == 1
+    assert ("rar", "selten") in {(r["item_a"], r["item_b"]) for r in queries.p3_surprising(spark, str(tmp_path)).collect()}
