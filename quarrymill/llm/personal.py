@@ -112,7 +112,7 @@ _IDS = [  # labelled values, then formats that need no label
 
 
 #: Stretches that may hold an identity number without a label.
-_LONG_NUMBER = regex.compile(r"\d(?:[ \-]?[\dA-Z])(?:[ \-]?[\dA-Z]){6,}")
+_LONG_NUMBER = regex.compile(r"\d(?:[ \-]?[\dA-Z]){6,}")
 _DIGIT = regex.compile(r"\d")
 #: Parts of words that every label of an identity number holds.
 _ID_HINTS = (
@@ -153,8 +153,8 @@ def rewrite(base: Normal, edits: list[tuple[int, int, str]]) -> Normal:
     return Normal("".join(parts), np.concatenate(s_parts).astype(np.int64), np.concatenate(e_parts).astype(np.int64))
 
 
-_CHARS = regex.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]+|\p{L}[\u0300-\u036f]+|[\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff20\uff0e\uff0b\uff0d\uff3f]|(?![0-9])\p{Nd}|[\U0001d400-\U0001d7ff]|[\u00a0\u2000-\u200a\u202f\u205f\u3000]")
-_ODD = regex.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff\u0300-\u036f\uff10-\uff19\uff21-\uff3a\uff41-\uff5a\uff20\uff0e\uff0b\uff0d\uff3f\U0001d400-\U0001d7ff\u00a0\u2000-\u200a\u202f\u205f\u3000]|(?![0-9])\p{Nd}")
+_CHARS = regex.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]+|\p{L}[\u0300-\u036f]+|[\uff01-\uff5e]|(?![0-9])\p{Nd}|[\U0001d400-\U0001d7ff]|[\u00a0\u2000-\u200a\u202f\u205f\u3000]")
+_ODD = regex.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff\u0300-\u036f\uff01-\uff5e\U0001d400-\U0001d7ff\u00a0\u2000-\u200a\u202f\u205f\u3000]|(?![0-9])\p{Nd}")
 _INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff")
 _CUT = regex.compile(r"(?<=\p{L})[-‐‑¬­][^\S\n]*\r?\n\s*(?=\p{Ll})")
 _AT = regex.compile(rf"(?<=[\p{{L}}\d])\s*(?:[(\[{{<]\s*{AT}\s*[)\]}}>]|&#64;|&commat;|-at-|_at_)\s*(?=[\p{{L}}\d])|(?<=[\p{{L}}\d])(?:\s+(?:@|at|ät)\s+|\s+@|@\s+)(?=[\p{{L}}\d\-]+\s*(?:\(|\[|\{{)?\s*(?:dot|punkt|point)\b)", regex.I)

@@ -46,6 +46,8 @@ PII = [
     ("Tel. null drei null vier fünf sechs sieben acht neun bitte.", {("phone", "null drei null vier fünf sechs sieben acht neun")}),
     ("Die Werte 14325 7 7 38 0427 99 924223 und 10 @ 5 Punkte, @wer, 12.500 EUR.", set()),
     ("Mail: kаrl@ａb.de über", {("email", "kаrl@ａb.de")}),
+    ("He gave AB 12 34 56 C and CE123456D today.", {("id_number", "AB 12 34 56 C"), ("id_number", "CE123456D")}),
+    ("邮箱 li（at）firma（dot）cn 。", {("email", "li（at）firma（dot）cn")}),
 ]
 
 
