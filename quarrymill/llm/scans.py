@@ -26,6 +26,12 @@ from quarrymill.tables import bounded_batches, bounded_broadcast, staged
 BROADCAST_WORDS = 500_000
 #: A correction must be this many times as frequent as what it corrects.
 RATIO = 3
+#: So many times where the word is not rare, or two readings are undone in it.
+SURE_RATIO = 20
+#: A word is rare up to this share of all words of the vocabulary, five at least.
+RARE_SHARE = 4e-6
+#: A word that is in the vocabulary must be so long for two readings to be undone in it.
+TWICE_LETTERS = 5
 # Marks of a cut word; words after a hyphen that stays; readings of characters.
 HARD, SOFT = "-‐‑–", "¬­"
 SUSPENDED = "und oder bzw sowie bis and or et ou u"
@@ -212,7 +218,8 @@ def _verdicts(words: DataFrame, vocabulary: DataFrame, ratio: int = RATIO) -> Da
     """``(word, right)``: words that are misreadings of much commoner ones."""
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("seen")).join(vocabulary.withColumnRenamed("n", "known"), "word", "left").select("word", F.coalesce("known", F.lit(0)).alias("known"), "seen")
     # a word seen as often as the most frequent could not be outnumbered
-    most = vocabulary.agg(F.max("n")).collect()[0][0] or 0
+    most, total = (x or 0 for x in vocabulary.agg(F.max("n"), F.sum("n")).collect()[0])
+    rare = max(5.0, RARE_SHARE * total)
     suspects = staged(counted.filter((F.length("word") >= 3) & F.col("word").rlike(r"\p{L}") & (F.col("known") * ratio <= most)), "suspects")
 
     def propose(batches: Iterator[pd.DataFrame], twice: bool) -> Iterator[pd.DataFrame]:
@@ -232,12 +239,15 @@ def _verdicts(words: DataFrame, vocabulary: DataFrame, ratio: int = RATIO) -> Da
     def judged(source: DataFrame, twice: bool) -> DataFrame:
         proposed = source.select("word", "known").mapInPandas(lambda it: propose(it, twice), schema)
         met = proposed.join(vocabulary.withColumnRenamed("word", "right"), "right")
-        commoner = F.when(F.col("known") > 5, F.lit(20)).otherwise(F.lit(ratio))
+        commoner = F.lit(SURE_RATIO) if twice else F.when(F.col("known") > rare, F.lit(SURE_RATIO)).otherwise(F.lit(ratio))
         return met.filter((F.col("n") >= commoner * F.col("known")) & (F.col("n") >= 2)).groupBy("word").agg(F.max(F.struct("n", "right")).alias("b")).select("word", F.col("b.right").alias("right"))
 
     once = staged(judged(suspects, False), "once")
-    rest = suspects.filter(F.col("known") == 0).join(once.select("word"), "word", "left_anti")
-    return staged(once.unionByName(judged(rest, True)), "verdicts")
+    # two readings are undone where one gives nothing, or another misreading
+    settled = once.join(once.select(F.col("word").alias("right")), "right", "left_anti")
+    able = (F.col("known") == 0) | (F.length("word") >= TWICE_LETTERS) & (F.col("known") * SURE_RATIO <= most)
+    twice = staged(judged(suspects.filter(able).join(settled.select("word"), "word", "left_anti"), True), "twice")
+    return staged(once.join(twice.select("word"), "word", "left_anti").unionByName(twice), "verdicts")
 
 
 def _analysed(documents: DataFrame) -> DataFrame:

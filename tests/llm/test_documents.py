@@ -99,3 +99,10 @@ def test_addresses(spark):
     want = [(a, b) for g in ((0, 1, 2, 3), (4, 5, 6, 7)) for a in g for b in g if a < b]
     assert got == sorted(want, key=repr)
     assert addresses.same_place(df.limit(0)).count() == 0
+
+
+def test_two_misreadings_of_words_the_vocabulary_has(spark):
+    counts = {"der": 10_000_000, "Bereich": 957, "Bcrcich": 2, "zwischen": 2000, "zwischcn": 36, "zvvischcn": 12, "Rückbauzone": 60, "Rückbanzone": 12, "weil": 6239, "wen": 1}
+    vocabulary = spark.createDataFrame(list(counts.items()), "word string, n long")
+    words = spark.createDataFrame([(w,) for w in counts], "word string")
+    assert rows(scans._verdicts(words, vocabulary)) == [("Bcrcich", "Bereich"), ("Rückbanzone", "Rückbauzone"), ("zvvischcn", "zwischen"), ("zwischcn", "zwischen")]
