@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,23 +23,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """``(query_id, neighbour_id, similarity, rank)``: the ``k`` most similar rows of every query.
-
-    Queries are taken in blocks of fixed size; each block is multiplied with all rows batch by
-    batch, every batch keeps its best ``k``, a window picks the best of these. Ties go to the
-    smaller id; a query is not its own neighbour; null vectors are left out.
-    """
+def _compared(vectors: DataFrame, queries: DataFrame, choose: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], id_col: str, vector_col: str, block: int) -> DataFrame | None:
+    """What ``choose(query ids, own ids, similarities)`` takes of every batch of rows against every
+    block of queries; no rows are of a vector with itself or without length. None without queries."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
     numbered = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, asked.count() // block + 1))))
-    parts = []
+    found = None
     for n in [r["block"] for r in numbered.select("block").distinct().collect()]:
         chunk = numbered.filter(F.col("block") == n).toPandas()
         ids, q = chunk["id"].to_numpy(), np.stack(chunk["v"].to_numpy()).astype(float)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
 
-        def best(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
+        def compare(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if b.empty:
                     continue
@@ -48,21 +44,45 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
                 sims = q @ (m / np.maximum(norm, 1e-300)).T
                 sims[:, norm[:, 0] == 0] = -np.inf
                 sims[ids[:, None] == own[None, :]] = -np.inf
-                rounded = np.round(sims, 6)
-                order = np.lexsort((np.broadcast_to(own, sims.shape), -rounded), axis=1)[:, :k]
-                out = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "neighbour_id": own[order].ravel(), "similarity": np.take_along_axis(rounded, order, 1).ravel()})
-                yield out[np.isfinite(out["similarity"])]
+                yield choose(ids, own, np.round(sims, 6))
+
+        part = rows.mapInPandas(compare, "query_id long, neighbour_id long, similarity double")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """``(query_id, neighbour_id, similarity, rank)``: the ``k`` most similar rows of every query.
+
+    Queries are taken in blocks of fixed size; each block is multiplied with all rows batch by
+    batch, every batch keeps its best ``k``, a window picks the best of these. Ties go to the
+    smaller id; a query is not its own neighbour; null vectors are left out.
+    """
 
-        parts.append(rows.mapInPandas(best, "query_id long, neighbour_id long, similarity double"))
-    if not parts:
+    def best(ids: np.ndarray, own: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, :k]
+        out = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "neighbour_id": own[order].ravel(), "similarity": np.take_along_axis(sims, order, 1).ravel()})
+        return out[np.isfinite(out["similarity"])]
+
+    found = _compared(vectors, queries, best, id_col, vector_col, block)
+    if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, neighbour_id long, similarity double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def similar(vectors: DataFrame, queries: DataFrame, percent: float, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """``(query_id, neighbour_id, similarity)``: every row whose similarity with a query, times
+    100, exceeds ``percent``; compared like ``nearest``."""
+
+    def above(ids: np.ndarray, own: np.ndarray, sims: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero(np.isfinite(sims) & (sims * 100 > percent))
+        return pd.DataFrame({"query_id": ids[i], "neighbour_id": own[j], "similarity": sims[i, j]})
+
+    found = _compared(vectors, queries, above, id_col, vector_col, block)
+    return vectors.sparkSession.createDataFrame([], "query_id long, neighbour_id long, similarity double") if found is None else found
+
+
 def analogy(vectors: DataFrame, plus: list[int], minus: list[int], k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows nearest to the sum of the ``plus`` vectors without the ``minus`` vectors."""
     sign = F.when(F.col(id_col).isin(plus), F.lit(1.0)).otherwise(F.lit(-1.0))

@@ -30,12 +30,12 @@ def with_entries(keywords: DataFrame, catalog: DataFrame, term_col: str = "term"
     return keywords.join(catalog.withColumnRenamed(name_col, term_col), term_col, "left")
 
 
-def filter_by_catalog(keywords: DataFrame, catalog: DataFrame, word_vectors: DataFrame | None = None, similarity: float = SIMILARITY, k: int = 1000) -> DataFrame:
+def filter_by_catalog(keywords: DataFrame, catalog: DataFrame, word_vectors: DataFrame | None = None, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, term, score)``: exact names stay; a keyword whose vector is similar enough to a
     catalog name's gives that name with the keyword's score. Of several scores the lowest stays.
 
     ``word_vectors``: ``(word, vector)``. Catalog names are the queries of a block-wise search over
-    the keywords' words; each name takes its ``k`` most similar words.
+    the keywords' words; each name takes all words that are similar enough.
     """
     exact = known_terms(keywords, catalog).select("doc_id", "term", "score")
     if word_vectors is None:
@@ -43,7 +43,7 @@ def filter_by_catalog(keywords: DataFrame, catalog: DataFrame, word_vectors: Dat
     coded = word_vectors.select("word", "vector", F.xxhash64("word").alias("vec_id"))
     words = coded.join(keywords.select(F.col("term").alias("word")).distinct(), "word", "left_semi")
     names = coded.join(catalog.select(F.col("name").alias("word")).distinct(), "word", "left_semi")
-    found = V.nearest(words, names, k, "vec_id", "vector").filter(F.col("similarity") * 100 > similarity)
+    found = V.similar(words, names, similarity, "vec_id", "vector")
     pairs = found.join(names.select(F.col("vec_id").alias("query_id"), F.col("word").alias("name")), "query_id").join(words.select(F.col("vec_id").alias("neighbour_id"), F.col("word").alias("term")), "neighbour_id")
     alike = keywords.join(pairs.select("term", "name"), "term").select("doc_id", F.col("name").alias("term"), "score")
     return exact.unionByName(alike).groupBy("doc_id", "term").agg(F.min("score").alias("score"))

@@ -306,7 +306,7 @@ def nearest_words(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, {_COS} AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 AND {_COS} * 100 > 25")
 def catalog_similarity(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return V.nearest(e, e.filter(F.col("vec_id") % 100 == 0), 1_000_000).filter(F.col("similarity") * 100 > 25).drop("rank")
+    return V.similar(e, e.filter(F.col("vec_id") % 100 == 0), 25)
 
 
 @query("""WITH t AS (SELECT i, sum(CASE WHEN vec_id IN (0, 1) THEN x ELSE -x END) AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id IN (0, 1, 2)) GROUP BY i), v AS (SELECT list(x ORDER BY i) AS v FROM t)

@@ -87,3 +87,12 @@ def test_line_operators(spark):
 def test_tags(spark):
     t = spark.createDataFrame([(1, 0, i, w) for i, w in enumerate(["Haus", "12", ".", "und", "geht"])], "doc_id long, sent_id int, pos int, term string")
     assert [r["pos_tag"] for r in tok.tag(t).orderBy("pos").collect()] == ["NN", "CARD", "$.", "FUNC", "OTHER"]
+
+
+def test_catalog_takes_all_similar_words(spark):
+    # all 1,500 words are above the limit
+    words = [f"w{i}" for i in range(1500)]
+    vectors = spark.createDataFrame([("name", [1.0, 0.0]), *((w, [1.0, 0.0001 * i]) for i, w in enumerate(words))], "word string, vector array<double>")
+    keywords = spark.createDataFrame([(i, w, 1.0) for i, w in enumerate(words)], "doc_id long, term string, score double")
+    names = spark.createDataFrame([("name",)], "name string")
+    assert catalog.filter_by_catalog(keywords, names, vectors).count() == 1500
