@@ -70,6 +70,36 @@ def test_names(spark):
     assert personal.find_personal(df.limit(0)).count() == 0
 
 
+ALONE = [
+    ("Herr Mueller kam zu spät.", ["Mueller"]), ("Sehr geehrte Frau Dr. Weber,\nbitte", ["Weber"]), ("Mr. Smith left; Mme Dubois aussi.", ["Smith", "Dubois"]), ("Der Herr Bürgermeister und die Frau Präsidentin tagen.", []),
+    ("M. Dupont est venu et la rue est une impasse, les autres non.", ["Dupont"]), ("Herr Dr. Arno Muster sprach.", ["Arno Muster"]), ("Prof. Klein, Dr. Groß", ["Klein", "Groß"]),
+]
+
+
+@pytest.mark.parametrize(("text", "names"), ALONE)
+def test_surname_after_title(text, names):
+    norm = personal.normalise(text)
+    got = [c for c in personal.name_candidates(norm, personal.identifiers(norm), None, personal.landmarks([norm.text])[2][0]) if c[-1]]
+    assert [norm.text[c[0] : c[1]] for c in got] == names
+
+
+def test_three_names(spark):
+    texts = ["Herr Anna Muster kam. Frau Maria Klein kam.", "Herr Maria Klein ging. Frau Anna Klein auch.", "Heute sprach Anna Maria Klein hier. Der Rat Neue Mitte tagt.", "Господин Иван Петрович Смирнов пришёл."]
+    got = {(r["doc_id"], texts[r["doc_id"]][r["start_pos"] : r["end_pos"]]) for r in personal.find_personal(docs(spark, texts)).filter("doc_id >= 2").collect()}
+    assert (2, "Anna Maria Klein") in got and not any("Mitte" in n for _, n in got)
+
+
+def test_landmarks_lose_nothing():
+    """Names and house numbers found from landmarks are those found by trying every place."""
+    texts = ["Am Hof 5, 10001 Au; Schloßstr. 7b.\nAlt-Moabit 3", "", "12 bis, rue de la Gare", "A. B. Muster, Jo (Ada von der Au) x@Y Z", "Straße 12345 und 3.5 Weg 7,5 Allee 8", "14–16 Old Mill Lane"]
+    follow, precede, capitals = personal.landmarks(texts)
+    for t, f, p, c in zip(texts, follow, precede, capitals, strict=True):
+        digits = [i for i in range(len(t)) if t[i].isdigit() and (i == 0 or not t[i - 1].isdigit() and t[i - 1] not in ".,/-–" and not t[i - 1].isalpha())]
+        assert personal.addresses(t, f, p) == personal.addresses(t, [i for i in digits if i and t[i - 1].isspace()], digits)
+        every = [i for i in range(len(t)) if personal._NAME.match(t, i)]
+        assert [i for i in c if personal._NAME.match(t, i)] == [i for i in every if t[i:].split()[0].rstrip(",") not in personal.NOT_NAMES]
+
+
 PAGE = "Umweltbericht Test\nDer Rat prüft heute die lange Straßen-\nplanung und dann prüft er die Planung\nim Umfeld der alten Schule. Die Verwal-\n\n- {} -\n"
 
 
