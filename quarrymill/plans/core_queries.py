@@ -63,3 +63,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per synonym with its place in the field; gazetteer names are the dictionary."""
     places = table(spark, sf_dir, "locations")
     return packed_values.split_packed(places, places.select("name").distinct())
+
+
+@query()
+def p7_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, but values that any field quotes with separators inside keep them in every field."""
+    places = table(spark, sf_dir, "locations")
+    quoted = packed_values.quoted_values(places, "synonyms")
+    return packed_values.split_packed(places, quoted, run=6)
