@@ -4,8 +4,9 @@ Every record is parsed to street, house number with suffix, town and postcode. T
 by postcode (each belongs to the town most of its records name) and by deletion neighbourhoods of
 frequent town names; streets likewise by frequency. Each different address is then expanded into
 its plausible forms - the street as it is and with any one letter left out -, every form is hashed
-with town and house number, and addresses that share a hash are joined; different numbers or
-suffixes never share one. Records of equal parsed addresses are grouped before any expansion.
+with town and house number, and addresses that share any hash are joined; different numbers or
+suffixes never share one. A place is a connected component of that join, so that a chain of
+spellings stays together. Records of equal parsed addresses are grouped before any expansion.
 
 Records without a house number, street, or both town and postcode denote no place. Repeated rows
 of one id count once (the greatest row).
@@ -15,10 +16,11 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.llm.catalog_match import flattened
@@ -40,18 +42,31 @@ _POSTCODE = regex.compile(r"(?<![\p{L}\d])(?:D\s*[-–]?\s*|DE\s*[-–]\s*)?(\d{
 _NUMBER = regex.compile(rf"(?:(?<![\p{{L}}]){NUMBER_WORDS}\s*)?(?<![\d])(\d{{1,4}})(?!\d)\s*(?:([a-z])(?![\p{{L}}]))?(?:\s*(?:-|–|—|‐|‑|/|bis|\+|u\.|und)\s*(\d{{1,4}})(?!\d)\s*(?:([a-z])(?![\p{{L}}]))?|\s*[-–/]\s*([a-z])(?![\p{{L}}]))?", regex.I)
 _TYPE_END = regex.compile(r"(?:strasse|str|weg|platz|pl|allee|all|gasse|ufer|damm|ring|chaussee|pfad|steig|promenade|zeile|street|road|lane|rd|avenue)\.?$")
 _LEAD = regex.compile(rf"^{LEADS}\s")
+_BLANKS, _NO_WORD, _NO_LETTER, _HAS_LETTER = (regex.compile(x) for x in (r"[^\S\n]+", r"[^\p{L}\p{N}]+", r"[^\p{L}]+", r"\p{L}"))
+_DOT_END, _SHORT_TYPE = regex.compile(r"\.\s*$"), regex.compile(r"(pl|all)$")
+_PLACE_WORDS = regex.compile(rf"^(?:{PLACE_WORDS}\.?\s+)+")
+_SEGMENTS = regex.compile(r"[,;()\n|]|\s[-–—]\s(?!\d)|(?<!\d)\s[-–—]\s")
+_AROUND = regex.compile(r"^[\x01\s.:\-–—]+|[\s:\-–—]+$")
 
 
+#: Equal spellings are normalised once; this many are remembered per worker and function.
+REMEMBERED = 50_000
+#: Records of one place are paired in blocks of about this many.
+PAIR_BLOCK = 1_000
+
+
+@lru_cache(REMEMBERED)
 def plain(s: str) -> str:
     """Lower case, lookalikes and widths folded, umlauts written out, one blank at a time."""
     s = fold_lookalikes(unicodedata.normalize("NFKC", s)).lower()
     s = s.replace("ä", "ae").replace("ö", "oe").replace("ü", "ue").replace("ß", "ss").replace("­", "").replace("​", "")
-    return regex.sub(r"[^\S\n]+", " ", s).strip()
+    return _BLANKS.sub(" ", s).strip()
 
 
+@lru_cache(REMEMBERED)
 def street_form(s: str) -> str:
     """Street without blanks, dots and hyphens, its type in one spelling."""
-    words = flattened(regex.sub(r"[^\p{L}\p{N}]+", " ", plain(s))).split()
+    words = flattened(_NO_WORD.sub(" ", plain(s))).split()
     if not words:
         return ""
     if words[-1] in STREET_TYPES:
@@ -60,14 +75,14 @@ def street_form(s: str) -> str:
     for end in ("strasse", "str"):
         if joined.endswith(end) and len(joined) > len(end):
             return joined[: -len(end)] + "strasse"
-    if regex.search(r"\.\s*$", s) and (m := regex.search(r"(pl|all)$", joined)):
+    if _DOT_END.search(s) and (m := _SHORT_TYPE.search(joined)):
         return joined[: -len(m[1])] + STREET_TYPES[m[1]]
     return joined
 
 
+@lru_cache(REMEMBERED)
 def town_form(s: str) -> str:
-    words = regex.sub(rf"^(?:{PLACE_WORDS}\.?\s+)+", "", plain(s))
-    return flattened(regex.sub(r"[^\p{L}]+", "", words))
+    return flattened(_NO_LETTER.sub("", _PLACE_WORDS.sub("", plain(s))))
 
 
 def house_number(m: regex.Match) -> tuple[str, str]:
@@ -94,9 +109,9 @@ def parse_text(text: str) -> tuple[str, str, str, str, str]:
         postcode = m[1]
         s = s[: m.start()] + "\n\x01" + s[m.end() :]
     words: list[tuple[str, bool]] = []
-    for seg in regex.split(r"[,;()\n|]|\s[-–—]\s(?!\d)|(?<!\d)\s[-–—]\s", s):
+    for seg in _SEGMENTS.split(s):
         after_code = seg.startswith("\x01")
-        seg = regex.sub(r"^[\x01\s.:\-–—]+|[\s:\-–—]+$", "", seg)
+        seg = _AROUND.sub("", seg)
         if not seg:
             continue
         m = None
@@ -109,7 +124,7 @@ def parse_text(text: str) -> tuple[str, str, str, str, str]:
             continue
         number, suffix = house_number(m)
         before, after = seg[: m.start()].strip(" -–.:") if seg[: m.start()].strip()[-1:] != "." else seg[: m.start()].strip(), seg[m.end() :].strip(" -–:")
-        if before and not regex.search(r"\p{L}", before):
+        if before and not _HAS_LETTER.search(before):
             before = ""
         if before and after:
             street = street or before
@@ -120,14 +135,14 @@ def parse_text(text: str) -> tuple[str, str, str, str, str]:
             street = street or after
         # a number alone belongs to the street beside it
     for seg, coded in words:
-        if not regex.search(r"\p{L}", seg):
+        if not _HAS_LETTER.search(seg):
             continue
         if not street and _is_street(seg) and not (coded and any(_is_street(w) for w, _ in words if w != seg)):
             street = seg
         elif not town and (coded or street != seg):
             town = seg
-    if not street and number and len([w for w, _ in words if regex.search(r"\p{L}", w)]) == 2:
-        street = next(w for w, _ in words if w != town and regex.search(r"\p{L}", w))
+    if not street and number and len([w for w, _ in words if _HAS_LETTER.search(w)]) == 2:
+        street = next(w for w, _ in words if w != town and _HAS_LETTER.search(w))
     return street_form(street), number, suffix, town_form(town), postcode
 
 
@@ -141,20 +156,15 @@ def parse_fields(strnam: str | None, hausnr: str | None, hausnrz: str | None, be
     return street_form(strnam or ""), number, suffix, town_form(bez_name or ""), code[1] if code else ""
 
 
-def deletions(s: str) -> list[str]:
-    """``s`` and ``s`` without any one letter."""
-    return list(dict.fromkeys([s] + [s[:i] + s[i + 1 :] for i in range(len(s))])) if s else []
+def variants(c: Column) -> Column:
+    """The string and the string without any one letter, each once."""
+    without = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+    return F.array_distinct(F.concat(F.array(c), without))
 
 
 def _expanded(df: DataFrame, keys: list[str], form: str) -> DataFrame:
     """One row per form of ``form``: the hash of the keys with it."""
-    schema = df.select(*keys, form, "n").schema
-
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(variant=[deletions(x) for x in b[form]]).explode("variant")
-
-    wide = df.select(*keys, form, "n").mapInPandas(expand, schema.simpleString()[7:-1] + ",variant:string")
+    wide = df.filter(F.length(form) > 0).select(*keys, form, "n", F.explode(variants(F.col(form))).alias("variant"))
     return wide.select(*keys, form, "n", F.xxhash64(*keys, "variant").alias("hash"))
 
 
@@ -162,28 +172,56 @@ def _close(a, b):  # noqa: ANN001
     return F.levenshtein(F.col(a), F.col(b), 2).between(1, 2)
 
 
-def frequent_forms(df: DataFrame, keys: list[str], form: str, ratio: int) -> DataFrame:
-    """``(keys, form, better)``: forms one or two letters away from one ``ratio`` times as
-    frequent under the same keys. Words of under five letters stay."""
-    wide = staged(_expanded(df.filter(F.length(form) >= 5), keys, form), "variants")
+def frequent_forms(df: DataFrame, form: str, ratio: int) -> DataFrame:
+    """``(form, better)``: forms one or two letters away from one ``ratio`` times as frequent, or
+    from one that is itself so corrected: the most frequent at the end of the chain is taken. Words
+    of under five letters stay."""
+    wide = staged(_expanded(df.filter(F.length(form) >= 5), [], form), "variants")
     # per hash only the most frequent form can correct the others
     top = wide.groupBy("hash").agg(F.max(F.struct("n", form)).alias("top"))
     found = wide.join(top.select("hash", F.col("top.n").alias("top_n"), F.col(f"top.{form}").alias("top_form")), "hash")
     found = found.filter((F.col("top_form") != F.col(form)) & (F.col("top_n") >= F.col("n") * ratio) & _close(form, "top_form"))
-    return found.groupBy(*keys, form).agg(F.max(F.struct("top_n", "top_form")).alias("best")).select(*keys, form, F.col("best.top_form").alias("better"))
-
-
-def places(df: DataFrame) -> DataFrame:
-    """``(address_id, place)``: records of one place share its number; records without are left out."""
+    better = staged(found.groupBy(form).agg(F.max(F.struct("top_n", "top_form")).alias("best")).select(form, F.col("best.top_form").alias("better")), "better")
+    # every step multiplies the frequency, so chains end soon
+    while True:
+        onward = better.select(F.col(form).alias("better"), F.col("better").alias("further"))
+        if better.join(onward.select("better"), "better", "left_semi").isEmpty():
+            return better
+        better = staged(better.join(onward, "better", "left").select(form, F.coalesce("further", "better").alias("better")), "better")
+
+
+def joined_spellings(different: DataFrame, keys: list[str], form: str) -> DataFrame:
+    """``(keys, form, better)`` of forms that share a hash with others under the same keys: the form
+    with the greatest ``n`` of the connected component. A form that is alone gives no row.
+
+    Only hashes of several forms are kept; the greatest form then passes from hash to form and back
+    until nothing changes. No group is gathered: both ways are aggregates."""
+    wide = _expanded(different, keys, form)
+    shared = wide.groupBy("hash").agg(F.min(form).alias("a"), F.max(form).alias("b")).filter("a <> b").select("hash")
+    links = staged(wide.join(shared, "hash", "left_semi"), "links")
+    labels = links.select(*keys, form, F.struct("n", form).alias("label")).distinct()
+    while True:
+        labels = staged(labels, "labels")
+        by_hash = links.join(labels, [*keys, form]).groupBy("hash").agg(F.max("label").alias("label"))
+        passed = links.join(by_hash, "hash").groupBy(*keys, form).agg(F.max("label").alias("label"))
+        passed = staged(passed, "passed")
+        changed = passed.join(labels.withColumnRenamed("label", "old"), [*keys, form]).filter(F.col("label") != F.col("old"))
+        if changed.isEmpty():
+            return labels.select(*keys, form, F.col(f"label.{form}").alias("better"))
+        labels = passed
+
+
+def addressed(df: DataFrame) -> DataFrame:
+    """``(address_id, town, number, suffix, street)``, towns and streets settled."""
     cols = ["strnam", "hausnr", "hausnrz", "bez_name", "plz", "entity_text"]
     records = df.filter(F.col("address_id").isNotNull()).groupBy("address_id").agg(F.max(F.struct(*[F.col(c).cast("string").alias(c) for c in cols])).alias("r")).select("address_id", "r.*")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        field = lambda v: v if isinstance(v, str) else None
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
                 text = r.entity_text if isinstance(r.entity_text, str) else ""
-                field = lambda v: v if isinstance(v, str) else None
                 parsed = parse_text(text) if text.strip() else parse_fields(*map(field, (r.strnam, r.hausnr, r.hausnrz, r.bez_name, r.plz)))
                 rows.append((r.address_id, *parsed))
             yield pd.DataFrame(rows, columns=["address_id", "street", "number", "suffix", "town", "plz"])
@@ -193,7 +231,7 @@ def places(df: DataFrame) -> DataFrame:
 
     # towns: spelling by frequency, then the main town of each postcode
     towns = parsed.filter("town <> ''").groupBy("town").agg(F.count(F.lit(1)).alias("n"))
-    better = frequent_forms(towns, [], "town", 3)
+    better = frequent_forms(towns, "town", 3)
     spelt = parsed.join(better, "town", "left").withColumn("town", F.coalesce("better", "town")).drop("better")
     by_code = spelt.filter("town <> '' AND plz <> ''").groupBy("plz", "town").agg(F.count(F.lit(1)).alias("n")).groupBy("plz").agg(F.max(F.struct("n", "town")).alias("m")).select("plz", F.col("m.town").alias("main"))
     settled = spelt.join(by_code, "plz", "left")
@@ -201,25 +239,38 @@ def places(df: DataFrame) -> DataFrame:
 
     # streets: spelling by frequency over all towns, then within one town and house number
     settled = staged(settled.select("address_id", "street", "number", "suffix", "town"), "settled")
-    streets = settled.groupBy("street").agg(F.count(F.lit(1)).alias("n"))
-    better = frequent_forms(streets, [], "street", 4)
-    fixed = settled.join(better, "street", "left").withColumn("street", F.coalesce("better", "street")).drop("better")
+    better = frequent_forms(settled.groupBy("street").agg(F.count(F.lit(1)).alias("n")), "street", 4)
+    fixed = staged(settled.join(better, "street", "left").withColumn("street", F.coalesce("better", "street")).drop("better"), "fixed")
     keys = ["town", "number", "suffix"]
     # the address written most often in its house, then the street known best, names the place
     known = fixed.groupBy("street").agg(F.count(F.lit(1)).alias("all"))
     different = fixed.groupBy(*keys, "street").agg(F.count(F.lit(1)).alias("here")).join(known, "street")
     different = staged(different.select(*keys, "street", (F.shiftleft("here", 32) + F.least("all", F.lit((1 << 32) - 1))).alias("n")), "different")
-    wide = staged(_expanded(different, keys, "street"), "expanded")
-    top = wide.groupBy("hash").agg(F.max(F.struct("n", "street")).alias("top"))
-    joined = wide.join(top.select("hash", F.col("top.n").alias("top_n"), F.col("top.street").alias("better")), "hash").filter((F.col("better") != F.col("street")) & _close("street", "better"))
-    better = joined.groupBy(*keys, "street").agg(F.max(F.struct("top_n", "better")).alias("b")).select(*keys, "street", F.col("b.better").alias("better"))
-    place = F.xxhash64("town", "number", "suffix", F.coalesce("better", "street"))
-    return fixed.join(better, [*keys, "street"], "left").select("address_id", place.alias("place"))
+    better = joined_spellings(different, keys, "street")
+    return fixed.join(better, [*keys, "street"], "left").select("address_id", *keys, F.coalesce("better", "street").alias("street"))
+
+
+def _sized_places(df: DataFrame) -> DataFrame:
+    """``(address_id, place, n)``, ``n`` being the number of the place's records."""
+    keys = ["town", "number", "suffix", "street"]
+    found = staged(addressed(df), "addressed")
+    named = found.groupBy(*keys).agg(F.min("address_id").alias("place"), F.count(F.lit(1)).alias("n"))
+    return found.join(named, keys).select("address_id", "place", "n")
+
+
+def places(df: DataFrame) -> DataFrame:
+    """``(address_id, place)``: the place is the smallest id of its records; records that denote
+    none are left out. This is the form for places of very many records."""
+    return _sized_places(df).select("address_id", "place")
 
 
 def same_place(df: DataFrame) -> DataFrame:
-    """``(address_id_a, address_id_b)``, a < b: two records of the same place."""
-    found = staged(places(df), "places")
-    a = found.select("place", F.col("address_id").alias("address_id_a"))
-    b = found.select("place", F.col("address_id").alias("address_id_b"))
-    return a.join(b, "place").filter("address_id_a < address_id_b").select("address_id_a", "address_id_b")
+    """``(address_id_a, address_id_b)``, a < b: two records of the same place. The records of a
+    place are paired in blocks, so that no task has a whole large place."""
+    found = staged(_sized_places(df).filter("n > 1"), "places")
+    blocks = F.ceil(F.col("n") / F.lit(PAIR_BLOCK)).cast("int")
+    own = found.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("address_id"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = own.select("place", F.col("address_id").alias("address_id_a"), F.col("own").alias("i"), others.alias("j"))
+    b = own.select("place", F.col("address_id").alias("address_id_b"), F.col("own").alias("j"), others.alias("i"))
+    return a.join(b, ["place", "i", "j"]).filter("address_id_a < address_id_b").select("address_id_a", "address_id_b")

@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from quarrymill.llm import addresses, personal, scans, sentences
 
@@ -136,3 +137,24 @@ def test_two_misreadings_of_words_the_vocabulary_has(spark):
     vocabulary = spark.createDataFrame(list(counts.items()), "word string, n long")
     words = spark.createDataFrame([(w,) for w in counts], "word string")
     assert rows(scans._verdicts(words, vocabulary)) == [("Bcrcich", "Bereich"), ("Rückbanzone", "Rückbauzone"), ("zvvischcn", "zwischen"), ("zwischcn", "zwischen")]
+
+
+def test_chains_of_spellings(spark):
+    """Two letters apart in a chain of three spellings are one place; another number is not."""
+    spelt = ["Abendrotweg"] * 5 + ["Abendrodweg"] * 2 + ["Abemdrodweg"]
+    data = [(i, s, "7", None, "Neudorf", "10001", None, "t", "n") for i, s in enumerate(spelt)] + [(100, "Abendrotweg", "8", None, "Neudorf", "10001", None, "t", "n")]
+    df = spark.createDataFrame(data, ADDRESSES)
+    assert rows(addresses.places(df)) == sorted([(i, 0) for i in range(8)] + [(100, 100)], key=repr)
+    assert addresses.same_place(df).count() == 8 * 7 // 2
+
+
+def test_large_place_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(addresses, "PAIR_BLOCK", 7)
+    df = spark.createDataFrame([(i, "Am Hof", "5", None, "Neudorf", None, None, "t", "n") for i in range(60)], ADDRESSES)
+    got = rows(addresses.same_place(df))
+    assert got == sorted([(a, b) for a in range(60) for b in range(a + 1, 60)], key=repr)
+
+
+def test_variants(spark):
+    df = spark.createDataFrame([("abba",), ("a",)], "s string").select(addresses.variants(F.col("s")).alias("v"))
+    assert [sorted(r["v"]) for r in df.collect()] == [sorted({"abba", "bba", "aba", "abb"}), sorted({"a", ""})]
