@@ -74,7 +74,7 @@ def test_catalog(spark):
 def test_prefix_join_loses_no_similar_pair(spark):
     rng = random.Random(4)
     forms = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(4, 9))) for _ in range(60)})
-    keys = [catalog_match.trigrams(f) for f in forms]
+    keys = [catalog_match.bigrams(f) for f in forms]
     freq = Counter(g for k in keys for g in k)
     order = [sorted(k, key=lambda g: (freq[g], g)) for k in keys]
     t = catalog_match.SIMILARITY
@@ -97,3 +97,50 @@ def test_registered_pairs_have_no_floor(spark, tmp_path):
     together = Counter((r["item_a"], r["item_b"]) for r in queries.p3_all_counts(spark, str(tmp_path)).collect())
     assert set(together) == set(brute(words, 1, 0.0)) and max(together.values()) == 1
     assert ("rar", "selten") in {(r["item_a"], r["item_b"]) for r in queries.p3_surprising(spark, str(tmp_path)).collect()}
+
+
+def test_compound_parts(spark):
+    """The joins give the parts that the definition gives."""
+    forms = {a + b for a in ("wasser", "garten", "verkehrs", "stadt") for b in ("planung", "schutz", "bericht", "konzept")} | {"unplanung", "park", "ab"}
+    after, longer, ends = {}, {}, {}
+    for f in forms:
+        for c in range(3, len(f) - 2):
+            after[f[c:]] = after.get(f[c:], 0) + 1
+    for e, n in after.items():
+        longer[e[1:]] = max(longer.get(e[1:], 0), n)
+    able = {e for e, n in after.items() if n > 2 and longer.get(e, 0) < n}
+    last = {e for e in able if not any(e[c:] in able for c in range(1, len(e) - 2))}
+    for f in forms:
+        for c in range(3, len(f) - 2):
+            ends.setdefault(f[:c], []).append(f[c:] in last)
+    first = {p for p, k in ends.items() if len(k) > 1 and sum(k) >= 0.8 * len(k)}
+    got = catalog_match.compound_parts(spark.createDataFrame([(f,) for f in sorted(forms)], "form string"), "form")
+    assert [{r["part"] for r in g.collect()} for g in got] == [first, last]
+    assert {"bericht", "schutz"} <= last and "wasser" in first
+
+
+def test_similar_forms_against_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("aben") for _ in range(rng.randint(2, 9))) for _ in range(160)})
+    sides = [spark.createDataFrame([(w, catalog_match.bigrams(w)) for w in part], "form string, grams array<string>") for part in (words[:100], words[60:])]
+    want = set()
+    for a in words[:100]:
+        for b in words[60:]:
+            x, y = set(catalog_match.bigrams(a)), set(catalog_match.bigrams(b))
+            if len(x & y) / len(x | y) >= 0.35:
+                want.add((a, b))
+    for block in (50_000, 9):
+        monkeypatch.setattr(catalog_match, "GRAM_BLOCK", block)
+        got = [(r["form"], r["entry_form"]) for r in catalog_match.similar_forms(*sides, 0.35).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_edits_equal_distance(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abeuoenst") for _ in range(rng.randint(4, 14))) for _ in range(120)]
+    pairs = [(a, b, 0.5) for w in words for a, b in [(w, w[:2] + w[3] + w[2] + w[4:]), (w + "en", w), (w.replace("ue", "u"), w), (w[1:], w), (w, words[0])]]
+    df = spark.createDataFrame(sorted(set(pairs)), "form string, entry_form string, jaccard double")
+    got = catalog_match.scored_pairs(df).collect()
+    assert len(got) > 300
+    for r in got:
+        assert r["edits"] == min(catalog_match.distance(r["form"], r["entry_form"]), catalog_match.allowed(len(r["entry_form"])) + 1)
