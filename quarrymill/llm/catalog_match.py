@@ -1,9 +1,9 @@
 """Mapping freely entered values to the entries of a reference list.
 
-A set-similarity join with prefix filter: values and entries become sets of bigrams ordered from
-rare to frequent over both sides; only rare prefixes are joined, hot bigrams in parts; length and
+A set-similarity join with prefix filter: values and entries become sets of trigrams ordered from
+rare to frequent over both sides; only rare prefixes are joined, hot trigrams in parts; length and
 position filters cut the candidates, the Jaccard similarity of the rest is computed exactly. A pair
-comes out at its first common bigram only, so nothing is made distinct afterwards. Of the candidates
+comes out at its first common trigram only, so nothing is made distinct afterwards. Of the candidates
 the closest by edit distance (transpositions count once) is kept if it is near enough and no other
 entry is as near; an abbreviated value stands for the only entry with its beginning; a value that
 is a clean compound of known parts, but no entry, means none. All of it is joins and aggregates,
@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from quarrymill.llm.lookalikes import fold_lookalikes
 from quarrymill.tables import staged
 
-#: Jaccard similarity of bigram sets that a candidate needs. Two wrong letters of eight leave 0.38.
-SIMILARITY = 0.35
+#: Jaccard similarity of trigram sets that a candidate needs: the least that values of two wrong
+#: letters in eight have with what they mean. Bigrams at 0.35 give twice as many candidates.
+SIMILARITY = 0.25
 #: The part of an entry that an abbreviated value must give, and its least letters.
 BEGINNING, BEGINNING_LETTERS = 0.25, 4
-#: A bigram is joined in parts of about this many forms.
+#: A trigram is joined in parts of about this many forms.
 GRAM_BLOCK = 50_000
 NO_ENTRY = -1
 # Words that introduce a keyword, and endings of inflected German words.
@@ -63,11 +64,11 @@ def readings(value: str) -> list[str]:
     return list(dict.fromkeys(f for f in map(normal_form, out) if f))
 
 
-def bigrams(form: str) -> list[str]:
-    """The set of bigrams of the padded form; a repeated one is numbered."""
-    padded, seen, out = f" {form} ", {}, []
-    for i in range(len(padded) - 1):
-        g = padded[i : i + 2]
+def trigrams(form: str) -> list[str]:
+    """The set of trigrams of the padded form; a repeated one is numbered."""
+    padded, seen, out = f"  {form} ", {}, []
+    for i in range(len(padded) - 2):
+        g = padded[i : i + 3]
         seen[g] = seen.get(g, 0) + 1
         out.append(g if seen[g] == 1 else f"{g}{seen[g]}")
     return out
@@ -171,27 +172,30 @@ def compound_parts(entries: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
 
 def similar_forms(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
     """``(form, entry_form, jaccard)`` of all pairs of the ``(form, grams)`` of both sides whose
-    bigram sets are at least so similar, each pair once."""
-    rarity = staged(left.select(F.explode("grams").alias("g")).unionByName(right.select(F.explode("grams").alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("n")), "rarity")
+    trigram sets are at least so similar, each pair once."""
+    grams = left.select(F.explode("grams").alias("g")).unionByName(right.select(F.explode("grams").alias("g")))
+    # numbers that rise from rare to frequent stand for the trigrams
+    rarity = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy("n", "g").select("g", "n", F.monotonically_increasing_id().alias("rank"))
+    rarity = staged(rarity, "rarity")
 
     def prefixes(df: DataFrame, key: str, tag: str) -> DataFrame:
         long = df.select(F.col("form").alias(key), F.explode("grams").alias("g")).join(rarity, "g")
-        sets = long.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("sorted"))
-        size = F.size("sorted")
-        grams = F.transform("sorted", lambda s: s["g"]).alias(f"grams_{tag}")
-        return sets.select(key, grams, size.alias(f"n_{tag}"), F.posexplode(F.slice("sorted", F.lit(1), size - F.ceil(size * similarity - 1e-9).cast("int") + 1)).alias(f"at_{tag}", "gram"))
-
-    parts = F.ceil(F.col("gram.n") / F.lit(GRAM_BLOCK)).cast("int")
-    a = prefixes(left, "form", "a").withColumn("part", F.pmod(F.xxhash64("form"), parts).cast("int"))
-    b = prefixes(right, "entry_form", "b").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    a, b = (x.withColumn("g", F.col("gram.g")).drop("gram") for x in (a, b))
+        sets = long.groupBy(key).agg(F.sort_array(F.collect_list("rank")).alias(f"ranks_{tag}"))
+        size = F.size(f"ranks_{tag}")
+        return sets.select(key, f"ranks_{tag}", size.alias(f"n_{tag}"), F.posexplode(F.slice(f"ranks_{tag}", F.lit(1), size - F.ceil(size * similarity - 1e-9).cast("int") + 1)).alias(f"at_{tag}", "rank"))
+
+    hot = rarity.filter(F.col("n") > GRAM_BLOCK).select("rank", F.ceil(F.col("n") / F.lit(GRAM_BLOCK)).cast("int").alias("parts"))
+    a, b = prefixes(left, "form", "a"), prefixes(right, "entry_form", "b")
+    a, b = (x.join(hot, "rank", "left").withColumn("parts", F.coalesce("parts", F.lit(1))) for x in (a, b))
+    a = a.withColumn("part", F.pmod(F.xxhash64("form"), F.col("parts")).cast("int")).drop("parts")
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     need = F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(similarity / (1 + similarity)) - 1e-9)
     within = (F.col("n_a") >= F.col("n_b") * similarity) & (F.col("n_b") >= F.col("n_a") * similarity)
     reach = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1) >= need
-    first = ~F.arrays_overlap(F.slice("grams_a", F.lit(1), F.col("at_a")), F.slice("grams_b", F.lit(1), F.col("at_b")))
-    common = F.size(F.array_intersect("grams_a", "grams_b"))
-    pairs = a.join(b, ["g", "part"]).filter(within & reach & first)
-    return pairs.select("form", "entry_form", (common / (F.col("n_a") + F.col("n_b") - common)).alias("jaccard")).filter(F.col("jaccard") >= similarity)
+    first = ~F.arrays_overlap(F.slice("ranks_a", F.lit(1), F.col("at_a")), F.slice("ranks_b", F.lit(1), F.col("at_b")))
+    pairs = a.join(b, ["rank", "part"]).filter(within & reach & first)
+    pairs = pairs.select("form", "entry_form", "n_a", "n_b", F.size(F.array_intersect("ranks_a", "ranks_b")).alias("common"))
+    return pairs.select("form", "entry_form", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("jaccard")).filter(F.col("jaccard") >= similarity)
 
 
 def scored_pairs(pairs: DataFrame) -> DataFrame:
@@ -220,7 +224,7 @@ def match_catalog(values: DataFrame, entries: DataFrame, id_col: str = "id", val
 
     def forms(batches: Iterator[pd.DataFrame], all_readings: bool) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(v, f, v.rstrip().endswith((".", "…")), bigrams(f)) for v in b["value"] for f in (readings(v) if all_readings else [normal_form(v)]) if f]
+            rows = [(v, f, v.rstrip().endswith((".", "…")), trigrams(f)) for v in b["value"] for f in (readings(v) if all_readings else [normal_form(v)]) if f]
             yield pd.DataFrame(rows, columns=["value", "form", "cut", "grams"])
 
     schema = "value string, form string, cut boolean, grams array<string>"
