@@ -1,8 +1,9 @@
 """Repair of text extracted from scanned pages.
 
-Page furniture is found per document: lines of page numbers (in any usual form, digits possibly
-misread), and lines at page edges that repeat fuzzily, or stand alone there though the wrapping
-shows that they are no part of a paragraph. Cut words and misread characters are decided by the
+Page furniture is found per document: page numbers (in any usual form, digits possibly misread)
+that rise from page to page, carry a word for page or marks around them, or stand at an edge of the
+text or of a form feed, and lines at page edges that repeat fuzzily, or stand alone there though the wrapping shows
+that they are no part of a paragraph. Numbers one below the other are a column of a table and stay. Cut words and misread characters are decided by the
 vocabulary of the whole corpus: the parts and the joined or corrected form are looked up by joins,
 so neither the texts nor the vocabulary go to one task. Words at line edges of scans, which may be
 fragments, do not count for the vocabulary.
@@ -17,13 +18,14 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.tables import bounded_batches, bounded_broadcast, staged
 
-#: Verdicts on words, and vocabularies, are broadcast up to this many rows, shuffled beyond.
-BROADCAST_WORDS = 500_000
+#: Verdicts on words, and vocabularies, are broadcast up to this many bytes, shuffled beyond; a word
+#: with its count takes about so many.
+BROADCAST_BYTES, WORD_BYTES = 32 << 20, 64
 #: A correction must be this many times as frequent as what it corrects.
 RATIO = 3
 #: So many times where the word is not rare, or two readings are undone in it.
@@ -44,7 +46,14 @@ MISREADINGS = {
 LONGEST_READING = max(map(len, MISREADINGS))
 
 _DIGITS = r"[\dlIOo|SB]"
-_PAGE = regex.compile(rf"(?:(?:Seite|Page|page|S\.|p\.|P\.|Blatt|Bl\.|Pg\.?|Folha|Стр\.)\s*{_DIGITS}{{1,4}}(?:\s*(?:von|of|sur|de|/|из)\s*{_DIGITS}{{1,4}})?|[-–—\[(|•*~=<]*\s*(?=.*(?:\d|\bl\b)){_DIGITS}{{1,4}}\s*[-–—\])|•*~=>]*|{_DIGITS}{{1,4}}\s*(?:/|von|of|sur)\s*{_DIGITS}{{1,4}}|[-–—\[(]*\s*(?=[ivxlcIVXLC])(?:[xX]{{0,3}})(?:[iI][xXvV]|[vV]?[iI]{{0,3}}|[vV]?l{{0,3}})\s*[-–—\])]*)$")
+_PAGE = regex.compile(
+    rf"(?:(?P<label>Seite|Page|page|S\.|p\.|P\.|Blatt|Bl\.|Pg\.?|Folha|Стр\.)\s*(?P<n>{_DIGITS}{{1,4}})(?:\s*(?:von|of|sur|de|/|из)\s*{_DIGITS}{{1,4}})?|[-–—\[(|•*~=<]*\s*(?=.*(?:\d|\bl\b))(?P<n>{_DIGITS}{{1,4}})\s*[-–—\])|•*~=>]*"
+    rf"|(?P<n>{_DIGITS}{{1,4}})\s*(?:/|von|of|sur)\s*{_DIGITS}{{1,4}}|[-–—\[(]*\s*(?=[ivxlcIVXLC])(?P<roman>(?:[xX]{{0,3}})(?:[iI][xXvV]|[vV]?[iI]{{0,3}}|[vV]?l{{0,3}}))\s*[-–—\])]*)$"
+)
+_READ_AS_DIGIT = str.maketrans("lIOo|SB", "1100158")
+_ROMAN = {"i": 1, "l": 1, "v": 5, "x": 10}
+#: Page numbers may rise by so much from one found to one of the next so many.
+PAGE_STEP = 3
 _EDGE_NUMBER = regex.compile(rf"^(?:[-–\[(|]?\s*(?=[\dl]){_DIGITS}{{1,4}}\s*[-–\])|]?\s{{2,}})(?=\p{{L}})|\s{{2,}}[-–\[(|]?\s*(?:(?:Seite|Page|S\.|p\.)\s*)?(?=[\dl]){_DIGITS}{{1,4}}\s*[-–\])|]?$")
 _END = regex.compile(r"[.!?:;,…][\"”“»«’')\]]*$")
 _INNER_END = regex.compile(r"[\p{Ll}\d][.!?]+[”“\")]*\s+\p{Lu}")
@@ -58,11 +67,12 @@ _TAIL = regex.compile(r"(?<![\p{L}\p{M}\p{N}!|~‐‑-])[\p{L}\p{M}\p{N}!|~]++(?
 _HEAD = regex.compile(r"\s*([\p{L}\p{M}\p{N}!|~]+)")
 _HAS_LETTER, _LETTER, _LOWER = regex.compile(r"\p{L}"), regex.compile(r"\p{L}"), regex.compile(r"\p{Ll}")
 _LAST_PART = regex.compile(r"[-‐‑]")
+_AROUND_WORD = ".!?'’*_-‐‑¬\u00ad~|"
 
 
 def words_of(line: str) -> list[str]:
     """Words of a line without punctuation around them; marks inside a word stay."""
-    return [w for w in (x.strip(".!?'’*_-‐‑¬­~|").strip() for x in _SPLIT.split(line)) if w]
+    return [w for w in (x.strip(_AROUND_WORD).strip() for x in _SPLIT.split(line)) if w]
 
 
 def width_of(lines: list[str]) -> int:
@@ -75,15 +85,56 @@ def width_of(lines: list[str]) -> int:
     return sizes[0] if sizes else 0
 
 
-def _alike(a: str, b: str) -> bool:
-    """Equal but for a few characters; lines that share no word are not compared further."""
+def _signature(s: str) -> int:
+    """The set of neighbouring characters of a line as bits."""
+    out = 0
+    for i in range(len(s) - 1):
+        out |= 1 << ((ord(s[i]) * 31 + ord(s[i + 1])) & 255)
+    return out
+
+
+def _alike(a: str, b: str, bits_a: int, bits_b: int) -> bool:
+    """Equal but for a few characters: a similarity of 0.85 at least. A character of ``a`` without
+    a partner takes away two of its neighbourhoods, one of ``b`` one; lines that lack more of each
+    other's are not compared further."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 3 or set(a.split()).isdisjoint(b.split()):
+    both = len(a) + len(b)
+    matched = -(-0.85 * both // 2)
+    if matched > min(len(a), len(b)):
+        return False
+    free_a, free_b = len(a) - matched, len(b) - matched
+    if (bits_a & ~bits_b).bit_count() > 2 * free_a + free_b or (bits_b & ~bits_a).bit_count() > 2 * free_b + free_a:
         return False
     return SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.85
 
 
+def page_value(m: regex.Match) -> int:
+    """The value of a page number, in digits or Roman."""
+    if not m["roman"]:
+        return int(m["n"].translate(_READ_AS_DIGIT))
+    parts = [_ROMAN[c] for c in m["roman"].lower()]
+    return sum(-p if p < max(parts[i + 1 :], default=0) else p for i, p in enumerate(parts))
+
+
+def page_numbers(lines: list[str], plain: list[str], filled: list[int]) -> set[int]:
+    """Indices of lines that are page numbers."""
+    seen = [(k, i, m) for k, i in enumerate(filled) if (m := _PAGE.match(plain[i])) and m.end() > m.start()]
+    found, values = set(), [page_value(m) for _, _, m in seen]
+    # numbers in a column have a number above or below; a page number has not
+    places = {k for k, _, _ in seen}
+    single = [k - 1 not in places and k + 1 not in places for k, _, _ in seen]
+    for at, (k, i, m) in enumerate(seen):
+        edge = k in (0, len(filled) - 1) or "\f" in lines[i] or "\f" in lines[filled[k + 1]]
+        bare = plain[i] == (m["n"] or m["roman"])
+        if m["label"] or (edge or not bare) and single[at]:
+            found.add(i)
+        for later in range(at + 1, min(at + 1 + PAGE_STEP, len(seen))):
+            if single[at] and single[later] and 1 <= values[later] - values[at] <= PAGE_STEP:
+                found |= {i, seen[later][1]}
+    return found
+
+
 def furniture(lines: list[str]) -> set[int]:
     """Indices of lines that belong to the page."""
     plain = [x.replace("\f", "").strip() for x in lines]
@@ -92,7 +143,7 @@ def furniture(lines: list[str]) -> set[int]:
         return set()
     width = width_of([x for x in plain if x])
     place = {i: k for k, i in enumerate(filled)}
-    numbers = {i for i in filled if len(plain[i]) <= 24 and _PAGE.match(plain[i])}
+    numbers = page_numbers(lines, plain, filled)
 
     def stands_alone(i: int) -> bool:
         """No final mark, and the next line's first word would have fitted."""
@@ -110,6 +161,7 @@ def furniture(lines: list[str]) -> set[int]:
 
     alone = [i for i in filled if stands_alone(i) and begins(i) and not _FIGURES.match(plain[i])]
     bare = {i: _EDGE_NUMBER.sub("", plain[i]).strip() for i in alone}
+    bits = {x: _signature(x) for x in set(bare.values())}
     groups: list[list[int]] = []
     equal: dict[str, list[int]] = {}
     for i in alone:
@@ -117,7 +169,7 @@ def furniture(lines: list[str]) -> set[int]:
             equal[bare[i]].append(i)
             continue
         for g in groups:
-            if _alike(bare[g[0]], bare[i]):
+            if _alike(bare[g[0]], bare[i], bits[bare[g[0]]], bits[bare[i]]):
                 g.append(i)
                 break
         else:
@@ -149,10 +201,11 @@ def furniture(lines: list[str]) -> set[int]:
         found |= more
     # other copies of a header or footer, however they are placed
     heads = {bare[i] for i in found if i in bare and len(bare[i]) >= 6}
+    longest = max(map(len, heads), default=0) / 0.85 * 1.15
     for i in filled:
-        if i not in found and not _END.search(plain[i]) and len(plain[i]) <= 80:
+        if i not in found and heads and not _END.search(plain[i]):
             own = _EDGE_NUMBER.sub("", plain[i]).strip()
-            if own in heads or any(_alike(own, h) for h in heads if abs(len(own) - len(h)) <= 3):
+            if own in heads or len(own) <= longest and (mine := _signature(own)) and any(_alike(own, h, mine, bits[h]) for h in heads):
                 found.add(i)
     return found
 
@@ -176,7 +229,7 @@ def scan_lines(text: str) -> list[tuple]:
         j = after.get(i)
         gap = j is not None and (j == i + 1 or any(k in page for k in range(i + 1, j)))
         if gap:
-            tail = _TAIL.search(line, max(0, len(line) - 80))
+            tail = _TAIL.search(line, len(line) - len(line.rsplit(None, 1)[-1]))
             head = _HEAD.match(lines[j].lstrip("\f"))
             if tail and head and _LETTER.match(head[1]) and _HAS_LETTER.search(tail[0]):
                 cut = tail[1] or ""
@@ -201,11 +254,6 @@ def corrections(word: str) -> set[str]:
     return out - {word}
 
 
-def is_odd(word: str) -> bool:
-    """Holds digits or marks between letters."""
-    return bool(regex.search(r"\p{L}[^\p{L}\p{M}'’.\-]|[^\p{L}\p{M}'’.\-]\p{L}", word)) and sum(c.isalpha() for c in word) >= 2
-
-
 def vocabulary(documents: DataFrame) -> DataFrame:
     """``(word, n)`` of words of letters in all texts, without those at line edges of scans."""
     inner = F.when(F.col("origin") == "scan", F.regexp_replace("text", r"(?m)^\s*\S+|\S+\s*$", " ")).otherwise(F.col("text"))
@@ -264,21 +312,25 @@ def _analysed(documents: DataFrame) -> DataFrame:
 def _splits(lines: DataFrame, vocab: DataFrame, n_vocab: int) -> DataFrame:
     """``(doc_id, line_no, left, right)`` of lines whose last word goes on in the next line."""
     pairs = lines.filter(F.col("left").isNotNull()).select("doc_id", "line_no", "cut", "left", "right", "full")
-    small = bounded_broadcast(vocab, n_vocab, BROADCAST_WORDS)
-    lookup = lambda df, c, name: df.join(small.select(F.col("word").alias(c), F.col("n").alias(name)), c, "left").withColumn(name, F.coalesce(name, F.lit(0)))
     lower = F.col("right").rlike(r"^\p{Ll}")
     marked = pairs.filter(F.col("cut") != "").withColumn("last", F.regexp_extract("left", r"([^-‐‑]+)$", 1))
     soft = marked.filter(F.col("cut").isin(*SOFT))
     hard = marked.filter(~F.col("cut").isin(*SOFT) & lower & F.col("last").rlike(r"\p{L}$") & (F.length("last") > 1))
+    # all words to be looked up go to the vocabulary in one join
+    hard = hard.select("*", F.lit(True).alias("marked"))
+    bare = pairs.filter((F.col("cut") == "") & lower).select("*", F.col("left").alias("last"), F.lit(False).alias("marked"))
+    asked = staged(hard.unionByName(bare).withColumn("joined", F.concat("last", "right")), "line_breaks")
+    roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("word")) for r in ("joined", "last", "right")]))
+    words = asked.select("doc_id", "line_no", roles.alias("r")).select("doc_id", "line_no", "r.role", "r.word")
+    met = words.join(bounded_broadcast(vocab, n_vocab * WORD_BYTES, BROADCAST_BYTES), "word").groupBy("doc_id", "line_no").agg(*[F.max(F.when(F.col("role") == r, F.col("n"))).alias(f"n_{r}") for r in ("joined", "last", "right")])
+    asked = asked.join(met, ["doc_id", "line_no"], "left").fillna(0, ["n_joined", "n_last", "n_right"])
     # a hyphen stays between two words that are never written as one
-    hard = hard.withColumn("joined", F.concat("last", "right"))
-    hard = lookup(lookup(lookup(hard, "joined", "n_joined"), "last", "n_last"), "right", "n_right")
+    hard = asked.filter("marked")
     suspended = F.lower("right").isin(SUSPENDED.split()) & ((F.col("n_joined") == 0) | (F.col("n_last") > 0))
     hard = hard.filter(~suspended & ((F.col("n_joined") > 0) | (F.col("n_last") == 0) | (F.col("n_right") == 0) | (F.length("last") > 3) & (F.length("right") > 3)))
-    bare = pairs.filter((F.col("cut") == "") & lower).withColumn("joined", F.concat("left", "right"))
-    bare = lookup(lookup(lookup(bare, "right", "n_right"), "left", "n_left"), "joined", "n_joined")
-    broken = (F.col("n_joined") >= 2) & (F.least("n_left", "n_right") * 20 <= F.col("n_joined")) & (F.least("n_left", "n_right") <= 2)
-    unknown = (F.col("n_left") == 0) & (F.col("n_right") == 0) & F.col("full") & F.col("left").rlike(r"^[\p{L}\p{M}]+$") & F.col("right").rlike(r"^[\p{L}\p{M}]+$")
+    bare = asked.filter("NOT marked")
+    broken = (F.col("n_joined") >= 2) & (F.least("n_last", "n_right") * 20 <= F.col("n_joined")) & (F.least("n_last", "n_right") <= 2)
+    unknown = (F.col("n_last") == 0) & (F.col("n_right") == 0) & F.col("full") & F.col("left").rlike(r"^[\p{L}\p{M}]+$") & F.col("right").rlike(r"^[\p{L}\p{M}]+$")
     bare = bare.filter(broken | unknown)
     keep = ["doc_id", "line_no", "left", "right"]
     return soft.select(*keep).unionByName(hard.select(*keep)).unionByName(bare.select(*keep))
@@ -297,8 +349,6 @@ def repair_evidence(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     before = cut_lines.select("doc_id", "line_no", "cuts")
     ends = body.filter(F.col("at") == F.col("size") - 1).join(before, ["doc_id", "line_no"], "left_anti")
     following = lines.filter(~F.col("page")).select("doc_id", "line_no")
-    from pyspark.sql import Window
-
     next_line = F.lead("line_no").over(Window.partitionBy("doc_id").orderBy("line_no"))
     follow = following.withColumn("next_no", next_line).join(splits, ["doc_id", "line_no"])
     starts = body.filter(F.col("at") == 0).join(follow.select("doc_id", F.col("next_no").alias("line_no")), ["doc_id", "line_no"], "left_anti")
@@ -307,7 +357,7 @@ def repair_evidence(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     whole = inner.unionByName(ends.filter(F.col("at") > 0)).unionByName(starts.filter(F.col("size") > 1)).unionByName(single).select("doc_id", "line_no", "word")
     joined = follow.select("doc_id", "line_no", "next_no", F.concat(F.regexp_extract("left", r"([^-‐‑]+)$", 1), "right").alias("word"), F.length(F.regexp_extract("left", r"([^-‐‑]+)$", 1)).alias("n_left"))
     verdicts = _verdicts(whole.select("word").unionByName(joined.select("word")), vocab)
-    small = bounded_broadcast(verdicts.withColumnRenamed("right", "corrected"), verdicts.count(), BROADCAST_WORDS)
+    small = bounded_broadcast(verdicts.withColumnRenamed("right", "corrected"), verdicts.count() * 2 * WORD_BYTES, BROADCAST_BYTES)
     wrong = whole.join(small, "word").select("doc_id", "line_no", "word", F.col("corrected").alias("right"))
     same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("word"), F.length("corrected")))), lambda i: F.substring(F.col("word"), F.lit(1), i) == F.substring(F.col("corrected"), F.lit(1), i)))
     halves = joined.join(small, "word").select("doc_id", F.when(same < F.col("n_left"), F.col("line_no")).otherwise(F.col("next_no")).alias("line_no"), "word", F.col("corrected").alias("right"))
@@ -361,6 +411,18 @@ def rebuilt(text: str, page: set[int], cut: set[int], fixes: dict[str, str]) ->
             out += ("\n\n" if broken else " ") + line
         joined, broken = no in cut, False
     out = _SPACED.sub(lambda m: m.group().replace(" ", ""), out)
-    if fixes:
-        out = regex.sub("|".join(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(w)}(?![\p{{L}}\p{{N}}])" for w in sorted(fixes, key=len, reverse=True)), lambda m: fixes[m.group()], out)
-    return out
+    return _fixed(out, fixes) if fixes else out
+
+
+def _fixed(text: str, fixes: dict[str, str]) -> str:
+    """The text with its words, as ``words_of`` takes them, replaced."""
+    out, at = [], 0
+    for m in [*_SPLIT.finditer(text), None]:
+        end = m.start() if m else len(text)
+        piece = text[at:end]
+        word = piece.strip(_AROUND_WORD).strip()
+        out.append(piece.replace(word, fixes[word], 1) if word in fixes else piece)
+        if m:
+            out.append(m.group())
+            at = m.end()
+    return "".join(out)

@@ -1,5 +1,9 @@
+from difflib import SequenceMatcher
+
 import pytest
 from conftest import rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrymill.llm import addresses, personal, scans, sentences
@@ -116,6 +120,37 @@ def test_scans(spark):
     assert scans.line_findings(df.limit(0)).count() == 0
 
 
+def test_numbers_in_a_column_stay():
+    lines = ["Der Rat prüft die Zahlen der alten Schulen im", "Norden der Stadt und nennt sie je Jahr so:", "1985", "2310", "1986", "2544", "Danach sinkt die Zahl wieder, wie die Tafel", "im Anhang der Begründung ausführlich zeigt.", "1", "2", "3"]
+    assert scans.furniture(lines).isdisjoint(range(2, 11))
+    pages = [x for n in (7, 8, 10) for x in ("Der Rat prüft heute die Planung der Schule,", "und er prüft sie morgen noch einmal genauer", f"{n}")]
+    assert {2, 5, 8} <= scans.furniture([*pages, "weil die Zahl der Kinder in der Stadt wieder"])
+    roman = ["Der Rat prüft heute die Planung der Schule,", "ii", "und er prüft sie morgen noch einmal genauer", "iii", "weil die Zahl der Kinder in der Stadt wieder"]
+    assert {1, 3} <= scans.furniture(roman)
+    assert [scans.page_value(scans._PAGE.match(x)) for x in ("- 3 -", "Seite l2 von 30", "iv", "1O", "5/12")] == [3, 12, 4, 10, 5]
+
+
+def test_header_of_one_word_with_errors():
+    text = "Der Rat prüft heute die lange Planung und dann\nprüft er die Planung im Umfeld der Schule."
+    lines = "\n".join(f"{h}\n{text}\n- {i} -" for i, h in enumerate(("Umweltbericht", "Umweltberlcht", "Umwe1tbericht"), 1)).split("\n")
+    assert {0, 4, 8} <= scans.furniture(lines)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcde ", min_size=8, max_size=30), st.lists(st.tuples(st.integers(0, 30), st.sampled_from(["", "a", "xy"])), max_size=5))
+def test_signature_loses_no_similar_line(a, edits):
+    b = a
+    for i, new in edits:
+        b = b[:i] + new + b[i + 1 :]
+    like = a == b or SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.85
+    assert scans._alike(a, b, scans._signature(a), scans._signature(b)) == like
+
+
+def test_fixes_are_words():
+    fixes = {"P1an": "Plan", "Str@ße": "Straße"}
+    assert scans._fixed("Der P1an, „P1an“ und P1anung; Alte-Str@ße.", fixes) == "Der Plan, „Plan“ und P1anung; Alte-Straße."
+
+
 ADDRESSES = "address_id long, strnam string, hausnr string, hausnrz string, bez_name string, plz string, entity_text string, town string, n string"
 
 
