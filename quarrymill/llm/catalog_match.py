@@ -192,10 +192,12 @@ def similar_forms(left: DataFrame, right: DataFrame, similarity: float) -> DataF
     need = F.ceil((F.col("n_a") + F.col("n_b")) * F.lit(similarity / (1 + similarity)) - 1e-9)
     within = (F.col("n_a") >= F.col("n_b") * similarity) & (F.col("n_b") >= F.col("n_a") * similarity)
     reach = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1) >= need
-    first = ~F.arrays_overlap(F.slice("ranks_a", F.lit(1), F.col("at_a")), F.slice("ranks_b", F.lit(1), F.col("at_b")))
-    pairs = a.join(b, ["rank", "part"]).filter(within & reach & first)
-    pairs = pairs.select("form", "entry_form", "n_a", "n_b", F.size(F.array_intersect("ranks_a", "ranks_b")).alias("common"))
-    return pairs.select("form", "entry_form", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("jaccard")).filter(F.col("jaccard") >= similarity)
+    # of ordered sets the first common member is the rarest: there the pair comes out
+    common = F.array_intersect("ranks_a", "ranks_b")
+    alike = F.size(common) * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    pairs = a.join(b, ["rank", "part"]).filter(within & reach).filter(alike).filter(F.get(common, F.lit(0)) == F.col("rank"))
+    pairs = pairs.select("form", "entry_form", "n_a", "n_b", F.size(common).alias("common"))
+    return pairs.select("form", "entry_form", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("jaccard"))
 
 
 def scored_pairs(pairs: DataFrame) -> DataFrame:
@@ -204,7 +206,8 @@ def scored_pairs(pairs: DataFrame) -> DataFrame:
     so that an entry too far to be meant may still show that a long value is not clear."""
     longest = F.greatest(F.length("form"), F.length("entry_form"))
     most = 3 + longest / 4
-    near = pairs.filter(F.levenshtein("form", "entry_form") <= most)
+    edits = F.when(longest <= 36, F.levenshtein("form", "entry_form", 12)).otherwise(F.levenshtein("form", "entry_form"))
+    near = pairs.filter((edits >= 0) & (edits <= most))
     near = near.withColumn("edits", _plain_distance(F.col("form"), F.col("entry_form")).cast("double")).withColumn("most", (_allowed(F.col("entry_form")) + 1).cast("double"))
 
     def count_swaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
