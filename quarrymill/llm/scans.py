@@ -319,11 +319,13 @@ def _splits(lines: DataFrame, vocab: DataFrame, n_vocab: int) -> DataFrame:
     # all words to be looked up go to the vocabulary in one join
     hard = hard.select("*", F.lit(True).alias("marked"))
     bare = pairs.filter((F.col("cut") == "") & lower).select("*", F.col("left").alias("last"), F.lit(False).alias("marked"))
-    asked = staged(hard.unionByName(bare).withColumn("joined", F.concat("last", "right")), "line_breaks")
+    asked = hard.unionByName(bare).withColumn("joined", F.concat("last", "right"))
+    own = [c for c in asked.columns if c not in ("doc_id", "line_no")]
     roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("word")) for r in ("joined", "last", "right")]))
-    words = asked.select("doc_id", "line_no", roles.alias("r")).select("doc_id", "line_no", "r.role", "r.word")
-    met = words.join(bounded_broadcast(vocab, n_vocab * WORD_BYTES, BROADCAST_BYTES), "word").groupBy("doc_id", "line_no").agg(*[F.max(F.when(F.col("role") == r, F.col("n"))).alias(f"n_{r}") for r in ("joined", "last", "right")])
-    asked = asked.join(met, ["doc_id", "line_no"], "left").fillna(0, ["n_joined", "n_last", "n_right"])
+    words = asked.select("doc_id", "line_no", F.struct(*own).alias("own"), roles.alias("r")).select("doc_id", "line_no", "own", "r.role", "r.word")
+    met = words.join(bounded_broadcast(vocab, n_vocab * WORD_BYTES, BROADCAST_BYTES), "word", "left")
+    counts = [F.coalesce(F.max(F.when(F.col("role") == r, F.col("n"))), F.lit(0)).alias(f"n_{r}") for r in ("joined", "last", "right")]
+    asked = staged(met.groupBy("doc_id", "line_no").agg(F.first("own").alias("own"), *counts).select("doc_id", "line_no", "own.*", "n_joined", "n_last", "n_right"), "line_breaks")
     # a hyphen stays between two words that are never written as one
     hard = asked.filter("marked")
     suspended = F.lower("right").isin(SUSPENDED.split()) & ((F.col("n_joined") == 0) | (F.col("n_last") > 0))
