@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
+
+from quarrymill.operators.entities import ADDRESS
+
+#: Other names of keys; keys are read without regard to case.
+ALIASES = {"result.2.neo4j": "result.to.graph", "result.2.postgresql": "result.to.tables", "geonames.country.code": "gazetteer.country", "geonames.max.rows": "gazetteer.max.rows", "geonames.dump.uri": "gazetteer.dump.uri", "geonames.zip.entry": "gazetteer.zip.entry"}
 
 
 @dataclass(frozen=True)
@@ -27,11 +32,29 @@ class Settings:
     max_section_count: int = 2
     min_named_entity_length: int = 5
     contains_in_synonyms: bool = False
-    origin: tuple[float, float] = field(default=(52.530644, 13.383068))
+    max_newlines: int = 5
+    min_probability: float = 0.95
+    address_regex: str = ADDRESS
+    keyword_analyse: bool = True
+    named_entity_analyse: bool = True
+    result_to_graph: bool = True
+    result_to_tables: bool = True
+    origin_location_name: str = "Berlin"
+    origin_location_latitude: float = 52.530644
+    origin_location_longitude: float = 13.383068
+    gazetteer_country: str = "DE"
+    gazetteer_max_rows: int = 10
+    gazetteer_dump_uri: str = ""
+    gazetteer_zip_entry: str = ""
+
+    @property
+    def origin(self) -> tuple[float, float]:
+        return self.origin_location_latitude, self.origin_location_longitude
 
     @classmethod
     def of(cls, values: dict[str, str], complete: bool = False) -> Settings:
         """From text values under dotted keys; with ``complete`` every key must be there."""
+        values = {ALIASES.get(k.lower(), k.lower()): v for k, v in values.items()}
         known = {f.name.replace("_", "."): f for f in fields(cls)}
         if unknown := set(values) - set(known):
             raise ValueError(f"unknown settings: {sorted(unknown)}")

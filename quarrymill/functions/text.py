@@ -136,14 +136,19 @@ def number_part(c: Column) -> Column:
     return F.trim(F.when(c.rlike(r"\p{L}{2}"), F.regexp_extract(c, r"^((?s:.*)\p{L}{2})((?s:.*))$", 2)).otherwise(c))
 
 
+#: A range of house numbers wider than this gives its two ends only.
+WIDEST_RANGE = 9_999
+
+
 def house_numbers(c: Column) -> Column:
     """``array<struct(number, suffix)>``: a hyphen between two parts fills the range, a slash
-    lists; letters are an upper-case suffix, a missing number is the one before."""
+    lists; letters are an upper-case suffix, a missing number is the last one before. Ranges wider
+    than ``WIDEST_RANGE`` give their ends."""
 
     def parsed(parts: Column) -> Column:
         digits = F.transform(parts, lambda p: F.regexp_replace(p, r"\P{Nd}", ""))
-        filled = F.transform(digits, lambda d, i: F.when(d != "", d).otherwise(F.when(i > 0, F.get(digits, i - 1))))
-        return F.transform(parts, lambda p, i: F.struct(F.try_to_number(F.get(filled, i), F.lit("99999999")).cast("int").alias("number"), F.upper(F.regexp_replace(p, r"[\p{Nd}\s]", "")).alias("suffix")))
+        last = lambda i: F.get(F.reverse(F.filter(F.slice(digits, F.lit(1), i + 1), lambda d: d != "")), F.lit(0))
+        return F.transform(parts, lambda p, i: F.struct(F.try_to_number(last(i), F.lit("99999999")).cast("int").alias("number"), F.upper(F.regexp_replace(p, r"[\p{Nd}\s]", "")).alias("suffix")))
 
     bare = F.regexp_replace(c, r"\s", "")
     ranged, listed = F.split(bare, "-"), F.split(bare, "/")
@@ -151,5 +156,6 @@ def house_numbers(c: Column) -> Column:
     first, last = F.get(ends, F.lit(0)), F.get(ends, F.lit(1))
     low, high = F.least(first["number"], last["number"]), F.greatest(first["number"], last["number"])
     suffix_at = lambda n: F.when(n == last["number"], last["suffix"]).when(n == first["number"], first["suffix"]).otherwise(F.lit(""))
-    span = F.when((F.size(ranged) == 2) & first["number"].isNotNull() & last["number"].isNotNull() & (high - low <= 9999), F.transform(F.sequence(low, high), lambda n: F.struct(n.alias("number"), suffix_at(n).alias("suffix"))))
+    between = F.when(high - low <= WIDEST_RANGE, F.sequence(low, high)).otherwise(F.array_distinct(F.array(low, high)))
+    span = F.when((F.size(ranged) == 2) & first["number"].isNotNull() & last["number"].isNotNull(), F.transform(between, lambda n: F.struct(n.alias("number"), suffix_at(n).alias("suffix"))))
     return F.filter(F.coalesce(span, parsed(listed)), lambda h: h["number"].isNotNull())

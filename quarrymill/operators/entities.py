@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import text as T
 from quarrymill.operators.proximity import great_circle_m
+from quarrymill.tables import staged
 
 # Pattern of written addresses (repetitions possessive, which matches the same) and
 # the default origin.
 ADDRESS = r"(?:[A-Z][ a-zäüöß-]++)++(?:\. | |\.|)\d{1,3}[a-zA-Z\-/]{0,2}\d{0,3}[a-zA-Z]?"
 ORIGIN = (52.530644, 13.383068)
+#: Letters by which names meet the texts that may contain them.
+NAME_KEY = 5
 MAX_DISTANCE_M, MAX_STREETS, MAX_SECTIONS, MIN_LENGTH = 12_500.0, 10, 2, 5
 
 
@@ -23,8 +28,6 @@ def pattern_entities(documents: DataFrame, pattern: str = ADDRESS) -> DataFrame:
 
 def capitalised_entities(tokens: DataFrame, min_words: int = 2) -> DataFrame:
     """``(doc_id, entity)``: runs of capitalised tokens of a sentence, the default recogniser."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("doc_id", "sent_id").orderBy("pos")
     breaks = F.sum(F.when(F.col("term").rlike(r"^\p{Lu}\p{L}"), 0).otherwise(1)).over(order)
     runs = tokens.withColumn("run", breaks).filter(F.col("term").rlike(r"^\p{Lu}\p{L}"))
@@ -32,9 +35,9 @@ def capitalised_entities(tokens: DataFrame, min_words: int = 2) -> DataFrame:
     return grouped.filter(F.size("t") >= min_words).select("doc_id", F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("entity")).distinct()
 
 
-def entities(documents: DataFrame, recognised: DataFrame | None = None) -> DataFrame:
+def entities(documents: DataFrame, recognised: DataFrame | None = None, pattern: str = ADDRESS) -> DataFrame:
     """Entities by pattern and by a recogniser, each once."""
-    by_pattern = pattern_entities(documents)
+    by_pattern = pattern_entities(documents, pattern)
     return by_pattern if recognised is None else by_pattern.unionByName(recognised.select("doc_id", "entity")).distinct()
 
 
@@ -47,42 +50,70 @@ def address_candidates(found: DataFrame) -> DataFrame:
 
 
 def containing_names(found: DataFrame, names: DataFrame) -> DataFrame:
-    """``(doc_id, entity)``: the part of each entity from where a known name begins in it.
-
-    Names are looked up by equality: every stretch of words of the entity is a candidate, so no
-    nested loop over all names is needed; names match at word starts.
-    """
-    words = F.split("entity", " ")
-    starts = found.select("doc_id", "entity", F.posexplode(words).alias("i", "_w"))
-    tails = starts.select("doc_id", "entity", F.array_join(F.slice(words, F.col("i") + 1, F.size(words)), " ").alias("tail"))
-    tail_words = F.split("tail", " ")
-    stretches = tails.select("doc_id", "tail", F.explode(F.transform(F.sequence(F.lit(1), F.size(tail_words)), lambda n: F.array_join(F.slice(tail_words, F.lit(1), n), " "))).alias("name"))
+    """``(doc_id, entity)``: the part of each entity from where a known name is first met in it, at
+    any letter. Names meet entities by their first letters (``NAME_KEY`` of them, all of a shorter
+    name), so there is no nested loop; the rest of the name is compared where they meet. Null and
+    empty names are contained in nothing."""
     known = names.select(F.col(names.columns[0]).alias("name")).filter(F.length("name") > 0).distinct()
-    return stretches.join(known, "name", "left_semi").select("doc_id", F.col("tail").alias("entity")).distinct()
+    known = known.withColumn("key", F.substring("name", 1, NAME_KEY))
+    places = F.transform(F.sequence(F.lit(1), F.length("entity")), lambda i: F.substring(F.col("entity"), i, F.length("entity")))
+    tails = found.select("doc_id", "entity").filter(F.length("entity") > 0).distinct().select("doc_id", "entity", F.explode(places).alias("tail"))
+    keyed = tails.withColumn("key", F.explode(F.array_distinct(F.array(*[F.substring("tail", 1, n) for n in range(1, NAME_KEY + 1)]))))
+    met = keyed.join(known, "key").filter(F.startswith("tail", "name"))
+    first = met.groupBy("doc_id", "entity", "name").agg(F.max(F.struct(F.length("tail").alias("n"), "tail")).alias("m"))
+    return first.select("doc_id", F.col("m.tail").alias("entity")).distinct()
+
+
+def like_join(left: DataFrame, pattern: str, right: DataFrame, value: str) -> DataFrame:
+    """Rows of both sides where ``value`` is like ``pattern`` without regard to case, ``%`` and ``_``
+    being wildcards. Patterns without wildcards are joined by equality; others meet values by up to
+    three letters of their first literal part and are compared there."""
+    wild = F.col(pattern).rlike(r"[%_]")
+    plain = left.filter(~wild).withColumn("_key", F.lower(pattern)).join(right.withColumn("_key", F.lower(value)), "_key").drop("_key")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.array(*[F.substring(F.lower(value), i, F.lit(n)) for n in (1, 2, 3)]))
+    keyed = right.withColumn("_key", F.explode(F.array_union(F.array(F.lit("")), F.array_distinct(F.flatten(grams)))))
+    asked = left.filter(wild).withColumn("_key", F.lower(F.regexp_extract(pattern, r"([^%_]{1,3})", 1)))
+    return plain.unionByName(asked.join(keyed, "_key").filter(F.ilike(F.col(value), F.col(pattern))).drop("_key"))
 
 
 def match_register(candidates: DataFrame, register: DataFrame) -> DataFrame:
-    """Candidates with the register rows of the same street, number and suffix, case ignored;
-    candidates without a suffix match rows without one."""
-    rows = register.filter(F.col("strnam").isNotNull() & F.col("hausnr").isNotNull()).select(
-        F.lower(F.trim("strnam")).alias("key"), F.try_to_number(F.trim("hausnr"), F.lit("99999999")).cast("int").alias("number"), F.lower(F.coalesce(F.trim("hausnrz"), F.lit(""))).alias("low_suffix"), "feature_id", F.col("bez_name").alias("section")).distinct()
-    keyed = candidates.withColumn("key", F.lower("name")).withColumn("low_suffix", F.lower("suffix"))
-    return keyed.join(rows, ["key", "number", "low_suffix"]).drop("key", "low_suffix")
+    """``candidates`` with ``section`` and ``feature_id`` of the register rows they may denote, each
+    once: the street name like the candidate's; the house number equal, unless it is 0, which stands
+    for the whole street; the suffix like the candidate's, if that has one - without a suffix any
+    will do; the section like the candidate's ``bez_name``, where there is such a column and it is
+    not blank. Case is ignored. Register rows without street or number are matched by none."""
+    rows = register.filter(F.col("strnam").isNotNull()).select("strnam", F.trim("hausnr").alias("hausnr"), F.coalesce(F.trim("hausnrz"), F.lit("")).alias("hausnrz"), "feature_id", F.col("bez_name").alias("section")).distinct()
+    asked = candidates.filter(F.col("name").isNotNull())
+    any_number, any_suffix = F.col("number") == 0, F.coalesce(F.col("suffix"), F.lit("")) == ""
+    numbered = asked.filter(~any_number).withColumn("_number", F.col("number").cast("string"))
+    # street and number in one join; only whole streets are joined by the name alone
+    by_number = like_join(numbered.withColumn("_pattern", F.concat("name", F.lit("\x01"), "_number")), "_pattern", rows.filter(F.col("hausnr").isNotNull()).withColumn("_value", F.concat("strnam", F.lit("\x01"), "hausnr")), "_value")
+    by_number = by_number.filter(any_suffix | F.ilike(F.col("hausnrz"), F.col("suffix"))).drop("_number", "_pattern", "_value")
+    met = by_number.unionByName(like_join(asked.filter(any_number), "name", rows, "strnam"))
+    if "bez_name" in candidates.columns:
+        met = met.filter((F.coalesce(F.trim("bez_name"), F.lit("")) == "") | F.ilike(F.col("section"), F.col("bez_name")))
+    return met.select(*candidates.columns, "section", "feature_id").distinct()
+
+
+def street_sections(register: DataFrame) -> DataFrame:
+    """``(strnam, n_addresses, sections)``: different addresses and sorted sections of each street."""
+    named = register.filter(F.col("strnam").isNotNull())
+    return named.groupBy("strnam").agg(F.count_distinct("feature_id").alias("n_addresses"), F.sort_array(F.collect_set("bez_name")).alias("sections"))
 
 
 def validate_addresses(found: DataFrame, register: DataFrame, max_streets: int = MAX_STREETS, max_sections: int = MAX_SECTIONS) -> DataFrame:
     """``(doc_id, entity, name, number, suffix, section, feature_id)`` of the register rows that an
-    entity denotes, read from where a street or section name begins in it: candidates with at most ``max_streets`` rows; their sections named by an entity
-    of the document, or the only one; at most ``max_sections`` of them."""
+    entity denotes, read from where a street or section name begins in it: candidates with at most
+    ``max_streets`` addresses; those of their sections that are entities of the document, or the
+    only one; at most ``max_sections`` of them. Rows without a section are none."""
     key = ["doc_id", "entity", "name", "number", "suffix"]
     known = register.select(F.col("strnam").alias("name")).unionByName(register.select(F.col("bez_name").alias("name")))
-    met = match_register(address_candidates(containing_names(found, known)), register)
-    counted = met.groupBy(*key).agg(F.count("feature_id").alias("n"), F.collect_set("section").alias("sections"), F.collect_set(F.struct("section", "feature_id")).alias("rows"))
-    guarded = counted.filter(F.col("n").between(1, max_streets))
-    named = found.groupBy("doc_id").agg(F.collect_set("entity").alias("entities"))
-    chosen = guarded.join(named, "doc_id").withColumn("chosen", F.when(F.size("sections") == 1, F.col("sections")).otherwise(F.array_intersect("sections", "entities")))
-    kept = chosen.filter(F.size("chosen").between(1, max_sections)).select(*key, "chosen", F.explode("rows").alias("r"))
-    return kept.filter(F.array_contains("chosen", F.col("r.section"))).select(*key, F.col("r.section").alias("section"), F.col("r.feature_id").alias("feature_id"))
+    met = staged(match_register(address_candidates(containing_names(found, known)), register).filter(F.col("section").isNotNull()), "register")
+    guarded = met.groupBy(*key).agg(F.count_distinct("feature_id").alias("n"), F.count_distinct("section").alias("n_sections")).filter(F.col("n").between(1, max_streets))
+    named = found.select("doc_id", F.col("entity").alias("section"), F.lit(True).alias("named")).distinct()
+    chosen = met.join(guarded, key).join(named, ["doc_id", "section"], "left").filter(F.col("named") | (F.col("n_sections") == 1))
+    few = chosen.groupBy(*key).agg(F.count_distinct("section").alias("n_chosen")).filter(F.col("n_chosen") <= max_sections)
+    return chosen.join(few, key).select(*key, "section", "feature_id")
 
 
 def entity_prefixes(found: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
@@ -99,11 +130,18 @@ def gazetteer(locations: DataFrame) -> DataFrame:
 
 def validate_locations(found: DataFrame, places: DataFrame, in_synonyms: bool = False, min_length: int = MIN_LENGTH) -> DataFrame:
     """``(doc_id, prefix, id)``: prefixes of entities that name a gazetteer entry, or with
-    ``in_synonyms`` one of its synonyms, case ignored."""
-    names = places.select(F.lower("name").alias("key"), "id")
-    if in_synonyms:
-        names = names.unionByName(places.select(F.explode(F.transform("synonyms", F.lower)).alias("key"), "id"))
-    return entity_prefixes(found, min_length).withColumn("key", F.lower("prefix")).join(names.distinct(), "key").select("doc_id", "prefix", "id").distinct()
+    ``in_synonyms`` are contained in its ``synonyms`` (a string, or an array of them), case ignored.
+    Prefixes meet synonyms by their first ``min_length`` + 1 letters, which all of them have."""
+    asked = entity_prefixes(found, min_length).withColumn("key", F.lower("prefix"))
+    named = asked.join(places.select(F.lower("name").alias("key"), "id").distinct(), "key").select("doc_id", "prefix", "id")
+    if not in_synonyms:
+        return named.distinct()
+    size = min_length + 1
+    text = F.lower(F.array_join("synonyms", ",") if places.schema["synonyms"].dataType.typeName() == "array" else F.col("synonyms"))
+    written = places.select("id", text.alias("text")).filter(F.length("text") >= size).distinct()
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - size + 1), lambda i: F.substring(F.col("text"), i, F.lit(size))))
+    met = asked.withColumn("gram", F.substring("key", 1, size)).join(written.withColumn("gram", F.explode(grams)), "gram").filter(F.contains("text", "key"))
+    return named.unionByName(met.select("doc_id", "prefix", "id")).distinct()
 
 
 def distance_from(lat: Column, lon: Column, origin: tuple[float, float] = ORIGIN) -> Column:
@@ -122,7 +160,11 @@ def locations_near(found: DataFrame, places: DataFrame, origin: tuple[float, flo
     """``(doc_id, word, id)``: words of entities that name a place, or one of its synonyms, within
     a distance of the origin. A bounding box cuts the gazetteer before any distance is computed."""
     reach = max_distance_m / 111_000.0
-    box = places.filter(F.col("latitude").between(origin[0] - reach, origin[0] + reach))
+    # a degree of longitude is shortest at the end of the box that is nearer to a pole
+    edge = math.cos(math.radians(min(90.0, abs(origin[0]) + reach)))
+    wide = reach / edge if edge > 1e-9 else 360.0
+    apart = F.abs(F.col("longitude") - F.lit(origin[1]))
+    box = places.filter(F.col("latitude").between(origin[0] - reach, origin[0] + reach) & (F.least(apart, 360 - apart) <= wide))
     near = box.filter(distance_from(F.col("latitude"), F.col("longitude"), origin) <= max_distance_m)
     names = near.select(F.lower("name").alias("key"), "id")
     if in_synonyms:
@@ -132,6 +174,22 @@ def locations_near(found: DataFrame, places: DataFrame, origin: tuple[float, flo
 
 
 def display_keys(addresses: DataFrame) -> DataFrame:
-    """Forms under which an address may stand in a text, in order of preference."""
-    full = F.concat_ws(" ", "name", F.concat(F.col("number").cast("string"), F.lower("suffix")))
-    return addresses.withColumn("keys", F.array(full, F.concat_ws(" ", "name", F.col("number").cast("string")), F.col("name")))
+    """Adds ``keys``: the forms under which an address may stand in a text, in order of preference -
+    with suffix, without, the street alone. A number 0 or null has no form of its own."""
+    number, suffix = F.when(F.col("number") != 0, F.col("number").cast("string")), F.lower(F.nullif(F.col("suffix"), F.lit("")))
+    forms = F.array(F.concat(F.col("name"), F.lit(" "), number, suffix), F.concat(F.col("name"), F.lit(" "), number), F.col("name"))
+    return addresses.withColumn("keys", F.filter(forms, lambda k: k.isNotNull()))
+
+
+def address_passages(addresses: DataFrame, passages: DataFrame) -> DataFrame:
+    """``addresses`` with ``passages``: those of the first display key that has some, else none.
+    ``passages`` is ``(doc_id, word, passages)``."""
+    cols = addresses.columns
+    keyed = display_keys(addresses).select(*cols, F.posexplode("keys").alias("at", "word"))
+    met = keyed.join(passages.select("doc_id", "word", "passages"), ["doc_id", "word"], "left")
+    return met.groupBy(*cols).agg(F.min_by("passages", F.when(F.col("passages").isNotNull(), F.col("at"))).alias("passages"))
+
+
+def probable(found: DataFrame, least: float, probability_col: str = "probability") -> DataFrame:
+    """Entities of a recogniser whose probability is at least ``least``; those without one stay out."""
+    return found.filter(F.col(probability_col) >= least)

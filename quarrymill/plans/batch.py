@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import date
 from typing import Protocol
 
 import pandas as pd
@@ -37,20 +38,40 @@ def register(name: str, extractor: KeywordExtractor) -> None:
     pipeline.EXTRACTORS[name] = lambda corpus, _: extractor.extract(corpus)
 
 
-def run_batch(documents: DataFrame, done: DataFrame, catalog: DataFrame, path: str, settings: Settings = Settings(), batch: int = readers.BATCH, word_vectors: DataFrame | None = None) -> DataFrame:
-    """Analyse the next documents of the queue, write relational tables and graph below ``path``,
-    and give ``(doc_id, is_analysed)``. Documents without a text stay unanalysed; nothing is marked
-    unless all tables are written."""
+def run_batch(
+    documents: DataFrame, done: DataFrame, catalog: DataFrame, path: str, settings: Settings = Settings(), batch: int = readers.BATCH, word_vectors: DataFrame | None = None,
+    register: DataFrame | None = None, places: DataFrame | None = None, recognised: DataFrame | None = None,
+) -> DataFrame:
+    """Analyse the next documents of the queue: keywords against the catalog, then, where ``register``
+    and ``places`` are given, addresses and locations; append the results to the relational tables and
+    the graph below ``path``, and give ``(doc_id, keywords_done, entities_done, is_analysed)``.
+
+    What earlier batches stored stays, and a batch that is repeated adds nothing. Documents without a
+    text stay unanalysed; a pass marks its documents only when all its results are written, so a
+    failure leaves them in the queue. ``recognised``: entities of a model, ``(doc_id, entity)``."""
+    spark = documents.sparkSession
     todo = readers.work_queue(documents, done, batch)
-    chosen = documents.join(todo, "doc_id", "left_semi")
+    chosen = staged(documents.join(todo, "doc_id", "left_semi"), "chosen")
     readable = chosen.filter(F.col("text").isNotNull())
-    names = catalog.withColumnRenamed("term", "name")
-    found, passages = pipeline.analyse_keywords(readable, names, settings, word_vectors)
-    relational.write_tables(relational.persist_keywords(found, catalog, passages), path)
-    nodes, edges = graph.keyword_graph(readable, found, catalog, passages)
-    nodes.write.mode("overwrite").parquet(f"{path}/graph_nodes")
-    edges.write.mode("overwrite").parquet(f"{path}/graph_edges")
-    return chosen.select("doc_id", F.col("text").isNotNull().alias("is_analysed"))
+    keywords_done = entities_done = False
+    if settings.keyword_analyse:
+        names = catalog.withColumnRenamed("term", "name")
+        found, passages = (staged(x, n) for x, n in zip(pipeline.analyse_keywords(readable, names, settings, word_vectors), ("keywords", "passages"), strict=True))
+        if settings.result_to_tables:
+            relational.append_tables(spark, relational.persist_keywords(found, catalog, passages), path)
+        if settings.result_to_graph:
+            graph.append_graph(spark, *graph.keyword_graph(readable, found, catalog, passages), path)
+        keywords_done = True
+    if settings.named_entity_analyse and register is not None and places is not None:
+        addresses, locations, passages = (staged(x, n) for x, n in zip(pipeline.entity_passages(readable, register, places, settings, recognised), ("addresses", "locations", "passages"), strict=True))
+        if settings.result_to_tables:
+            relational.append_tables(spark, relational.persist_addresses(addresses, register, passages) | relational.persist_locations(locations, places, passages), path)
+        if settings.result_to_graph:
+            graph.append_graph(spark, *pipeline.places_as_graph(addresses, locations, register, places, passages), path)
+        entities_done = True
+    has_text = F.col("text").isNotNull()
+    both = (keywords_done or not settings.keyword_analyse) and (entities_done or not settings.named_entity_analyse or register is None or places is None)
+    return chosen.select("doc_id", (has_text & F.lit(keywords_done)).alias("keywords_done"), (has_text & F.lit(entities_done)).alias("entities_done"), (has_text & F.lit(both)).alias("is_analysed"))
 
 
 def train_and_save(spark: SparkSession, articles_path: str, model_path: str, size: int = 100, min_count: int = 5) -> Word2VecModel:
@@ -131,3 +152,8 @@ def matrix_text(edges: DataFrame, doc_id: int, most: int = 15) -> str:
         return ""
     weight = {(r["src"], r["dst"]): r["weight"] for r in rows}
     return "\n".join(" ".join([t, *(f"{weight.get((t, u), 0):g}" for u in terms)]) for t in terms)
+
+
+def model_name(prefix: str = "word2vec", day: date | None = None) -> str:
+    """Name of a model file with the day of its training, today if none is given."""
+    return f"{prefix}-{(day or date.today()).isoformat()}"

@@ -13,6 +13,8 @@ from quarrymill.operators import catalog as C
 from quarrymill.operators import entities as E
 from quarrymill.operators import lines, textrank, tfidf
 from quarrymill.operators import tokens as tok
+from quarrymill.sinks import graph
+from quarrymill.tables import staged
 
 #: Keyword extractors by name: ``(tagged tokens, settings) -> (doc_id, term, score)``.
 EXTRACTORS: dict[str, Callable[[DataFrame, Settings], DataFrame]] = {
@@ -45,13 +47,62 @@ def analyse_keywords(documents: DataFrame, catalog: DataFrame, settings: Setting
     return found, passages
 
 
-def analyse_entities(documents: DataFrame, register: DataFrame, places: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entities, validated addresses and validated locations."""
-    tokens = tok.tokens(tok.sentences(documents))
-    found = E.entities(documents, E.capitalised_entities(tokens))
+def analyse_entities(documents: DataFrame, register: DataFrame, places: DataFrame, settings: Settings = Settings(), recognised: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, validated addresses and validated locations. ``recognised``: ``(doc_id, entity)``
+    of a model, with ``probability`` where it gives one; by default runs of capitalised words."""
+    if recognised is None:
+        recognised = E.capitalised_entities(tok.tokens(tok.sentences(documents)))
+    else:
+        recognised = recognised.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+        if "probability" in recognised.columns:
+            recognised = E.probable(recognised, settings.min_probability)
+    found = staged(E.entities(documents, recognised, settings.address_regex), "entities")
     return found, E.validate_addresses(found, register, settings.max_street_count, settings.max_section_count), E.validate_locations(found, places, settings.contains_in_synonyms, settings.min_named_entity_length)
 
 
+def entity_passages(documents: DataFrame, register: DataFrame, places: DataFrame, settings: Settings = Settings(), recognised: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Validated addresses, validated locations, and ``(doc_id, word, passages)``: the sentences that
+    hold a display form of an address or the name of a location as it stands in the text."""
+    _, addresses, locations = analyse_entities(documents, register, places, settings, recognised)
+    addresses, locations = staged(addresses, "addresses"), staged(locations, "locations")
+    forms = E.display_keys(addresses).select("doc_id", F.explode("keys").alias("word")).unionByName(locations.select("doc_id", F.col("prefix").alias("word")))
+    return addresses, locations, C.text_passages(forms, tok.sentences(documents))
+
+
+def places_as_graph(addresses: DataFrame, locations: DataFrame, register: DataFrame, places: DataFrame, passages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of validated addresses and locations with their passages."""
+    told = E.address_passages(addresses.select("doc_id", "name", "number", "suffix", "feature_id").distinct(), passages).select("doc_id", "feature_id", "passages")
+    a = told.join(register.select("feature_id", "strnam", "hausnr", "hausnrz", "bez_name").dropDuplicates(["feature_id"]), "feature_id")
+    b = locations.join(passages.withColumnRenamed("word", "prefix"), ["doc_id", "prefix"], "left").join(places.select("id", "name", "latitude", "longitude", "feature_code").dropDuplicates(["id"]), "id")
+    return graph.place_graph(a, b)
+
+
+class Keywords:
+    """Keyword analysis behind one object, with fixed settings and catalog."""
+
+    def __init__(self, catalog: DataFrame, settings: Settings = Settings(), word_vectors: DataFrame | None = None):
+        self.catalog, self.settings, self.word_vectors = catalog, settings, word_vectors
+
+    def keywords(self, documents: DataFrame) -> DataFrame:
+        return extract_keywords(documents, self.settings)
+
+    def filtered(self, keywords: DataFrame) -> DataFrame:
+        return C.filter_by_catalog(keywords, self.catalog, self.word_vectors, self.settings.similarity)
+
+
+class NamedEntities:
+    """Entity analysis behind one object, with fixed settings, register and gazetteer."""
+
+    def __init__(self, register: DataFrame, places: DataFrame, settings: Settings = Settings()):
+        self.register, self.places, self.settings = register, places, settings
+
+    def entities(self, documents: DataFrame) -> DataFrame:
+        return analyse_entities(documents, self.register, self.places, self.settings)[0]
+
+    def validated(self, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return analyse_entities(documents, self.register, self.places, self.settings)[1:]
+
+
 def joined_sentences(corpus: DataFrame) -> DataFrame:
     """``(doc_id, sent_id, sentence)`` of tokens put together again."""
     gathered = corpus.groupBy("doc_id", "sent_id").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("t"))

@@ -419,5 +419,4 @@ def section_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT strnam, count(DISTINCT feature_id) AS n_addresses, coalesce(list_sort(list(DISTINCT bez_name) FILTER (WHERE bez_name IS NOT NULL)), []) AS sections FROM addresses WHERE strnam IS NOT NULL GROUP BY 1")
 def street_sections(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "addresses").filter(F.col("strnam").isNotNull())
-    return a.groupBy("strnam").agg(F.count_distinct("feature_id").alias("n_addresses"), F.sort_array(F.collect_set("bez_name")).alias("sections"))
+    return E.street_sections(table(spark, d, "addresses"))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.tables import exists
+
 CONTAINS, AFFECT, BELONGS = "contains", "affect", "belongsTo"
 EDGE = "src_label string, src_key string, type string, dst_label string, dst_key string, weight double, text_passages array<string>"
 
@@ -59,6 +61,46 @@ def keyword_graph(documents: DataFrame, keywords: DataFrame, catalog: DataFrame,
     return reduce(DataFrame.unionByName, all_nodes), reduce(DataFrame.unionByName, all_edges)
 
 
+def address_key() -> Column:
+    """Natural key of an address: its feature id, else street with number and suffix."""
+    part = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    return F.coalesce(part("feature_id"), F.concat_ws(" ", part("strnam"), F.concat_ws("", part("hausnr"), part("hausnrz"))))
+
+
+def location_key() -> Column:
+    """Natural key of a location: its name at its place, to a millionth of a degree."""
+    return F.concat_ws("|", F.col("name"), *[F.when(F.col(c).isNotNull(), F.lower(F.format_string("%.6f", F.col(c)))) for c in ("latitude", "longitude")])
+
+
+def place_graph(addresses: DataFrame, locations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of addresses ``(doc_id, feature_id, strnam, hausnr, hausnrz, bez_name)`` and
+    locations ``(doc_id, name, latitude, longitude, feature_code)`` found in documents, both with
+    ``passages`` where there are some. Places without a name have no node."""
+    a = addresses.filter(F.col("strnam").isNotNull()).withColumn("key", address_key())
+    b = locations.filter(F.col("name").isNotNull()).withColumn("key", location_key())
+    all_nodes = nodes(a, "Address", F.col("key"), name=F.col("strnam"), hausnr=F.col("hausnr"), hausnrz=F.col("hausnrz"), bez_name=F.col("bez_name"), feature_id=F.col("feature_id")).unionByName(
+        nodes(b, "Location", F.col("key"), name=F.col("name"), latitude=F.col("latitude"), longitude=F.col("longitude"), feature_code=F.col("feature_code")))
+    told = lambda df: "passages" if "passages" in df.columns else None
+    return all_nodes, place_edges(a, "Address", "key", told(a)).unionByName(place_edges(b, "Location", "key", told(b)))
+
+
+def land_use_graph(documents_classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of land-use classes ``(doc_id, term, name, categorie, code)`` that keywords
+    of documents belong to."""
+    found = documents_classes.filter(F.col("name").isNotNull())
+    doc, entry = ("Document", F.col("doc_id")), ("ALKIS", F.col("name"))
+    made = nodes(found, "ALKIS", F.col("name"), name=F.col("name"), categorie=F.col("categorie"), code=F.col("code"))
+    return made, edges(found, entry, doc, AFFECT, CONTAINS).unionByName(edges(found, ("Keyword", F.col("term")), entry, BELONGS))
+
+
+def append_graph(spark: SparkSession, new_nodes: DataFrame, new_edges: DataFrame, path: str) -> None:
+    """Append the nodes and edges that are not stored yet."""
+    for name, df, keys in (("graph_nodes", new_nodes, ["label", "key"]), ("graph_edges", new_edges, ["src_label", "src_key", "type", "dst_label", "dst_key"])):
+        target = f"{path}/{name}"
+        stored = df.join(spark.read.parquet(target).select(*keys), keys, "left_anti") if exists(spark, target) else df
+        stored.dropDuplicates(keys).write.mode("append").parquet(target)
+
+
 def place_edges(places: DataFrame, label: str, key: str, passages: str | None = None) -> DataFrame:
     """Document - place edges for ``Address`` or ``Location`` findings."""
     return edges(places, ("Document", F.col("doc_id")), (label, F.col(key)), CONTAINS, AFFECT, passages=F.col(passages) if passages else None)

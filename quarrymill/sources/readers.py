@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 from urllib.request import urlopen
@@ -59,6 +61,12 @@ def html_title(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
 
 
+def _with_own(meta: Column, name: Column, title: Column) -> Column:
+    """Metadata with file name and title, which stand before equal keys."""
+    rest = F.map_filter(meta, lambda k, _: ~k.isin("name", "title"))
+    return F.map_concat(F.create_map(F.lit("name"), name, F.lit("title"), title), rest)
+
+
 def parse(content: DataFrame, parser: Callable[[bytes, str], tuple[str, dict[str, str]]] | None = None) -> DataFrame:
     """Adds ``text`` and ``meta`` to ``(path, content)``. Without a parser, HTML and plain text in
     UTF-8 are read inside the JVM; a parser is called by batches and its failures give null."""
@@ -67,7 +75,7 @@ def parse(content: DataFrame, parser: Callable[[bytes, str], tuple[str, dict[str
         decoded = F.decode("content", "UTF-8")
         is_html = F.lower("path").rlike(r"\.x?html?$") | decoded.rlike(r"(?is)^\s*<(!doctype html|html)")
         title = F.coalesce(F.when(is_html, html_title(decoded)), name)
-        return content.withColumn("text", F.when(is_html, html_text(decoded)).otherwise(decoded)).withColumn("meta", F.create_map(F.lit("name"), name, F.lit("title"), title))
+        return content.withColumn("text", F.when(is_html, html_text(decoded)).otherwise(decoded)).withColumn("meta", _with_own(html_metadata(F.when(is_html, decoded).otherwise(F.lit(""))), name, title))
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -108,15 +116,47 @@ def gazetteer_dump(spark: SparkSession, path: str) -> DataFrame:
         F.col("c4").try_cast("double").alias("latitude"), F.col("c5").try_cast("double").alias("longitude"), F.col("c7").alias("feature_code"))
 
 
+def zip_entry(content: DataFrame, entry: str) -> DataFrame:
+    """``content`` of archives ``(…, content)`` replaced by that of the named entry; null where the
+    archive is broken or lacks it."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = []
+            for raw in b["content"]:
+                try:
+                    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                        got.append(z.read(entry))
+                except Exception:  # a broken archive is like a missing one
+                    got.append(None)
+            yield b.assign(content=got)
+
+    return content.mapInPandas(unpack, content.schema)
+
+
+def gazetteer_archive(spark: SparkSession, uri: str, entry: str, folder: str) -> DataFrame:
+    """The dump inside a zip archive behind a URI: fetched, unpacked into ``folder``, which all
+    executors share, and read like a dump. An unreadable archive or a missing entry is an error."""
+    got = zip_entry(fetch(spark.createDataFrame([(uri,)], "uri string")), entry).select(F.decode("content", "UTF-8").alias("value")).filter(F.col("value").isNotNull())
+    got.write.mode("overwrite").text(folder)
+    if not any(True for _ in spark.read.text(folder).limit(1).toLocalIterator()):
+        raise ValueError(f"no entry {entry} behind {uri}")
+    return gazetteer_dump(spark, folder)
+
+
+def html_metadata(html: Column) -> Column:
+    """Map of the named meta elements of HTML, names in lower case; of equal names the first."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
+    attribute = lambda tag, a: F.regexp_extract(tag, rf"(?is)\b{a}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    named = F.filter(F.transform(tags, lambda t: F.struct(F.lower(attribute(t, "(?:name|property)")).alias("k"), attribute(t, "content").alias("v"))), lambda e: e["k"] != "")
+    first = F.filter(named, lambda e, i: F.array_position(F.transform(named, lambda x: x["k"]), e["k"]) == i + 1)
+    return F.map_from_entries(first)
+
+
 def work_queue(documents: DataFrame, done: DataFrame, batch: int = BATCH) -> DataFrame:
     """Ids of the first documents by id that are not done yet; the batch size is the feature."""
     return documents.select("doc_id").join(done.select("doc_id"), "doc_id", "left_anti").orderBy("doc_id").limit(batch)
 
 
-def by_ids(table: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Rows of the given ids."""
-    return table.join(ids.select(id_col).distinct(), id_col, "left_semi")
-
-
 def distinct_names(table: DataFrame, name_col: str) -> DataFrame:
     return table.filter(F.col(name_col).isNotNull()).select(name_col).distinct().orderBy(name_col)

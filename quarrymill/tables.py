@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is missing (tests on one machine) a temporary folder is set once.
+    Where the setting is missing on one machine (tests) a temporary folder is set once; on a cluster
+    that would be a folder of one machine only, so it is an error.
     """
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         have = tempfile.mkdtemp(prefix="quarrymill-")
         atexit.register(shutil.rmtree, have, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", have)
@@ -54,6 +57,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def bounded_batches(df: DataFrame, limit: str = "16m") -> DataFrame:
     """``df``, with Arrow batches of its session bounded in bytes, so that very long texts do not
     meet in one batch; a limit that is set already stays."""

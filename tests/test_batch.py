@@ -1,4 +1,5 @@
 import json
+from datetime import date
 
 import pytest
 
@@ -6,17 +7,56 @@ from quarrymill.config import Settings
 from quarrymill.plans import batch, pipeline
 
 
+TEXT = "Das Planungsamt prüft den Bebauungsplan und die Verwaltung beschließt den Umbau der Schule am Markt. " * 3
+CATALOG = "term string, morphem string, iscore boolean, ontologies array<string>"
+
+
 def test_batch_run(spark, tmp_path):
-    text = "Das Planungsamt prüft den Bebauungsplan und die Verwaltung beschließt den Umbau der Schule am Markt. " * 3
-    docs = spark.createDataFrame([(i, t, "n", None, "u") for i, t in enumerate([text, None, text, text])], "doc_id long, text string, name string, author string, uri string")
+    docs = spark.createDataFrame([(i, t, "n", None, "u") for i, t in enumerate([TEXT, None, TEXT, TEXT])], "doc_id long, text string, name string, author string, uri string")
     done = spark.createDataFrame([(0,)], "doc_id long")
-    cat = spark.createDataFrame([("Schule", "m", True, ["o"])], "term string, morphem string, iscore boolean, ontologies array<string>")
+    cat = spark.createDataFrame([("Schule", "m", True, ["o"])], CATALOG)
     state = batch.run_batch(docs, done, cat, str(tmp_path), Settings(every_single_sentence=True, min_term_count=2), batch=2)
     assert {r["doc_id"]: r["is_analysed"] for r in state.collect()} == {1: False, 2: True}
     assert spark.read.parquet(str(tmp_path / "nlp_documents_keywords")).count() == 1
     assert spark.read.parquet(str(tmp_path / "graph_edges")).count() == 7
 
 
+def test_two_batches_with_both_passes(spark, tmp_path):
+    """A later batch keeps what an earlier one stored; a repeated batch adds nothing."""
+    place = "Das Haus steht Lindauer Allee 17-18 in Nord und gehört Berlin seit langem allein. "
+    docs = spark.createDataFrame([(i, TEXT + place, f"n{i}", None, f"u{i}") for i in range(3)], "doc_id long, text string, name string, author string, uri string")
+    cat = spark.createDataFrame([("Schule", "m", True, ["o"])], CATALOG)
+    register = spark.createDataFrame([("Lindauer Allee", "17", "", "Nord", "f1", "10001"), ("Lindauer Allee", "18", None, "Nord", "f2", "10001"), ("Anderer Weg", "1", None, "Nord", "f3", None)], "strnam string, hausnr string, hausnrz string, bez_name string, feature_id string, plz string")
+    places = spark.createDataFrame([(7, "Das Haus Berlin", ["Spree"], 52.5, 13.4, "PPL"), (8, "Lindauer", ["x"], 1.0, 2.0, "PPL")], "id long, name string, synonyms array<string>, latitude double, longitude double, feature_code string")
+    settings = Settings(every_single_sentence=True, min_term_count=2)
+    recognised = spark.createDataFrame([(i, e, p) for i in range(3) for e, p in (("Lindauer Allee", 0.99), ("Nord", 0.96), ("Spreewald", 0.1))], "doc_id long, entity string, probability double")
+    count = lambda name: spark.read.parquet(str(tmp_path / name)).count()
+    done = spark.createDataFrame([], "doc_id long")
+    for n, size in ((1, 2), (2, 2), (2, 2)):
+        state = batch.run_batch(docs, done, cat, str(tmp_path), settings, size, register=register, places=places, recognised=recognised)
+        assert all(r["keywords_done"] and r["entities_done"] and r["is_analysed"] for r in state.collect())
+        seen = 2 if n == 1 else 3
+        assert (count("nlp_documents_keywords"), count("nlp_keywords"), count("nlp_documents_addresses"), count("nlp_addresses"), count("nlp_documents_locations"), count("nlp_locations")) == (seen, 1, 2 * seen, 2, seen, 1)
+        assert count("graph_nodes") == seen + 3 + 3
+        if n == 1:
+            done = state.select("doc_id")
+    told = spark.read.parquet(str(tmp_path / "nlp_documents_addresses")).collect()
+    assert {len(r["text_passages"] or []) for r in told} == {1}
+    labels = {r["label"] for r in spark.read.parquet(str(tmp_path / "graph_nodes")).collect()}
+    assert labels == {"Document", "Keyword", "Term", "Ontology", "Address", "Location"}
+
+
+def test_failed_pass_marks_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(1, TEXT, "n", None, "u")], "doc_id long, text string, name string, author string, uri string")
+    broken = spark.createDataFrame([("Schule",)], "term string")
+    with pytest.raises(Exception):  # noqa: B017
+        batch.run_batch(docs, spark.createDataFrame([], "doc_id long"), broken, str(tmp_path), Settings(every_single_sentence=True, min_term_count=2))
+
+
+def test_model_name():
+    assert batch.model_name("m", date(2020, 1, 5)) == "m-2020-01-05"
+
+
 def test_extractor_registry(spark):
     class Fixed:
         def extract(self, corpus):

@@ -1,4 +1,5 @@
 import json
+import zipfile
 
 import pytest
 from conftest import rows
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.config import Settings
 from quarrymill.operators import entities as E
-from quarrymill.plans import pipeline
+from quarrymill.plans import batch, pipeline
 from quarrymill.sinks import graph, relational
 from quarrymill.sources import readers
 from quarrymill.streaming.queue import run_queue
@@ -20,6 +21,68 @@ def test_address_validation(spark):
     assert "Lindauer Allee 17" in [r["entity"].split("steht ")[-1] for r in E.pattern_entities(docs).collect()]
 
 
+def test_register_predicate(spark):
+    """A missing suffix takes any, number 0 the whole street, a section only its own rows."""
+    register = spark.createDataFrame([("Am Hof", "5", "a", "Nord", "f1"), ("AM HOF", "5", None, "Süd", "f2"), ("Am Hof", "6", None, "Nord", "f3"), ("Am Hofe", "5", None, "Nord", "f4"), ("Am Hof", None, None, None, "f5")], "strnam string, hausnr string, hausnrz string, bez_name string, feature_id string")
+
+    def met(name, number, suffix, section=None):
+        c = spark.createDataFrame([(1, "e", name, number, suffix, section)], "doc_id long, entity string, name string, number int, suffix string, bez_name string")
+        return sorted(r["feature_id"] for r in E.match_register(c, register).collect())
+
+    assert met("am hof", 5, "") == ["f1", "f2"]
+    assert met("Am Hof", 5, "A") == ["f1"]
+    assert met("Am Hof", 0, "") == ["f1", "f2", "f3", "f5"]
+    assert met("Am Hof", 5, "", "süd") == ["f2"]
+    assert met("Am Ho%", 5, None) == ["f1", "f2", "f4"]
+    assert met("Am H_f", 6, "") == ["f3"]
+
+
+def test_passages_of_addresses(spark):
+    found = spark.createDataFrame([(1, "Am Hof", 5, "A"), (1, "Weg", 7, ""), (1, "Allee", 0, None)], "doc_id long, name string, number int, suffix string")
+    passages = spark.createDataFrame([(1, "Am Hof 5", ["p1"]), (1, "Am Hof", ["p2"]), (1, "Allee", ["p3"]), (2, "Weg 7", ["p4"])], "doc_id long, word string, passages array<string>")
+    assert {r["name"]: r["passages"] for r in E.address_passages(found, passages).collect()} == {"Am Hof": ["p1"], "Weg": None, "Allee": ["p3"]}
+
+
+def test_house_number_ranges(spark):
+    from quarrymill.functions import text as T
+
+    cases = {"17-20": [17, 18, 19, 20], "18/20": [18, 20], "12a/b/c": [12, 12, 12], "1-20000": [1, 20000], "": [], "20-18": [18, 19, 20]}
+    df = spark.createDataFrame([(k,) for k in cases], "s string").select("s", T.house_numbers(F.col("s")).alias("h"))
+    got = {r["s"]: [(h["number"], h["suffix"]) for h in r["h"]] for r in df.collect()}
+    assert {k: [n for n, _ in v] for k, v in got.items()} == cases
+    assert got["12a/b/c"] == [(12, "A"), (12, "B"), (12, "C")]
+
+
+def test_archives_and_metadata(spark, tmp_path):
+    fields = [""] * 19
+    fields[0], fields[1], fields[4], fields[5] = "5", "Ä", "1.5", "2.5"
+    with zipfile.ZipFile(tmp_path / "g.zip", "w") as z:
+        z.writestr("DE.txt", "\t".join(fields) + "\n")
+    assert rows(readers.gazetteer_archive(spark, str(tmp_path / "g.zip"), "DE.txt", str(tmp_path / "dump")).select("id", "name")) == [(5, "Ä")]
+    with pytest.raises(ValueError, match="no entry"):
+        readers.gazetteer_archive(spark, str(tmp_path / "g.zip"), "FR.txt", str(tmp_path / "dump2"))
+    page = '<html><meta name="Author" content="A"><meta content="B" property="author"><meta name="title" content="no"><title>T</title></html>'
+    meta = spark.createDataFrame([(page,), ("<p>x",)], "h string").select(readers.html_metadata(F.col("h")).alias("m")).collect()
+    assert [r["m"] for r in meta] == [{"author": "A", "title": "no"}, {}]
+
+
+def test_stored_entities(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "id long, author string")
+    assert rows(relational.update_authors(docs, spark.createDataFrame([(2, "z"), (2, "y"), (1, None)], "id long, author string"))) == [(1, "a"), (2, "z")]
+    assert rows(relational.delete_where(docs, "author = 'a'")) == [(2, "b")]
+    assert relational.delete_where(docs).count() == 0
+    assert rows(relational.lookup(docs, docs.filter("id = 2"))) == [(2, "b")]
+    with pytest.raises(ValueError, match="not inserted"):
+        relational.insert_entities("addresses", docs)
+    relational.create_tables(spark, ["keywords"])
+    spark.sql("INSERT INTO nlp_keywords VALUES (1, 'k')")
+    assert spark.table("nlp_keywords").count() == 1
+    batch.purge(spark, ["keywords"])
+    assert spark.catalog.tableExists("nlp_keywords")
+    batch.purge(spark, ["keywords"], confirmed=True)
+    assert not spark.catalog.tableExists("nlp_keywords")
+
+
 def test_names_inside_entities(spark):
     found = spark.createDataFrame([(1, "die Lindauer Allee 17"), (1, "nichts")], "doc_id long, entity string")
     assert rows(E.containing_names(found, spark.createDataFrame([("Lindauer Allee",)], "n string"))) == [(1, "Lindauer Allee 17")]
@@ -109,4 +172,7 @@ def test_stream_queue(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(src)
     for _ in range(2):
         run_queue(spark, src, out, ck, lambda b: b.select("doc_id", F.upper("text").alias("t")), ["doc_id"], "doc_id long, text string").awaitTermination()
-    assert rows(spark.read.parquet(out)) == [(1, "A"), (2, "B")]
+    assert rows(spark.read.parquet(out).drop("batch")) == [(1, "A"), (2, "B")]
+    spark.createDataFrame([(2, "b"), (3, "c"), (3, "c")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(src)
+    run_queue(spark, src, out, ck, lambda b: b.select("doc_id", F.upper("text").alias("t")), ["doc_id"], "doc_id long, text string", across_batches=True).awaitTermination()
+    assert rows(spark.read.parquet(out).drop("batch")) == [(1, "A"), (2, "B"), (3, "C")]
