@@ -17,15 +17,18 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.tables import bounded_batches, bounded_broadcast, staged
 
 #: Verdicts on words, and vocabularies, are broadcast up to this many bytes, shuffled beyond; a word
 #: with its count takes about so many.
-BROADCAST_BYTES, WORD_BYTES = 32 << 20, 64
+BROADCAST_BYTES, WORD_BYTES = 64 << 20, 64
+#: Proposals of corrections leave Python in batches of about so many.
+PROPOSED_TOGETHER = 50_000
 #: A correction must be this many times as frequent as what it corrects.
 RATIO = 3
 #: So many times where the word is not rare, or two readings are undone in it.
@@ -213,16 +216,18 @@ def furniture(lines: list[str]) -> set[int]:
 def scan_lines(text: str) -> list[tuple]:
     """``(line_no, furniture?, spaced?, words, cut, left, right)`` of every filled line. ``cut``
     is the mark at the line's end ('' if none), ``left`` and ``right`` the words on both sides of
-    the line break where the word may go on, else null."""
+    the line break where the word may go on, else null; then whether the line is full, and the next
+    and the last line of running text, 0 if none."""
     lines = text.split("\n")
     page = furniture(lines)
     body = [i for i, x in enumerate(lines) if x.strip() and i not in page]
     width = width_of([lines[i] for i in body])
     after = {i: body[k + 1] for k, i in enumerate(body[:-1])}
+    before = {j: i for i, j in after.items()}
     rows = []
     for i in sorted(page | set(body)):
         if i in page:
-            rows.append((i + 1, True, False, [], "", None, None, False))
+            rows.append((i + 1, True, False, [], "", None, None, False, 0, 0))
             continue
         line = lines[i].replace("\f", "").replace("\r", "").rstrip()
         cut, left, right = "", None, None
@@ -238,7 +243,7 @@ def scan_lines(text: str) -> list[tuple]:
                 if not left or (not cut and not _LOWER.match(right)):
                     cut, left, right = "", None, None
         spaced = bool(_SPACED.search(line))
-        rows.append((i + 1, False, spaced, words_of(_SPACED.sub(" ", line) if spaced else line), cut, left, right, len(line) >= width - 2))
+        rows.append((i + 1, False, spaced, words_of(_SPACED.sub(" ", line) if spaced else line), cut, left, right, len(line) >= width - 2, after.get(i, -1) + 1, before.get(i, -1) + 1))
     return rows
 
 
@@ -262,31 +267,43 @@ def vocabulary(documents: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _bounded(vocabulary: DataFrame, rows: int) -> DataFrame:
+    """The vocabulary for a join: broadcast while it is small, else merged; the other side, which
+    may be much larger, is never broadcast."""
+    return F.broadcast(vocabulary) if rows * WORD_BYTES <= BROADCAST_BYTES else vocabulary.hint("merge")
+
+
 def _verdicts(words: DataFrame, vocabulary: DataFrame, ratio: int = RATIO) -> DataFrame:
     """``(word, right)``: words that are misreadings of much commoner ones."""
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("seen")).join(vocabulary.withColumnRenamed("n", "known"), "word", "left").select("word", F.coalesce("known", F.lit(0)).alias("known"), "seen")
     # a word seen as often as the most frequent could not be outnumbered
-    most, total = (x or 0 for x in vocabulary.agg(F.max("n"), F.sum("n")).collect()[0])
+    most, total, n_vocab = (x or 0 for x in vocabulary.agg(F.max("n"), F.sum("n"), F.count(F.lit(1))).collect()[0])
     rare = max(5.0, RARE_SHARE * total)
     suspects = staged(counted.filter((F.length("word") >= 3) & F.col("word").rlike(r"\p{L}") & (F.col("known") * ratio <= most)), "suspects")
 
-    def propose(batches: Iterator[pd.DataFrame], twice: bool) -> Iterator[pd.DataFrame]:
+    def propose(batches: Iterator[pa.RecordBatch], twice: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for word, known in zip(b["word"], b["known"], strict=True):
+            words, counts, rights = [], [], []
+            for word, known in zip(b.column("word").to_pylist(), b.column("known").to_pylist(), strict=True):
                 if sum(c.isalpha() for c in word) < 2:
                     continue
                 first = corrections(word)
                 if twice:
                     first = {c for f in first for c in corrections(f)}
-                rows += [(word, known, f) for f in first if f.isalpha() or "'" in f or "’" in f]
-            yield pd.DataFrame(rows, columns=["word", "known", "right"])
+                forms = [f for f in first if f.isalpha() or "'" in f or "’" in f]
+                words += [word] * len(forms)
+                counts += [known] * len(forms)
+                rights += forms
+                if len(words) >= PROPOSED_TOGETHER:
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64()), pa.array(rights, pa.string())], names=["word", "known", "right"])
+                    words, counts, rights = [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64()), pa.array(rights, pa.string())], names=["word", "known", "right"])
 
     schema = "word string, known long, right string"
 
     def judged(source: DataFrame, twice: bool) -> DataFrame:
-        proposed = source.select("word", "known").mapInPandas(lambda it: propose(it, twice), schema)
-        met = proposed.join(vocabulary.withColumnRenamed("word", "right"), "right")
+        proposed = source.select("word", "known").mapInArrow(lambda it: propose(it, twice), schema)
+        met = proposed.join(_bounded(vocabulary.withColumnRenamed("word", "right"), n_vocab), "right")
         commoner = F.lit(SURE_RATIO) if twice else F.when(F.col("known") > rare, F.lit(SURE_RATIO)).otherwise(F.lit(ratio))
         return met.filter((F.col("n") >= commoner * F.col("known")) & (F.col("n") >= 2)).groupBy("word").agg(F.max(F.struct("n", "right")).alias("b")).select("word", F.col("b.right").alias("right"))
 
@@ -301,17 +318,20 @@ def _verdicts(words: DataFrame, vocabulary: DataFrame, ratio: int = RATIO) -> Da
 def _analysed(documents: DataFrame) -> DataFrame:
     scans = documents.filter((F.col("origin") == "scan") & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"doc_id": pa.int64(), "line_no": pa.int64(), "page": pa.bool_(), "spaced": pa.bool_(), "words": pa.list_(pa.string()), "cut": pa.string(), "left": pa.string(), "right": pa.string(), "full": pa.bool_(), "next_no": pa.int64(), "last_no": pa.int64()}
+
+    def analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(doc, *r) for doc, text in zip(b["doc_id"], b["text"], strict=True) for r in scan_lines(text)]
-            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "page", "spaced", "words", "cut", "left", "right", "full"])
+            rows = [(doc, *r) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for r in scan_lines(text)]
+            columns = zip(*rows, strict=True) if rows else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
 
-    return staged(bounded_batches(scans).mapInPandas(analyse, "doc_id long, line_no long, page boolean, spaced boolean, words array<string>, cut string, left string, right string, full boolean"), "lines")
+    return staged(bounded_batches(scans).mapInArrow(analyse, "doc_id long, line_no long, page boolean, spaced boolean, words array<string>, cut string, left string, right string, full boolean, next_no long, last_no long"), "lines")
 
 
 def _splits(lines: DataFrame, vocab: DataFrame, n_vocab: int) -> DataFrame:
-    """``(doc_id, line_no, left, right)`` of lines whose last word goes on in the next line."""
-    pairs = lines.filter(F.col("left").isNotNull()).select("doc_id", "line_no", "cut", "left", "right", "full")
+    """``(doc_id, line_no, next_no, left, right)`` of lines whose last word goes on in the next line."""
+    pairs = lines.filter(F.col("left").isNotNull()).select("doc_id", "line_no", "next_no", "cut", "left", "right", "full")
     lower = F.col("right").rlike(r"^\p{Ll}")
     marked = pairs.filter(F.col("cut") != "").withColumn("last", F.regexp_extract("left", r"([^-‐‑]+)$", 1))
     soft = marked.filter(F.col("cut").isin(*SOFT))
@@ -323,7 +343,7 @@ def _splits(lines: DataFrame, vocab: DataFrame, n_vocab: int) -> DataFrame:
     own = [c for c in asked.columns if c not in ("doc_id", "line_no")]
     roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("word")) for r in ("joined", "last", "right")]))
     words = asked.select("doc_id", "line_no", F.struct(*own).alias("own"), roles.alias("r")).select("doc_id", "line_no", "own", "r.role", "r.word")
-    met = words.join(bounded_broadcast(vocab, n_vocab * WORD_BYTES, BROADCAST_BYTES), "word", "left")
+    met = words.join(_bounded(vocab, n_vocab), "word", "left")
     counts = [F.coalesce(F.max(F.when(F.col("role") == r, F.col("n"))), F.lit(0)).alias(f"n_{r}") for r in ("joined", "last", "right")]
     asked = staged(met.groupBy("doc_id", "line_no").agg(F.first("own").alias("own"), *counts).select("doc_id", "line_no", "own.*", "n_joined", "n_last", "n_right"), "line_breaks")
     # a hyphen stays between two words that are never written as one
@@ -334,7 +354,7 @@ def _splits(lines: DataFrame, vocab: DataFrame, n_vocab: int) -> DataFrame:
     broken = (F.col("n_joined") >= 2) & (F.least("n_last", "n_right") * 20 <= F.col("n_joined")) & (F.least("n_last", "n_right") <= 2)
     unknown = (F.col("n_last") == 0) & (F.col("n_right") == 0) & F.col("full") & F.col("left").rlike(r"^[\p{L}\p{M}]+$") & F.col("right").rlike(r"^[\p{L}\p{M}]+$")
     bare = bare.filter(broken | unknown)
-    keep = ["doc_id", "line_no", "left", "right"]
+    keep = ["doc_id", "line_no", "next_no", "left", "right"]
     return soft.select(*keep).unionByName(hard.select(*keep)).unionByName(bare.select(*keep))
 
 
@@ -345,19 +365,14 @@ def repair_evidence(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     vocab = staged(vocabulary(documents), "vocabulary")
     n_vocab = vocab.count()
     splits = staged(_splits(lines, vocab, n_vocab), "splits")
-    cut_lines = splits.select("doc_id", "line_no", F.lit(True).alias("cuts"))
-    # words of body lines; halves of cut words count as the joined word
-    body = lines.filter(~F.col("page")).select("doc_id", "line_no", F.posexplode("words").alias("at", "word"), F.size("words").alias("size"))
-    before = cut_lines.select("doc_id", "line_no", "cuts")
-    ends = body.filter(F.col("at") == F.col("size") - 1).join(before, ["doc_id", "line_no"], "left_anti")
-    following = lines.filter(~F.col("page")).select("doc_id", "line_no")
-    next_line = F.lead("line_no").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    follow = following.withColumn("next_no", next_line).join(splits, ["doc_id", "line_no"])
-    starts = body.filter(F.col("at") == 0).join(follow.select("doc_id", F.col("next_no").alias("line_no")), ["doc_id", "line_no"], "left_anti")
-    inner = body.filter((F.col("at") > 0) & (F.col("at") < F.col("size") - 1))
-    single = ends.filter(F.col("at") == 0).join(starts.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi")
-    whole = inner.unionByName(ends.filter(F.col("at") > 0)).unionByName(starts.filter(F.col("size") > 1)).unionByName(single).select("doc_id", "line_no", "word")
-    joined = follow.select("doc_id", "line_no", "next_no", F.concat(F.regexp_extract("left", r"([^-‐‑]+)$", 1), "right").alias("word"), F.length(F.regexp_extract("left", r"([^-‐‑]+)$", 1)).alias("n_left"))
+    # words of body lines, without the halves of cut words, which count as the joined word
+    cuts = splits.select("doc_id", "line_no", F.lit(1).alias("cuts"))
+    goes_on = cuts.select("doc_id", F.col("line_no").alias("last_no"), F.col("cuts").alias("goes_on"))
+    body = lines.filter(~F.col("page")).select("doc_id", "line_no", "last_no", "words").join(cuts, ["doc_id", "line_no"], "left").join(goes_on, ["doc_id", "last_no"], "left")
+    first, less = F.coalesce("goes_on", F.lit(0)), F.coalesce("goes_on", F.lit(0)) + F.coalesce("cuts", F.lit(0))
+    whole = body.select("doc_id", "line_no", F.explode(F.slice("words", first + 1, F.greatest(F.size("words") - less, F.lit(0)))).alias("word"))
+    last_part = F.regexp_extract("left", r"([^-‐‑]+)$", 1)
+    joined = splits.select("doc_id", "line_no", "next_no", F.concat(last_part, "right").alias("word"), F.length(last_part).alias("n_left"))
     verdicts = _verdicts(whole.select("word").unionByName(joined.select("word")), vocab)
     small = bounded_broadcast(verdicts.withColumnRenamed("right", "corrected"), verdicts.count() * 2 * WORD_BYTES, BROADCAST_BYTES)
     wrong = whole.join(small, "word").select("doc_id", "line_no", "word", F.col("corrected").alias("right"))
