@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions import vectors as V
+from quarrymill.tables import staged
 
 #: Similarity in percent that a vector match must exceed.
 SIMILARITY = 66.0
@@ -55,9 +56,18 @@ def merge_keywords(results: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, ranked).groupBy("doc_id", "term").agg(F.max_by("score", "priority").alias("score"))
 
 
+#: Sentences of a document that are searched together.
+PASSAGE_BLOCK = 1_000
+
+
 def text_passages(words: DataFrame, sentences: DataFrame) -> DataFrame:
     """``(doc_id, word, passages)``: the different sentences of the document that contain the word
-    exactly, sorted. The join is on the document, containment is tested on what meets there."""
-    wanted = words.select("doc_id", "word").filter(F.length("word") > 0).distinct()
-    met = wanted.join(sentences.select("doc_id", "sentence"), "doc_id").filter(F.contains("sentence", "word"))
+    exactly, sorted. Words meet the sentences of their document in blocks, so that a document of very
+    many sentences is not one task."""
+    wanted = staged(words.select("doc_id", "word").filter(F.length("word") > 0).distinct(), "words")
+    known = sentences.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    part = F.floor(F.col("sent_id") / PASSAGE_BLOCK) if "sent_id" in sentences.columns else F.lit(0)
+    cut = staged(known.select("doc_id", part.alias("part"), "sentence"), "sentences")
+    parts = cut.select("doc_id", "part").distinct()
+    met = wanted.join(parts, "doc_id").join(cut, ["doc_id", "part"]).filter(F.contains("sentence", "word"))
     return met.groupBy("doc_id", "word").agg(F.sort_array(F.collect_set("sentence")).alias("passages"))

@@ -30,6 +30,16 @@ def _keep(lines: DataFrame, condition: Column) -> DataFrame:
     return lines.withColumn("_n", count).filter((F.col("_n") <= BYPASS) | condition).drop("_n")
 
 
+def metrics(lines: DataFrame, min_length: int = 2) -> DataFrame:
+    """``(doc_id, line_no, chars, dots, digits, blanks, terms, percent)``: counts of each line and its
+    table-of-contents percentage; terms are counted once."""
+    line = F.col("line")
+    counted = lines.select(
+        "doc_id", "line_no", F.length(line).cast("long").alias("chars"), T.count_matches(line, r"\.").alias("dots"), T.count_matches(line, r"\p{Nd}").alias("digits"), T.count_matches(line, " ").alias("blanks"),
+        T.term_count(line, min_length).alias("terms"))
+    return counted.withColumn("percent", T.contents_share(F.col("dots"), F.col("digits"), F.col("blanks"), F.col("terms")))
+
+
 def drop_unimportant(lines: DataFrame, keepwords: list[str] | None = None, min_terms: int = 5, min_length: int = 2, keepword_xor: bool = True) -> DataFrame:
     """Drop blank lines, lines of digits, and lines that are short or else hold a keep-word, but
     not both. ``keepword_xor=False`` drops short lines without a keep-word only."""

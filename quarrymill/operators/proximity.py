@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.tables import staged
+
 EARTH_RADIUS_M = 6_371_000.0
 #: Points of one cell that one task compares at a time; fuller cells are split into chunks.
 CELL_CHUNK = 2048
@@ -109,18 +111,26 @@ def near_pairs(df: DataFrame, radius_m: float = 200.0, id_col: str = "id", lat_c
     return near.select(F.least("q_id", "id").alias("id_a"), F.greatest("q_id", "id").alias("id_b"), distance.alias("distance_m"))
 
 
-def _inside(ring: Column, lat: Column, lon: Column) -> Column:
-    """Even-odd rule over a ring of ``struct(lat, lon)`` vertices (open or closed)."""
-    n = F.size(ring)
+def _edges(regions: DataFrame, region_col: str, ring_col: str) -> DataFrame:
+    """``(region_id, a_lat, a_lon, b_lat, b_lon)``: the edges of every ring, longitudes running on
+    beyond 180 degrees where a ring crosses that meridian."""
+    rings = regions.select(F.col(region_col).alias("region_id"), F.col(ring_col).alias("ring")).filter(F.size("ring") >= 3)
+    # several rings of one id stay apart
+    vertices = rings.withColumn("ring_no", F.monotonically_increasing_id()).select("region_id", "ring_no", F.posexplode("ring").alias("at", "v")).select("region_id", "ring_no", "at", F.col("v.lat").alias("lat"), F.col("v.lon").alias("lon"))
+    order = Window.partitionBy("region_id", "ring_no").orderBy("at")
+    jump = F.col("lon") - F.lag("lon").over(order)
+    turned = vertices.withColumn("turn", F.when(jump > 180, -360.0).when(jump < -180, 360.0).otherwise(0.0))
+    turned = turned.withColumn("lon", F.col("lon") + F.sum("turn").over(order)).drop("turn")
+    whole = Window.partitionBy("region_id", "ring_no").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = lambda c: F.coalesce(F.lead(c).over(order), F.first(c).over(whole))
+    return turned.select("region_id", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), after("lat").alias("b_lat"), after("lon").alias("b_lon")).filter("a_lat <> b_lat OR a_lon <> b_lon")
 
-    def crosses(i: Column) -> Column:
-        a, b = F.element_at(ring, i), F.element_at(ring, F.when(i == n, F.lit(1)).otherwise(i + 1))
-        span = (a["lat"] > lat) != (b["lat"] > lat)
-        at = (b["lon"] - a["lon"]) * F.try_divide(lat - a["lat"], b["lat"] - a["lat"]) + a["lon"]
-        return F.when(span & (lon < at), F.lit(1)).otherwise(F.lit(0))
 
-    hits = F.aggregate(F.transform(F.sequence(F.lit(1), n), crosses), F.lit(0), lambda s, x: s + x)
-    return (n >= 3) & (hits % 2 == 1)
+def _crossing(lat: Column, lon: Column) -> Column:
+    """1 if a ray from the point to the east meets the edge, else 0 (even-odd rule)."""
+    span = (F.col("a_lat") > lat) != (F.col("b_lat") > lat)
+    at = (F.col("b_lon") - F.col("a_lon")) * F.try_divide(lat - F.col("a_lat"), F.col("b_lat") - F.col("a_lat")) + F.col("a_lon")
+    return F.when(span & (lon < at), 1).otherwise(0)
 
 
 def containing_regions(
@@ -128,19 +138,40 @@ def containing_regions(
 ) -> DataFrame:
     """``(id, region_id)`` for every point inside a region.
 
-    A region is one ring, an array of ``struct(lat, lon)``, that does not cross the 180th
-    meridian; fewer than three vertices or null contain nothing. Regions are spread over the
-    cells of their bounding box, points hash to one cell, the even-odd rule decides.
+    A region is one ring, an array of ``struct(lat, lon)``, or several rows of rings; two neighbours
+    more than 180 degrees of longitude apart are joined over the 180th meridian. Fewer than three
+    vertices or null contain nothing, nor does a ring around a pole have a defined inside.
+
+    Rings are taken apart: every edge goes to the rows of cells it passes. A cell that no edge
+    touches is inside or outside as a whole, which its centre decides, and its points need no test;
+    points of touched cells are tested against the edges of their row only. No ring is copied.
     """
+    around = max(1, math.ceil(360 / cell_degrees))
+    width, step = 360 / around, cell_degrees
+    row_of = lambda lat: F.floor((lat + 90) / F.lit(step)).cast("long")
+    col_of = lambda lon: F.floor((lon + 180) / F.lit(width)).cast("long")
+    edges = _edges(regions, region_col, ring_col)
+    low, high = F.least("a_lat", "b_lat"), F.greatest("a_lat", "b_lat")
+    edges = staged(edges.withColumn("row", F.explode(F.sequence(row_of(low), row_of(high)))), "region_edges")
+    # the part of the edge inside its row, a little widened against rounding
+    bottom, top = F.col("row") * step - 90, (F.col("row") + 1) * step - 90
+    at = lambda lat: F.coalesce(F.col("a_lon") + (F.col("b_lon") - F.col("a_lon")) * F.try_divide(lat - F.col("a_lat"), F.col("b_lat") - F.col("a_lat")), F.col("a_lon"))
+    ends = [at(F.greatest(low, bottom)), at(F.least(high, top))]
+    flat = low == high
+    left = F.when(flat, F.least("a_lon", "b_lon")).otherwise(F.least(*ends)) - 1e-9
+    right = F.when(flat, F.greatest("a_lon", "b_lon")).otherwise(F.greatest(*ends)) + 1e-9
+    touched = staged(edges.select("region_id", "row", F.explode(F.sequence(col_of(left), col_of(right))).alias("col")).distinct(), "touched")
+    spans = touched.groupBy("region_id", "row").agg(F.min("col").alias("first"), F.max("col").alias("last"))
+    free = spans.select("region_id", "row", F.explode(F.sequence("first", "last")).alias("col")).join(touched, ["region_id", "row", "col"], "left_anti")
+    centre = _crossing((F.col("row") + 0.5) * step - 90, (F.col("col") + 0.5) * width - 180)
+    inner = free.join(edges, ["region_id", "row"]).groupBy("region_id", "row", "col").agg(F.sum(centre).alias("n")).filter("n % 2 = 1").drop("n")
+    cells = inner.withColumn("whole", F.lit(True)).unionByName(touched.withColumn("whole", F.lit(False)))
+    key = lambda row, col: F.shiftleft(row, 32) + F.pmod(col, F.lit(around))
+    cells = cells.select("region_id", "row", "whole", key(F.col("row"), F.col("col")).alias("cell"), (F.floor(F.col("col") / around) * 360.0).alias("turn"))
+
     pts = _points(points, id_col, lat_col, lon_col)
-    index = lambda c, low: F.floor((c + low) / cell_degrees).cast("long")
-    pts = pts.withColumn("cell", F.shiftleft(index(F.col("lat"), 90), 32) + index(F.col("lon"), 180))
-    areas = regions.select(F.col(region_col).alias("region_id"), F.col(ring_col).alias("ring")).filter(F.size("ring") >= 3)
-    lats, lons = F.transform("ring", lambda v: v["lat"]), F.transform("ring", lambda v: v["lon"])
-    areas = (
-        areas.withColumn("_row", F.explode(F.sequence(index(F.array_min(lats), 90), index(F.array_max(lats), 90))))
-        .withColumn("_col", F.explode(F.sequence(index(F.array_min(lons), 180), index(F.array_max(lons), 180))))
-        .withColumn("cell", F.shiftleft(F.col("_row"), 32) + F.col("_col")).drop("_row", "_col")
-    )
-    pts, areas = split_full_cells(pts, areas, 1 << 16)
-    return pts.join(areas, ["cell", "part"]).filter(_inside(F.col("ring"), F.col("lat"), F.col("lon"))).select("id", "region_id").distinct()
+    pts = pts.withColumn("cell", key(row_of(F.col("lat")), col_of(F.col("lon"))))
+    pts, cells = split_full_cells(pts, cells, 1 << 16)
+    met = pts.join(cells, ["cell", "part"]).select("id", "lat", (F.col("lon") + F.col("turn")).alias("lon"), "region_id", "row", "whole")
+    tested = met.filter("NOT whole").join(edges, ["region_id", "row"]).groupBy("id", "region_id", "lon").agg(F.sum(_crossing(F.col("lat"), F.col("lon"))).alias("n")).filter("n % 2 = 1")
+    return met.filter("whole").select("id", "region_id").unionByName(tested.select("id", "region_id")).distinct()

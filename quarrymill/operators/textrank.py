@@ -7,8 +7,6 @@ more edges than one task should hold go through a loop of joins that gives the s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,6 +17,8 @@ from quarrymill.tables import staged
 DAMPING = 0.85
 #: Edges of a document up to which one task ranks it.
 GROUP_EDGES = 2_000_000
+#: Edges of a bucket of documents, about.
+BUCKET_EDGES = 250_000
 
 
 def edges(corpus: DataFrame, window: int = 5, min_terms: int = 0) -> DataFrame:
@@ -49,10 +49,13 @@ def linked_terms(graph: DataFrame, max_links: int = 10) -> DataFrame:
     return both.select("doc_id", "term", F.coalesce("links_in", empty).alias("links_in"), F.coalesce("links_out", empty).alias("links_out"))
 
 
-def _rank_group(pdf: pd.DataFrame, iterations: int, normalise: bool, direction: str) -> pd.DataFrame:
-    src, dst = pdf["src"].to_numpy(), pdf["dst"].to_numpy()
-    names, codes = np.unique(np.concatenate([src, dst]).astype(str), return_inverse=True)
-    s, d, n = codes[: len(src)], codes[len(src) :], len(names)
+def _rank_many(pdf: pd.DataFrame, iterations: int, normalise: bool, direction: str) -> pd.DataFrame:
+    """Ranks of all documents of a bucket at once: a vertex is a document with a term."""
+    codes, words = pd.factorize(pd.concat([pdf["src"], pdf["dst"]], ignore_index=True))
+    doc, docs = pd.factorize(pdf["doc_id"])
+    vertices, at = np.unique(np.concatenate([doc, doc]).astype(np.int64) * len(words) + codes, return_inverse=True)
+    s, d, n = at[: len(pdf)], at[len(pdf) :], len(vertices)
+    home = vertices // len(words)
     degree = np.bincount(s, pdf["weight"].to_numpy(float), minlength=n)
     value = np.ones(n)
     into, out_of = (s, d) if direction == "out" else (d, s)
@@ -60,12 +63,15 @@ def _rank_group(pdf: pd.DataFrame, iterations: int, normalise: bool, direction:
     for _ in range(iterations):
         value = (1 - DAMPING) + DAMPING * np.bincount(into, share * value[out_of], minlength=n)
         if normalise:
-            value = value / np.sqrt((value * value).sum())
-    return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "term": names, "score": value})
+            value = value / np.sqrt(np.bincount(home, value * value))[home]
+    return pd.DataFrame({"doc_id": docs[home], "term": np.asarray(words)[vertices % len(words)], "score": value})
 
 
-def rank_by_groups(graph: DataFrame, iterations: int = 10, normalise: bool = True, direction: str = "out") -> DataFrame:
-    return graph.select("doc_id", "src", "dst", "weight").groupBy("doc_id").applyInPandas(lambda p: _rank_group(p, iterations, normalise, direction), "doc_id long, term string, score double")
+def rank_by_groups(graph: DataFrame, iterations: int = 10, normalise: bool = True, direction: str = "out", buckets: int = 8) -> DataFrame:
+    """Ranks of documents that fit into a task, many of them together in each of the buckets."""
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets))
+    doc_type = graph.schema["doc_id"].dataType.simpleString()
+    return graph.select("doc_id", "src", "dst", "weight").groupBy(bucket.alias("bucket")).applyInPandas(lambda p: _rank_many(p, iterations, normalise, direction), f"doc_id {doc_type}, term string, score double")
 
 
 def rank_by_joins(graph: DataFrame, iterations: int = 10, normalise: bool = True, direction: str = "out") -> DataFrame:
@@ -93,8 +99,10 @@ def textrank(corpus: DataFrame, window: int = 5, iterations: int = 10, normalise
         corpus = corpus.filter(F.col("pos_tag").isin(*tags))
     graph = staged(edges(corpus, window), "edges")
     sizes = graph.groupBy("doc_id").count()
+    total, most = (x or 0 for x in sizes.agg(F.sum("count"), F.max("count")).collect()[0])
+    buckets = max(1, total // BUCKET_EDGES + 1)
+    if most <= group_edges:
+        return rank_by_groups(graph, iterations, normalise, direction, buckets)
     large = staged(sizes.filter(F.col("count") > group_edges).select("doc_id"), "large")
-    if not large.limit(1).count():
-        return rank_by_groups(graph, iterations, normalise, direction)
     small = graph.join(large, "doc_id", "left_anti")
-    return rank_by_groups(small, iterations, normalise, direction).unionByName(rank_by_joins(graph.join(large, "doc_id", "left_semi"), iterations, normalise, direction))
+    return rank_by_groups(small, iterations, normalise, direction, buckets).unionByName(rank_by_joins(graph.join(large, "doc_id", "left_semi"), iterations, normalise, direction))

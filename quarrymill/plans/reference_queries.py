@@ -110,10 +110,7 @@ def clean_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_LINES}, {_COUNTS} SELECT doc_id, line_no, length(line) AS chars, CAST(dots AS INTEGER) AS dots, CAST(digits AS INTEGER) AS digits, CAST(blanks AS INTEGER) AS blanks, CAST(terms AS INTEGER) AS terms, percent FROM metrics")
 def line_metrics(spark: SparkSession, d: str) -> DataFrame:
-    line = F.col("line")
-    return lines.to_lines(_documents(spark, d)).select(
-        "doc_id", "line_no", F.length(line).cast("long").alias("chars"), T.count_matches(line, r"\.").alias("dots"), T.count_matches(line, r"\p{Nd}").alias("digits"), T.count_matches(line, " ").alias("blanks"),
-        T.term_count(line).alias("terms"), T.contents_percent(line).alias("percent"))
+    return lines.metrics(lines.to_lines(_documents(spark, d)))
 
 
 _KEEPWORDS = ["Umweltbericht", "Anlage"]

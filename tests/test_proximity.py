@@ -57,3 +57,28 @@ def test_regions(spark):
     regions = spark.createDataFrame([(1, ring), (2, notch), (3, [(0.0, 0.0)]), (4, None)], "region_id int, ring array<struct<lat:double,lon:double>>")
     got = rows(containing_regions(frame(spark, [(1, (2.0, 5.0)), (2, (9.0, 5.0)), (3, (20.0, 5.0)), (4, (None, 1.0))]), regions, 1.0))
     assert got == [(1, 1), (1, 2), (2, 1)]
+
+
+def inside(ring, lat, lon):
+    hit = False
+    for (a_lat, a_lon), (b_lat, b_lon) in zip(ring, ring[1:] + ring[:1], strict=True):
+        if (a_lat > lat) != (b_lat > lat) and lon < (b_lon - a_lon) * (lat - a_lat) / (b_lat - a_lat) + a_lon:
+            hit = not hit
+    return hit
+
+
+def test_regions_against_brute_force(spark):
+    """Stars of many edges, one over the 180th meridian, in coarse and fine cells."""
+    rng = random.Random(11)
+
+    def star(lat, lon, n):
+        return [(lat + (2 + 3 * (i % 2)) * math.sin(2 * math.pi * i / n), lon + (2 + 4 * (i % 3)) * math.cos(2 * math.pi * i / n)) for i in range(n)]
+
+    stars = {1: star(10.0, 20.0, 60), 2: star(12.0, 22.0, 9), 3: star(-40.0, 179.0, 40), 4: [(0.0, 0.0), (0.0, 30.0), (30.0, 30.0), (30.0, 0.0)]}
+    wrap = lambda lon: (lon + 180) % 360 - 180
+    regions = spark.createDataFrame([(k, [(a, wrap(o)) for a, o in ring]) for k, ring in stars.items()], "region_id int, ring array<struct<lat:double,lon:double>>")
+    points = [(i, (rng.uniform(-50, 35), wrap(rng.choice([rng.uniform(-5, 40), rng.uniform(170, 190)])))) for i in range(1500)]
+    want = sorted((i, k) for i, (lat, lon) in points for k, ring in stars.items() if inside(ring, lat, lon) or inside(ring, lat, lon + 360))
+    for degrees in (0.7, 5.0):
+        assert sorted((r["id"], r["region_id"]) for r in containing_regions(frame(spark, points), regions, degrees).collect()) == want
+    assert len({k for _, k in want}) == 4
