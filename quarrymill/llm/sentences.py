@@ -50,6 +50,23 @@ INNER = {
     "ru": "т е напр ок см тыс млн млрд руб", "el": "π χ δηλ βλ κ", "hi": "कि मी", "ar": "",
 }
 FINAL = {"de": "usw etc MwSt ff f Co KG h Chr Uhr Std Min", "en": "etc Ltd Inc Corp Co Jr Sr a.m p.m", "fr": "etc", "ru": "д п г гг в вв", "el": "κτλ λπ", "hi": "", "ar": ""}
+# The same of further languages in Latin script, which are used where their function words prevail.
+FURTHER = {
+    "es": {"NUMBERED": "núm nº art arts pág págs fig vol cap tel apdo", "TITLES": "Sr Sra Srta Dr Dra Prof D Dª Ing Lic Arq Av Avda Ud Uds", "INNER": "aprox máx mín p ej vid cf c s", "FINAL": "etc S.A S.L a.C d.C"},
+    "it": {"NUMBERED": "n nn art artt pag pagg fig vol cap tel", "TITLES": "Sig Sigg Sig.ra Dott Dott.ssa Prof Ing Arch Avv On S", "INNER": "ca es max min cfr vd c s", "FINAL": "ecc S.p.A S.r.l a.C d.C"},
+    "pt": {"NUMBERED": "nº núm art arts pág págs fig vol cap tel", "TITLES": "Sr Sra Dr Dra Prof Eng Arq Av D", "INNER": "aprox máx mín p ex cf c s", "FINAL": "etc S.A Lda Ltda a.C d.C"},
+    "nl": {"NUMBERED": "nr nrs art blz fig hfdst par tel", "TITLES": "dhr mevr mw dr prof ir ing drs mr", "INNER": "ca bijv bv d w z o a i v m incl excl max min resp evt", "FINAL": "enz etc B.V N.V"},
+    "pl": {"NUMBERED": "nr art ust pkt poz rys str tab tel", "TITLES": "dr prof inż mgr ul al pl os św", "INNER": "np tzn tj ok m in r.b ww max min", "FINAL": "itd itp in r w tys mln"},
+    "tr": {"NUMBERED": "No no md s sf şek tel", "TITLES": "Dr Prof Doç Av Sn Cad Sok Mah", "INNER": "örn bkz yak vs maks min", "FINAL": "vb vd A.Ş Ltd Şti"},
+}
+#: Function words that tell them from each other and from German, English and French.
+FURTHER_WORDS = {
+    "es": "el|los|las|y|con|por|del|una|como|más|pero|está", "it": "il|della|che|per|gli|nel|sono|anche|di|con|dello|alla", "pt": "os|dos|das|não|uma|com|para|ao|pela|são|em",
+    "nl": "het|een|van|niet|met|zijn|voor|dat|ook|wordt|aan", "pl": "się|jest|nie|oraz|przez|przy|dla|że|na|została", "tr": "ve|bir|bu|için|ile|olarak|değil|daha|olan|çok",
+}
+#: A text with fewer function words of German, English or French in so many characters is tried for
+#: the further languages.
+SPARSE = 120
 MONTHS = (
     "Jan(?:uar|uary)?|Jän(?:ner)?|Feb(?:ruar|ruary|er)?|März|Mär|Apr(?:il)?|Mai|Juni?|Juli?|Aug(?:ust)?|Sept?(?:ember)?|Okt(?:ober)?|Nov(?:ember)?|Dez(?:ember)?|"
     "Quartal|Halbjahr|Jahrhundert|Jh|Änderung|Auflage|Bauabschnitt|Obergeschoss|Stock|OG|UG|Auslegung|Sitzung|Fassung|Nachtrag|Abschnitt"
@@ -70,11 +87,12 @@ def _words(names: str) -> str:
 
 def _table(lang: str) -> list[tuple[bool, str, str]]:
     b = r"(?<![\p{L}\p{M}\p{N}])"
+    numbered, titles, inner, final = FURTHER[lang].values() if lang in FURTHER else (t[lang] for t in (NUMBERED, TITLES, INNER, FINAL))
     return [
-        (JOIN, rf"{b}(?:{_words(NUMBERED[lang])})\.", r"\s*(?:[(+§]*\p{N}|§|[IVXLC]+\b|\p{Lu}{1,4}[/\-–.]?\s?\p{N}|\p{Lu}\b(?![.'’\s]\s*\p{Ll}))"),
-        (JOIN, rf"{b}(?:{_words(TITLES[lang])})\.", rf"\s*(?:\p{{Lu}}|{L})"),
-        (JOIN, rf"{b}(?:{_words(INNER[lang])})\.", r"\s*\S"),
-        (BREAK, rf"{b}(?:{_words(FINAL[lang])})\.", r"\s+[\p{Lu}\p{Lo}\"„“«»(\[]"),
+        (JOIN, rf"{b}(?:{_words(numbered)})\.", r"\s*(?:[(+§]*\p{N}|§|[IVXLC]+\b|\p{Lu}{1,4}[/\-–.]?\s?\p{N}|\p{Lu}\b(?![.'’\s]\s*\p{Ll}))"),
+        (JOIN, rf"{b}(?:{_words(titles)})\.", rf"\s*(?:\p{{Lu}}|{L})"),
+        (JOIN, rf"{b}(?:{_words(inner)})\.", r"\s*\S"),
+        (BREAK, rf"{b}(?:{_words(final)})\.", r"\s+[\p{Lu}\p{Lo}\"„“«»(\[]"),
     ]
 
 
@@ -120,9 +138,10 @@ REST: list[tuple[bool, str, str]] = [
 ]
 
 
-def _plain_word() -> tuple[bool, str, str]:
+def _plain_word(langs: tuple[str, ...]) -> tuple[bool, str, str]:
     """Most marks: after a word that is no abbreviation anywhere, before a capitalised word."""
-    short = " ".join(w for t in (NUMBERED, TITLES, INNER, FINAL) for names in t.values() for w in names.split() if len(w) > 2)
+    tables = [names for t in (NUMBERED, TITLES, INNER, FINAL) for names in t.values()] + [names for lang in langs if lang in FURTHER for names in FURTHER[lang].values()]
+    short = " ".join(w for names in tables for w in names.split() if len(w) > 2)
     return BREAK, rf"(?<!(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{_words(short)}))(?<=\p{{L}}{{3}})[.!?]", r"\s+\p{Lu}\p{Ll}"
 
 
@@ -130,13 +149,13 @@ def _plain_word() -> tuple[bool, str, str]:
 def rules(langs: tuple[str, ...]) -> list[tuple[bool, regex.Pattern]]:
     """The cascade for a block: each rule as one pattern with both contexts."""
     latin = bool({"de", "en", "fr"} & set(langs))
-    table = [_plain_word(), *COMMON] if latin else list(COMMON)
+    table = [_plain_word(langs), *COMMON] if latin else list(COMMON)
     if "cjk" in langs:
         table += CJK
     if latin:
         table += FIRMS
     for lang in langs:
-        if lang in NUMBERED:
+        if lang in NUMBERED or lang in FURTHER:
             table += _table(lang)
     table += LATIN if latin else LATIN[-2:] if "ru" in langs or "el" in langs else []
     return [(kind, regex.compile(rf"(?<={before})(?={after})" if before else rf"(?={after})")) for kind, before, after in table + REST]
@@ -147,6 +166,8 @@ _SCRIPTS = [(k, regex.compile(p)) for k, p in _SCRIPTS]
 _LANGS = {"de": "de", "ger": "de", "deu": "de", "en": "en", "eng": "en", "fr": "fr", "fra": "fr", "fre": "fr"}
 _TELL = {k: regex.compile(rf"(?<!\p{{L}})(?:{v})(?!\p{{L}})", regex.I) for k, v in {"de": "der|die|das|und|ist|nicht|mit|von|den|im|zu|auf", "en": "the|of|and|is|at|by|to|for|with", "fr": "le|la|les|des|est|une|du|et|pour|au"}.items()}
 
+_TELL_FURTHER = {k: regex.compile(rf"(?<!\p{{L}})(?:{v})(?!\p{{L}})", regex.I) for k, v in FURTHER_WORDS.items()}
+
 
 def scripts(text: str) -> tuple[str, ...]:
     return ("latin",) if text.isascii() else tuple(k for k, p in _SCRIPTS if p.search(text))
@@ -156,6 +177,12 @@ def latin_order(text: str, declared: str | None) -> tuple[str, ...]:
     """Languages in Latin script, the likeliest first: by function words, then as declared."""
     first = _LANGS.get((declared or "").lower()[:3]) or _LANGS.get((declared or "").lower()[:2])
     score = {k: len(p.findall(text)) + (0.5 if k == first else 0) for k, p in _TELL.items()}
+    best, told = max(score.values()), (declared or "").lower()[:2]
+    if best * SPARSE < len(text) or told in FURTHER:
+        further = {k: len(p.findall(text)) + (0.5 if k == told else 0) for k, p in _TELL_FURTHER.items()}
+        likeliest = max(further, key=further.__getitem__)
+        if further[likeliest] > best:
+            score[likeliest] = further[likeliest]
     return tuple(sorted(score, key=lambda k: -score[k]))
 
 
