@@ -235,15 +235,15 @@ def textrank_10iter(spark: SparkSession, d: str) -> DataFrame:
     return _score(textrank.textrank(_tagged(spark, d)))
 
 
-@query(f"""WITH {_EDGES}, {_ranks(1)},
+@query(f"""WITH {_EDGES}, {_ranks(10)},
     sized AS (SELECT *, count(*) OVER (PARTITION BY doc_id, sent_id) AS sent_size FROM tokens),
     per_sentence AS (SELECT doc_id, sent_id, term, count(*) / first(sent_size) AS tf FROM sized GROUP BY 1, 2, 3),
     tf AS (SELECT doc_id, term, arg_max(tf, sent_id) AS tf, count(*) AS df FROM per_sentence GROUP BY 1, 2), n AS (SELECT doc_id, count(DISTINCT sent_id) AS n FROM tokens GROUP BY 1),
-    both_results AS (SELECT doc_id, term, tf * log10(n / df) AS score, 0 AS p FROM tf JOIN n USING (doc_id) UNION ALL SELECT doc_id, term, score, 1 FROM r1)
+    both_results AS (SELECT doc_id, term, tf * log10(n / df) AS score, 0 AS p FROM tf JOIN n USING (doc_id) UNION ALL SELECT doc_id, term, score, 1 FROM r10)
     SELECT doc_id, term, round(arg_max(score, p), 6) AS score FROM both_results GROUP BY 1, 2""")
 def keyword_merge(spark: SparkSession, d: str) -> DataFrame:
     corpus = _tagged(spark, d)
-    return _score(C.merge_keywords([tfidf.tfidf(corpus, tags=None), textrank.textrank(corpus, iterations=1)]))
+    return _score(C.merge_keywords([tfidf.tfidf(corpus, tags=None), textrank.textrank(corpus)]))
 
 
 # catalogs ------------------------------------------------------------------------------------
@@ -315,7 +315,7 @@ def analogy(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def word2vec_train(spark: SparkSession, d: str) -> DataFrame:
     g = _tagged(spark, d).groupBy("doc_id", "sent_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("tokens"))
-    return V.word_vectors(V.train_word_vectors(g, size=32))
+    return V.word_vectors(V.train_word_vectors(g))
 
 
 # entities ------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import urlparse
 from urllib.request import urlopen
 
@@ -26,25 +27,32 @@ def files(spark: SparkSession, path: str, recursive: bool = False, pattern: str
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
 
 
-def fetch(uris: DataFrame, uri_col: str = "uri", timeout: float = 30.0) -> DataFrame:
-    """Adds ``content``: bytes behind each URI, null where it can't be read (also null URIs)."""
+#: Contents longer than this are not read, and so many are read at a time by a task.
+LARGEST, AT_A_TIME = 256 << 20, 8
+
+
+def fetch(uris: DataFrame, uri_col: str = "uri", timeout: float = 30.0, largest: int = LARGEST) -> DataFrame:
+    """Adds ``content``: bytes behind each URI, null where it can't be read (also null URIs) or is
+    longer than ``largest``. Paths must be of a folder that all executors share; for many files of
+    one folder use ``files``."""
+
+    def one(uri: str | None) -> bytes | None:
+        try:
+            local = urlparse(uri).scheme in ("", "file")
+            with open(urlparse(uri).path, "rb") if local else urlopen(uri, timeout=timeout) as source:
+                got = source.read(largest + 1)
+            return got if len(got) <= largest else None
+        except Exception:  # any failure marks the document as unreadable
+            return None
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = []
-            for uri in b[uri_col]:
-                try:
-                    if urlparse(uri).scheme in ("", "file"):
-                        with open(urlparse(uri).path, "rb") as f:
-                            got.append(f.read())
-                    else:
-                        with urlopen(uri, timeout=timeout) as r:
-                            got.append(r.read())
-                except Exception:  # any failure marks the document as unreadable
-                    got.append(None)
-            yield b.assign(content=got)
+        with ThreadPoolExecutor(AT_A_TIME) as pool:
+            for b in batches:
+                for at in range(0, len(b), AT_A_TIME):
+                    part = b.iloc[at : at + AT_A_TIME]
+                    yield part.assign(content=list(pool.map(one, part[uri_col])))
 
-    return uris.mapInPandas(read, uris.schema.simpleString()[7:-1].replace(":", " ", 0) + ",content:binary")
+    return uris.mapInPandas(read, uris.schema.simpleString()[7:-1] + ",content:binary")
 
 
 def html_text(html: Column) -> Column:
