@@ -67,6 +67,8 @@ FURTHER_WORDS = {
 #: A text with fewer function words of German, English or French in so many characters is tried for
 #: the further languages.
 SPARSE = 120
+#: Abbreviations of FINAL that go on before a NUMBERED one: "§§ 4 f. Nr. 2".
+CITING = {"de": "f ff", "en": "f ff seq"}
 MONTHS = (
     "Jan(?:uar|uary)?|Jän(?:ner)?|Feb(?:ruar|ruary|er)?|März|Mär|Apr(?:il)?|Mai|Juni?|Juli?|Aug(?:ust)?|Sept?(?:ember)?|Okt(?:ober)?|Nov(?:ember)?|Dez(?:ember)?|"
     "Quartal|Halbjahr|Jahrhundert|Jh|Änderung|Auflage|Bauabschnitt|Obergeschoss|Stock|OG|UG|Auslegung|Sitzung|Fassung|Nachtrag|Abschnitt"
@@ -92,6 +94,7 @@ def _table(lang: str) -> list[tuple[bool, str, str]]:
         (JOIN, rf"{b}(?:{_words(numbered)})\.", r"\s*(?:[(+§]*\p{N}|§|[IVXLC]+\b|\p{Lu}{1,4}[/\-–.]?\s?\p{N}|\p{Lu}\b(?![.'’\s]\s*\p{Ll}))"),
         (JOIN, rf"{b}(?:{_words(titles)})\.", rf"\s*(?:\p{{Lu}}|{L})"),
         (JOIN, rf"{b}(?:{_words(inner)})\.", r"\s*\S"),
+        (JOIN, rf"\d\s*(?:{_words(CITING.get(lang, ''))})\.", rf"\s+(?:{_words(numbered)})\.\s*\p{{N}}"),
         (BREAK, rf"{b}(?:{_words(final)})\.", r"\s+[\p{Lu}\p{Lo}\"„“«»(\[]"),
     ]
 

@@ -28,6 +28,7 @@ SENTENCES = [
     ("zh", "居民说：“太窄了。”“何时开工？”一位老人问道。工期……不清楚。", ["居民说：“太窄了。”", "“何时开工？”一位老人问道。", "工期……不清楚。"]),
     ("ja", "「狭い。」と述べた。「いつ？」委員会は5.3メートル。", ["「狭い。」と述べた。", "「いつ？」", "委員会は5.3メートル。"]),
     ("th", "ใครจะจ่าย เริ่มเมื่อใด 94 วัน", ["ใครจะจ่าย", "เริ่มเมื่อใด 94 วัน"]), ("hi", "यह ठीक नहीं है। काम कब?", ["यह ठीक नहीं है।", "काम कब?"]), ("ar", "قالت: «ضيق.» من يدفع؟", ["قالت: «ضيق.»", "من يدفع؟"]),
+    ("de", "Das regelt § 4 ff. Abs. 2 und §§ 42 f. Nr. 3, aber nicht S. 5 f. Dann folgt mehr.", ["Das regelt § 4 ff. Abs. 2 und §§ 42 f. Nr. 3, aber nicht S. 5 f.", "Dann folgt mehr."]),
     ("es", "El Sr. López vive en la Avda. Real con los suyos. Véase la pág. 5 del plan, etc. Las obras empiezan hoy.", ["El Sr. López vive en la Avda. Real con los suyos.", "Véase la pág. 5 del plan, etc.", "Las obras empiezan hoy."]),
     ("it", "Il Sig. Rossi parla di alberi, ecc. Anche la fig. 3 della pag. 9 è nuova.", ["Il Sig. Rossi parla di alberi, ecc.", "Anche la fig. 3 della pag. 9 è nuova."]),
     ("nl", "Het plan van dhr. Jansen is niet klaar. Zie blz. 4 voor een kaart met bijv. wegen.", ["Het plan van dhr. Jansen is niet klaar.", "Zie blz. 4 voor een kaart met bijv. wegen."]),
