@@ -51,6 +51,10 @@ _AROUND = regex.compile(r"^[\x01\s.:\-–—]+|[\s:\-–—]+$")
 
 #: Equal spellings are normalised once; this many are remembered per worker and function.
 REMEMBERED = 50_000
+#: A town two letters off must be so much rarer than the one it is taken for.
+FAR_RATIO = 50
+#: Street forms of at least so many letters met at most so often may be spoilt forms of one name.
+TWIN_LETTERS, RARE = 10, 2
 #: Records of one place are paired in blocks of about this many.
 PAIR_BLOCK = 1_000
 
@@ -162,9 +166,11 @@ def variants(c: Column) -> Column:
     return F.array_distinct(F.concat(F.array(c), without))
 
 
-def _expanded(df: DataFrame, keys: list[str], form: str) -> DataFrame:
-    """One row per form of ``form``: the hash of the keys with it."""
+def _expanded(df: DataFrame, keys: list[str], form: str, letters: int = 1) -> DataFrame:
+    """One row per form of ``form`` with up to so many letters left out: the hash of the keys with it."""
     wide = df.filter(F.length(form) > 0).select(*keys, form, "n", F.explode(variants(F.col(form))).alias("variant"))
+    for _ in range(letters - 1):
+        wide = wide.select(*keys, form, "n", F.explode(variants(F.col("variant"))).alias("variant")).distinct()
     return wide.select(*keys, form, "n", F.xxhash64(*keys, "variant").alias("hash"))
 
 
@@ -172,11 +178,11 @@ def _close(a, b):  # noqa: ANN001
     return F.levenshtein(F.col(a), F.col(b), 2).between(1, 2)
 
 
-def frequent_forms(df: DataFrame, form: str, ratio: int) -> DataFrame:
+def frequent_forms(df: DataFrame, form: str, ratio: int, letters: int = 1) -> DataFrame:
     """``(form, better)``: forms one or two letters away from one ``ratio`` times as frequent, or
     from one that is itself so corrected: the most frequent at the end of the chain is taken. Words
-    of under five letters stay."""
-    wide = staged(_expanded(df.filter(F.length(form) >= 5), [], form), "variants")
+    of under five letters stay. ``letters``: how many may have to be left out of either form."""
+    wide = staged(_expanded(df.filter(F.length(form) >= 5), [], form, letters), "variants")
     # per hash only the most frequent form can correct the others
     top = wide.groupBy("hash").agg(F.max(F.struct("n", form)).alias("top"))
     found = wide.join(top.select("hash", F.col("top.n").alias("top_n"), F.col(f"top.{form}").alias("top_form")), "hash")
@@ -190,25 +196,51 @@ def frequent_forms(df: DataFrame, form: str, ratio: int) -> DataFrame:
         better = staged(better.join(onward, "better", "left").select(form, F.coalesce("further", "better").alias("better")), "better")
 
 
+def _weight(here: Column, everywhere: Column) -> Column:
+    """Number of records with a form under its keys, then everywhere, as one number."""
+    return F.shiftleft(here, 32) + F.least(everywhere, F.lit((1 << 32) - 1))
+
+
+def _everywhere(weight: Column) -> Column:
+    return weight.bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def rare_twins(different: DataFrame, keys: list[str], form: str) -> DataFrame:
+    """``(keys, form, n, hash)``: pairs of rare forms under the same keys, both spoilt, that are two
+    letters apart and so share no hash; each pair gets one. They meet by their first or last letters.
+    A form is rare if all records hold it at most ``RARE`` times: two real names are not taken for
+    one."""
+    rare = different.filter((_everywhere(F.col("n")) <= RARE) & (F.length(form) >= TWIN_LETTERS))
+    ends = F.array(F.concat(F.lit("<"), F.substring(form, 1, 4)), F.concat(F.substring(form, -8, 8), F.lit(">")))
+    keyed = staged(rare.select(*keys, form, "n", F.explode(ends).alias("end")), "rare")
+    other = keyed.select(*keys, "end", F.col(form).alias("other"), F.col("n").alias("other_n"))
+    pairs = keyed.join(other, [*keys, "end"]).filter((F.col(form) < F.col("other")) & _close(form, "other")).dropDuplicates([*keys, form, "other"])
+    hash_ = F.xxhash64(*keys, form, "other", F.lit("pair"))
+    both = F.explode(F.array(F.struct(F.col(form).alias("f"), F.col("n").alias("m")), F.struct(F.col("other").alias("f"), F.col("other_n").alias("m"))))
+    return pairs.select(*keys, both.alias("x"), hash_.alias("hash")).select(*keys, F.col("x.f").alias(form), F.col("x.m").alias("n"), "hash")
+
+
 def joined_spellings(different: DataFrame, keys: list[str], form: str) -> DataFrame:
     """``(keys, form, better)`` of forms that share a hash with others under the same keys: the form
     with the greatest ``n`` of the connected component. A form that is alone gives no row.
 
     Only hashes of several forms are kept; the greatest form then passes from hash to form and back
-    until nothing changes. No group is gathered: both ways are aggregates."""
+    until nothing changes. A form that more than ``RARE`` records hold keeps its own name, so that two
+    real names a letter apart stay apart. No group is gathered: both ways are aggregates."""
     wide = _expanded(different, keys, form)
     shared = wide.groupBy("hash").agg(F.min(form).alias("a"), F.max(form).alias("b")).filter("a <> b").select("hash")
-    links = staged(wide.join(shared, "hash", "left_semi"), "links")
-    labels = links.select(*keys, form, F.struct("n", form).alias("label")).distinct()
+    links = staged(wide.join(shared, "hash", "left_semi").unionByName(rare_twins(different, keys, form)), "links")
+    # names that many records hold are names of their own: they give their label and take none
+    rare = _everywhere(F.col("n")) <= RARE
+    labels = links.select(*keys, form, F.struct("n", form).alias("label"), rare.alias("takes")).distinct()
     while True:
         labels = staged(labels, "labels")
         by_hash = links.join(labels, [*keys, form]).groupBy("hash").agg(F.max("label").alias("label"))
-        passed = links.join(by_hash, "hash").groupBy(*keys, form).agg(F.max("label").alias("label"))
-        passed = staged(passed, "passed")
-        changed = passed.join(labels.withColumnRenamed("label", "old"), [*keys, form]).filter(F.col("label") != F.col("old"))
-        if changed.isEmpty():
+        best = links.join(by_hash, "hash").groupBy(*keys, form).agg(F.max("label").alias("best"))
+        passed = staged(labels.join(best, [*keys, form]).select(*keys, form, F.when(F.col("takes"), F.col("best")).otherwise(F.col("label")).alias("label"), "takes", (F.col("takes") & (F.col("best") != F.col("label"))).alias("changed")), "passed")
+        if passed.filter("changed").isEmpty():
             return labels.select(*keys, form, F.col(f"label.{form}").alias("better"))
-        labels = passed
+        labels = passed.drop("changed")
 
 
 def addressed(df: DataFrame) -> DataFrame:
@@ -231,8 +263,10 @@ def addressed(df: DataFrame) -> DataFrame:
 
     # towns: spelling by frequency, then the main town of each postcode
     towns = parsed.filter("town <> ''").groupBy("town").agg(F.count(F.lit(1)).alias("n"))
-    better = frequent_forms(towns, "town", 3)
-    spelt = parsed.join(better, "town", "left").withColumn("town", F.coalesce("better", "town")).drop("better")
+    spelt = parsed
+    for ratio, letters in ((3, 1), (FAR_RATIO, 2)):
+        better = frequent_forms(towns, "town", ratio, letters)
+        spelt = spelt.join(better, "town", "left").withColumn("town", F.coalesce("better", "town")).drop("better")
     by_code = spelt.filter("town <> '' AND plz <> ''").groupBy("plz", "town").agg(F.count(F.lit(1)).alias("n")).groupBy("plz").agg(F.max(F.struct("n", "town")).alias("m")).select("plz", F.col("m.town").alias("main"))
     settled = spelt.join(by_code, "plz", "left")
     settled = settled.withColumn("town", F.when(F.col("town") == "", F.coalesce("main", F.concat(F.lit("#"), "plz"))).when(F.levenshtein("town", "main", 3) >= 0, F.col("main")).otherwise(F.col("town")))
@@ -245,7 +279,7 @@ def addressed(df: DataFrame) -> DataFrame:
     # the address written most often in its house, then the street known best, names the place
     known = fixed.groupBy("street").agg(F.count(F.lit(1)).alias("all"))
     different = fixed.groupBy(*keys, "street").agg(F.count(F.lit(1)).alias("here")).join(known, "street")
-    different = staged(different.select(*keys, "street", (F.shiftleft("here", 32) + F.least("all", F.lit((1 << 32) - 1))).alias("n")), "different")
+    different = staged(different.select(*keys, "street", _weight(F.col("here"), F.col("all")).alias("n")), "different")
     better = joined_spellings(different, keys, "street")
     return fixed.join(better, [*keys, "street"], "left").select("address_id", *keys, F.coalesce("better", "street").alias("street"))
 

@@ -188,6 +188,14 @@ def test_chains_of_spellings(spark):
     assert addresses.same_place(df).count() == 8 * 7 // 2
 
 
+def test_two_spoilt_spellings(spark):
+    """Both streets of a house spoilt, in different letters; two well-known streets stay apart."""
+    data = [("Amselgaartenstraße", "38", "Neudorf"), ("Amsekgartenstraße", "38", "Neudorf")] + [(s, str(n), "Neudorf") for s in ("Haselangerweg", "Amselangerweg") for n in range(1, 6)]
+    data += [("Birkenweg", str(n), "Hohenrawerder") for n in range(60, 120)] + [("Birkenweg", "60", "Hohenrwaerder")]
+    df = spark.createDataFrame([(i, s, n, None, t, None, None, "t", "n") for i, (s, n, t) in enumerate(data)], ADDRESSES)
+    assert rows(addresses.same_place(df)) == [(0, 1), (12, 72)]
+
+
 def test_large_place_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(addresses, "PAIR_BLOCK", 7)
     df = spark.createDataFrame([(i, "Am Hof", "5", None, "Neudorf", None, None, "t", "n") for i in range(60)], ADDRESSES)
