@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymill.functions import text as T
-from quarrymill.operators.proximity import great_circle_m
+from quarrymill.operators.proximity import great_circle_m, near_points
 from quarrymill.tables import staged
 
 # Pattern of written addresses (repetitions possessive, which matches the same) and
@@ -173,6 +173,14 @@ def locations_near(found: DataFrame, places: DataFrame, origin: tuple[float, flo
     return words.withColumn("key", F.lower("word")).join(names.distinct(), "key").select("doc_id", "word", "id").distinct()
 
 
+def locations_near_origins(found: DataFrame, places: DataFrame, origins: DataFrame, max_distance_m: float = MAX_DISTANCE_M, min_length: int = MIN_LENGTH) -> DataFrame:
+    """``(doc_id, word, origin_id, id)``: words of entities that name a place within a distance of any
+    of the origins ``(origin_id, latitude, longitude)``."""
+    near = near_points(places, origins, max_distance_m).join(places.select("id", F.lower("name").alias("key")).distinct(), "id")
+    words = found.select("doc_id", F.explode(F.split("entity", " ")).alias("word")).filter(~F.col("word").rlike(r"\p{Nd}") & (F.length("word") > min_length)).distinct()
+    return words.withColumn("key", F.lower("word")).join(near.select("key", "origin_id", "id"), "key").select("doc_id", "word", "origin_id", "id").distinct()
+
+
 def display_keys(addresses: DataFrame) -> DataFrame:
     """Adds ``keys``: the forms under which an address may stand in a text, in order of preference -
     with suffix, without, the street alone. A number 0 or null has no form of its own."""

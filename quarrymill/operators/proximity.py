@@ -111,6 +111,21 @@ def near_pairs(df: DataFrame, radius_m: float = 200.0, id_col: str = "id", lat_c
     return near.select(F.least("q_id", "id").alias("id_a"), F.greatest("q_id", "id").alias("id_b"), distance.alias("distance_m"))
 
 
+def near_points(points: DataFrame, origins: DataFrame, radius_m: float, id_col: str = "id", lat_col: str = "latitude", lon_col: str = "longitude", origin_col: str = "origin_id", chunk: int = CELL_CHUNK) -> DataFrame:
+    """``(origin_id, id, distance_m)``: all points at most ``radius_m`` from each of any number of
+    origins. Origins look into the cells of their own and both neighbouring rows."""
+    grid = Grid(radius_m)
+    lat, lon = F.col("lat"), F.col("lon")
+    home = _points(points, id_col, lat_col, lon_col).withColumn("cell", grid.home(lat, lon))
+    asked = _points(origins, origin_col, lat_col, lon_col)
+    cells = F.concat(*[grid.reached(lat, lon, grid.row(lat) + k) for k in (-1, 0, 1)])
+    asking = asked.select(F.col("id").alias("q_id"), lat.alias("q_lat"), lon.alias("q_lon"), F.explode(F.array_distinct(cells)).alias("cell"))
+    home, asking = split_full_cells(home, asking, chunk)
+    distance = great_circle_m(F.col("q_lat"), F.col("q_lon"), lat, lon)
+    near = asking.join(home, ["cell", "part"]).filter((F.abs(F.col("q_lat") - lat) <= grid.step) & (distance <= radius_m))
+    return near.select(F.col("q_id").alias("origin_id"), "id", distance.alias("distance_m"))
+
+
 def _edges(regions: DataFrame, region_col: str, ring_col: str) -> DataFrame:
     """``(region_id, a_lat, a_lon, b_lat, b_lon)``: the edges of every ring, longitudes running on
     beyond 180 degrees where a ring crosses that meridian."""

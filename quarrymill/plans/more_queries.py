@@ -13,7 +13,7 @@ from quarrymill.operators import entities as E
 from quarrymill.operators import lines
 from quarrymill.operators import tokens as tok
 from quarrymill.plans import pipeline
-from quarrymill.plans.core_queries import query
+from quarrymill.plans.core_queries import ORACLE, query
 from quarrymill.plans.reference_queries import _CLEANED, _COS, _COUNTS, _ENTERED, _FOUND, _LINES, _NAMED, _PREFIX, _SENTENCES, _STOP, _TERMS, _TOKEN, _TRIM, _documents, _entered, _named, _score
 from quarrymill.sinks import graph, relational
 from quarrymill.sources import readers
@@ -121,10 +121,7 @@ def _candidates_of(source: str) -> str:
     return _CANDIDATES.replace("{0}", source).replace("{{", "{").replace("}}", "}")
 
 
-@query(f"WITH {_FOUND}, {_candidates_of('found')} SELECT doc_id, entity, name, number, suffix FROM candidates")
-def house_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """One row per house number that an address written in a text stands for."""
-    return E.address_candidates(E.pattern_entities(_documents(spark, d)))
+ORACLE["address_expand"] = f"WITH {_FOUND}, {_candidates_of('found')} SELECT doc_id, entity, name, number, suffix FROM candidates"
 
 
 _MADE = """made AS (SELECT DISTINCT name AS strnam, CAST(number AS VARCHAR) AS hausnr, suffix AS hausnrz, CASE WHEN number % 2 = 0 THEN 'Nord' ELSE 'Mitte' END AS bez_name, name || '|' || number || '|' || suffix AS feature_id FROM candidates WHERE name <> ''
@@ -154,6 +151,24 @@ def address_register(spark: SparkSession, d: str) -> DataFrame:
     return E.validate_addresses(E.pattern_entities(_documents(spark, d)), _made_register(spark, d))
 
 
+ORACLE["address_validate"] = f"""WITH {_FOUND}, reg AS (SELECT DISTINCT strnam, hausnr, hausnrz, bez_name, feature_id FROM addresses WHERE strnam IS NOT NULL),
+    v AS (WITH {_validation('reg')} SELECT c.* FROM chosen c JOIN few USING (doc_id, entity, name, number, suffix)) SELECT doc_id, entity, name, number, suffix, section, feature_id FROM v"""
+
+
+@query(f"""WITH {_FOUND}, {_candidates_of('found')}, {_MADE}, v AS (WITH {_validation('made')} SELECT c.* FROM chosen c JOIN few USING (doc_id, entity, name, number, suffix)), {_SENTENCES.replace('cut', 'pieces')},
+    a AS (SELECT DISTINCT doc_id, name, number, suffix, feature_id FROM v),
+    forms AS (SELECT *, 0 AS nth, name || ' ' || number || lower(suffix) AS k FROM a WHERE number <> 0 AND suffix <> '' UNION ALL SELECT *, 1, name || ' ' || number FROM a WHERE number <> 0 UNION ALL SELECT *, 2, name FROM a),
+    told AS (SELECT doc_id, name, number, suffix, feature_id, nth, list_sort(list(DISTINCT sentence)) AS p FROM forms JOIN sentences USING (doc_id) WHERE contains(sentence, k) GROUP BY ALL),
+    first AS (SELECT doc_id, name, number, suffix, feature_id, arg_min(p, nth) AS passages FROM told GROUP BY ALL)
+    SELECT a.*, f.passages FROM a LEFT JOIN first f USING (doc_id, name, number, suffix, feature_id)""")
+def address_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses found, each with the passages of the first form under which it stands in the text."""
+    docs = _documents(spark, d)
+    found = E.validate_addresses(E.pattern_entities(docs), _made_register(spark, d)).select("doc_id", "name", "number", "suffix", "feature_id").distinct()
+    forms = E.display_keys(found).select("doc_id", F.explode("keys").alias("word"))
+    return E.address_passages(found, C.text_passages(forms, tok.sentences(docs)))
+
+
 @query("""WITH p AS (SELECT DISTINCT upper(left(strnam, 4)) || '%' AS pattern FROM addresses WHERE length(strnam) >= 4), r AS (SELECT DISTINCT strnam FROM addresses WHERE strnam IS NOT NULL)
     SELECT pattern, strnam FROM p JOIN r ON strnam ILIKE pattern""")
 def streets_like(spark: SparkSession, d: str) -> DataFrame:
@@ -192,6 +207,19 @@ def synonyms_stored(spark: SparkSession, d: str) -> DataFrame:
     return relational.joined_synonyms(relational.split_synonyms(table(spark, d, "locations").select("id", "synonyms"))).distinct()
 
 
+_HAVERSINE = "2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+
+
+@query(rf"""WITH {_NAMED}, p AS (SELECT id, min(struct_pack(lat := latitude, lon := longitude)) AS p, min(name) AS name FROM locations WHERE latitude IS NOT NULL AND longitude IS NOT NULL AND NOT isnan(latitude) AND NOT isnan(longitude) AND abs(latitude) <= 90 AND abs(longitude) <= 180 AND NOT (latitude = 0 AND longitude = 0) GROUP BY id),
+    q AS (SELECT id, p.lat AS lat, p.lon AS lon FROM p), near AS (SELECT a.id AS origin_id, b.id FROM q a JOIN q b ON {_HAVERSINE} <= 5000),
+    w AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(string_split(entity, ' ')) AS word FROM named) WHERE NOT regexp_matches(word, '\p{{Nd}}') AND length(word) > 5)
+    SELECT DISTINCT doc_id, word, origin_id, n.id FROM w JOIN (SELECT DISTINCT id, lower(name) AS k FROM locations) l ON l.k = lower(word) JOIN near n ON n.id = l.id""")
+def location_origins(spark: SparkSession, d: str) -> DataFrame:
+    """Words of entities that name a place within 5 km of any entry of the gazetteer."""
+    places = table(spark, d, "locations")
+    return E.locations_near_origins(_named(spark, d), places, places.withColumnRenamed("id", "origin_id"), 5_000.0)
+
+
 # sinks ---------------------------------------------------------------------------------------
 
 

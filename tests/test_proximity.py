@@ -3,7 +3,7 @@ import random
 
 from conftest import rows
 
-from quarrymill.operators.proximity import containing_regions, near_pairs
+from quarrymill.operators.proximity import containing_regions, near_pairs, near_points
 
 
 def haversine(a, b):
@@ -82,3 +82,17 @@ def test_regions_against_brute_force(spark):
     for degrees in (0.7, 5.0):
         assert sorted((r["id"], r["region_id"]) for r in containing_regions(frame(spark, points), regions, degrees).collect()) == want
     assert len({k for _, k in want}) == 4
+
+
+def test_points_near_origins(spark):
+    rng = random.Random(3)
+    points = [(i, (rng.choice([rng.uniform(-90, 90), 89.999, 10.0]), rng.uniform(-180, 180))) for i in range(400)] + [(1000 + i, (10.0 + i * 1e-3, 179.99 + i * 1e-3 if i < 10 else -180 + i * 1e-3)) for i in range(20)]
+    origins = spark.createDataFrame([(k, float(a), float(o), "x") for k, (a, o) in enumerate([(89.9995, 0.0), (10.0, 180.0), (10.0, -179.995), (0.0, 0.0), (91.0, 0.0)])], "origin_id long, latitude double, longitude double, id string")
+    got = sorted((r["origin_id"], r["id"]) for r in near_points(frame(spark, points), origins, 3_000.0, chunk=4).collect())
+
+    def far(a, b):
+        x, y = (math.radians(b[0] - a[0]) / 2, math.radians(b[1] - a[1]) / 2)
+        return 2 * 6_371_000 * math.asin(min(1.0, math.sqrt(math.sin(x) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(y) ** 2)))
+
+    want = sorted((k, i) for k, o in enumerate([(89.9995, 0.0), (10.0, 180.0), (10.0, -179.995)]) for i, p in points if far(o, p) <= 3_000)
+    assert got == want and len(want) > 100
