@@ -15,8 +15,9 @@ from quarrymill.tables import staged
 # the default origin.
 ADDRESS = r"(?:[A-Z][ a-zäüöß-]++)++(?:\. | |\.|)\d{1,3}[a-zA-Z\-/]{0,2}\d{0,3}[a-zA-Z]?"
 ORIGIN = (52.530644, 13.383068)
-#: Letters by which names meet the texts that may contain them.
-NAME_KEY = 5
+#: Numbers of first letters by which names meet the texts that may contain them: a name takes the
+#: greatest that it has.
+KEY_LETTERS = (1, 2, 3, 5, 8, 12, 20)
 MAX_DISTANCE_M, MAX_STREETS, MAX_SECTIONS, MIN_LENGTH = 12_500.0, 10, 2, 5
 
 
@@ -51,14 +52,14 @@ def address_candidates(found: DataFrame) -> DataFrame:
 
 def containing_names(found: DataFrame, names: DataFrame) -> DataFrame:
     """``(doc_id, entity)``: the part of each entity from where a known name is first met in it, at
-    any letter. Names meet entities by their first letters (``NAME_KEY`` of them, all of a shorter
-    name), so there is no nested loop; the rest of the name is compared where they meet. Null and
-    empty names are contained in nothing."""
+    any letter. Names meet entities by their first letters (``KEY_LETTERS``), so there is no nested loop;
+    the rest of the name is compared where they meet. Null and empty names are contained in nothing."""
     known = names.select(F.col(names.columns[0]).alias("name")).filter(F.length("name") > 0).distinct()
-    known = known.withColumn("key", F.substring("name", 1, NAME_KEY))
+    size = F.greatest(*[F.when(F.length("name") >= n, n).otherwise(0) for n in KEY_LETTERS])
+    known = known.withColumn("key", F.substring(F.col("name"), F.lit(1), size))
     places = F.transform(F.sequence(F.lit(1), F.length("entity")), lambda i: F.substring(F.col("entity"), i, F.length("entity")))
     tails = found.select("doc_id", "entity").filter(F.length("entity") > 0).distinct().select("doc_id", "entity", F.explode(places).alias("tail"))
-    keyed = tails.withColumn("key", F.explode(F.array_distinct(F.array(*[F.substring("tail", 1, n) for n in range(1, NAME_KEY + 1)]))))
+    keyed = tails.withColumn("key", F.explode(F.array_distinct(F.array(*[F.substring("tail", 1, n) for n in KEY_LETTERS]))))
     met = keyed.join(known, "key").filter(F.startswith("tail", "name"))
     first = met.groupBy("doc_id", "entity", "name").agg(F.max(F.struct(F.length("tail").alias("n"), "tail")).alias("m"))
     return first.select("doc_id", F.col("m.tail").alias("entity")).distinct()
@@ -66,10 +67,13 @@ def containing_names(found: DataFrame, names: DataFrame) -> DataFrame:
 
 def like_join(left: DataFrame, pattern: str, right: DataFrame, value: str) -> DataFrame:
     """Rows of both sides where ``value`` is like ``pattern`` without regard to case, ``%`` and ``_``
-    being wildcards. Patterns without wildcards are joined by equality; others meet values by up to
-    three letters of their first literal part and are compared there."""
+    being wildcards. Patterns without wildcards are joined by equality; others, if there are any, meet
+    values by up to three letters of their first literal part and are compared there."""
     wild = F.col(pattern).rlike(r"[%_]")
+    plain_only = left.filter(wild).isEmpty()
     plain = left.filter(~wild).withColumn("_key", F.lower(pattern)).join(right.withColumn("_key", F.lower(value)), "_key").drop("_key")
+    if plain_only:
+        return plain
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), lambda i: F.array(*[F.substring(F.lower(value), i, F.lit(n)) for n in (1, 2, 3)]))
     keyed = right.withColumn("_key", F.explode(F.array_union(F.array(F.lit("")), F.array_distinct(F.flatten(grams)))))
     asked = left.filter(wild).withColumn("_key", F.lower(F.regexp_extract(pattern, r"([^%_]{1,3})", 1)))
@@ -108,7 +112,8 @@ def validate_addresses(found: DataFrame, register: DataFrame, max_streets: int =
     only one; at most ``max_sections`` of them. Rows without a section are none."""
     key = ["doc_id", "entity", "name", "number", "suffix"]
     known = register.select(F.col("strnam").alias("name")).unionByName(register.select(F.col("bez_name").alias("name")))
-    met = staged(match_register(address_candidates(containing_names(found, known)), register).filter(F.col("section").isNotNull()), "register")
+    candidates = staged(address_candidates(containing_names(found, known)), "candidates")
+    met = staged(match_register(candidates, register).filter(F.col("section").isNotNull()), "register")
     guarded = met.groupBy(*key).agg(F.count_distinct("feature_id").alias("n"), F.count_distinct("section").alias("n_sections")).filter(F.col("n").between(1, max_streets))
     named = found.select("doc_id", F.col("entity").alias("section"), F.lit(True).alias("named")).distinct()
     chosen = met.join(guarded, key).join(named, ["doc_id", "section"], "left").filter(F.col("named") | (F.col("n_sections") == 1))

@@ -160,13 +160,14 @@ ORACLE["address_validate"] = f"""WITH {_FOUND}, reg AS (SELECT DISTINCT strnam,
     forms AS (SELECT *, 0 AS nth, name || ' ' || number || lower(suffix) AS k FROM a WHERE number <> 0 AND suffix <> '' UNION ALL SELECT *, 1, name || ' ' || number FROM a WHERE number <> 0 UNION ALL SELECT *, 2, name FROM a),
     told AS (SELECT doc_id, name, number, suffix, feature_id, nth, list_sort(list(DISTINCT sentence)) AS p FROM forms JOIN sentences USING (doc_id) WHERE contains(sentence, k) GROUP BY ALL),
     first AS (SELECT doc_id, name, number, suffix, feature_id, arg_min(p, nth) AS passages FROM told GROUP BY ALL)
-    SELECT a.*, f.passages FROM a LEFT JOIN first f USING (doc_id, name, number, suffix, feature_id)""")
+    SELECT a.*, coalesce(f.passages, []) AS passages FROM a LEFT JOIN first f USING (doc_id, name, number, suffix, feature_id)""")
 def address_passages(spark: SparkSession, d: str) -> DataFrame:
     """Addresses found, each with the passages of the first form under which it stands in the text."""
     docs = _documents(spark, d)
     found = E.validate_addresses(E.pattern_entities(docs), _made_register(spark, d)).select("doc_id", "name", "number", "suffix", "feature_id").distinct()
     forms = E.display_keys(found).select("doc_id", F.explode("keys").alias("word"))
-    return E.address_passages(found, C.text_passages(forms, tok.sentences(docs)))
+    told = E.address_passages(found, C.text_passages(forms, tok.sentences(docs)))
+    return told.withColumn("passages", F.coalesce("passages", F.array().cast("array<string>")))
 
 
 @query("""WITH p AS (SELECT DISTINCT upper(left(strnam, 4)) || '%' AS pattern FROM addresses WHERE length(strnam) >= 4), r AS (SELECT DISTINCT strnam FROM addresses WHERE strnam IS NOT NULL)
