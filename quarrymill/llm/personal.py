@@ -191,6 +191,8 @@ _AT = regex.compile(rf"{_BRACKETED_AT}|&#64;|&commat;|-at-|_at_", regex.I)
 _BARE_AT = regex.compile(r"(?:@|at|ät)(?<=\s(?:@|at|ät))(?=\s)|@(?<=\s@)|@(?=\s)", regex.I)
 _HAS_AT = regex.compile(_BRACKETED_AT, regex.I)
 _DOTTED_NEXT = regex.compile(r"[\p{L}\d\-]+\s*(?:\(|\[|\{)?\s*(?:dot|punkt|point)\b", regex.I)
+#: An at sign with a blank on one side, before a plain host.
+_LOOSE_AT = regex.compile(r"(?<=[\p{L}\d])(?:@\s+|\s+@)(?=(?:[\p{Ll}\d][\p{Ll}\d\-]*\.)+\p{Ll}{2,}(?![\p{L}\d@]))")
 _DOMAIN = regex.compile(rf"@[\p{{L}}\d\-]+(?:(?:\.|\s*[(\[{{<]\s*{DOT}\s*[)\]}}>]\s*|\s+(?:dot|punkt|point)\s+)[\p{{L}}\d\-]+)+", regex.I)
 _DOT = regex.compile(rf"\s*[(\[{{<]\s*{DOT}\s*[)\]}}>]\s*|\s+(?:dot|punkt|point)\s+", regex.I)
 _BRACKETED_DOT = regex.compile(rf"[(\[{{<]\s*{DOT}\s*[)\]}}>]", regex.I)
@@ -217,8 +219,9 @@ def _at_edits(t: str, dotted: bool) -> list[tuple[int, int, str]]:
     spans = [span for m in _AT.finditer(t) if (span := _between_words(t, *m.span()))]
     if dotted:
         spans += [span for m in _BARE_AT.finditer(t) if (span := _between_words(t, *m.span())) and _DOTTED_NEXT.match(t, span[1])]
+    spans += [m.span() for m in _LOOSE_AT.finditer(t)] if "@ " in t or " @" in t or "@\n" in t or "\n@" in t else []
     out: list[tuple[int, int, str]] = []
-    for span in sorted(spans):
+    for span in sorted(set(spans)):
         if not out or out[-1][1] <= span[0]:
             out.append((*span, "@"))
     return out

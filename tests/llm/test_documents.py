@@ -57,6 +57,7 @@ PII = [
     ("Die Werte 14325 7 7 38 0427 99 924223 und 10 @ 5 Punkte, @wer, 12.500 EUR.", set()),
     ("Mail: kаrl@ａb.de über", {("email", "kаrl@ａb.de")}),
     ("He gave AB 12 34 56 C and CE123456D today.", {("id_number", "AB 12 34 56 C"), ("id_number", "CE123456D")}),
+    ("An kaleth+plan@ planwerk.example oder j.x @bau.test, 10 @ 5 Punkte, na @ Hof. Ende.", {("email", "kaleth+plan@ planwerk.example"), ("email", "j.x @bau.test")}),
     ("邮箱 li（at）firma（dot）cn 。", {("email", "li（at）firma（dot）cn")}),
 ]
 
