@@ -393,21 +393,22 @@ def repaired_text(documents: DataFrame) -> DataFrame:
     """``(doc_id, text)`` of every scan with a text: paragraphs in one line each, without page
     furniture, cut words joined and misread words corrected."""
     lines, splits, wrong, _ = repair_evidence(documents)
-    page = lines.filter("page").groupBy("doc_id").agg(F.collect_set("line_no").alias("page"))
-    cut = splits.groupBy("doc_id").agg(F.collect_set("line_no").alias("cut"))
-    fixes = wrong.groupBy("doc_id").agg(F.collect_set(F.struct("word", "right")).alias("fixes"))
+    row = lambda df, kind, line, word, right: df.select("doc_id", F.lit(kind).alias("kind"), line.alias("line_no"), word.alias("word"), right.alias("right"))
+    none, number = F.lit(None).cast("string"), F.col("line_no")
+    found = row(lines.filter("page"), "page", number, none, none).unionByName(row(splits, "cut", number, none, none)).unionByName(row(wrong, "fix", F.lit(None).cast("long"), F.col("word"), F.col("right")))
+    # all that is known of a text comes to it in one join
+    known = found.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "line_no", "word", "right")).alias("found"))
     scans = documents.filter((F.col("origin") == "scan") & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gathered = scans.join(page, "doc_id", "left").join(cut, "doc_id", "left").join(fixes, "doc_id", "left")
 
-    def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, page, cut, fixes in zip(b["text"], b["page"], b["cut"], b["fixes"], strict=True):
-                page, cut = set(page) if page is not None else set(), set(cut) if cut is not None else set()
-                texts.append(rebuilt(text, page, cut, {f["word"]: f["right"] for f in fixes} if fixes is not None else {}))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": texts})
+            for text, found in zip(b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True):
+                of = {kind: [x for x in found or () if x["kind"] == kind] for kind in ("page", "cut", "fix")}
+                texts.append(rebuilt(text, {x["line_no"] for x in of["page"]}, {x["line_no"] for x in of["cut"]}, {x["word"]: x["right"] for x in of["fix"]}))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return gathered.mapInPandas(rebuild, "doc_id long, text string")
+    return bounded_batches(scans.join(known, "doc_id", "left")).mapInArrow(rebuild, "doc_id long, text string")
 
 
 def rebuilt(text: str, page: set[int], cut: set[int], fixes: dict[str, str]) -> str:
