@@ -14,16 +14,23 @@ from quarrymill.tables import staged
 # Pattern of written addresses (repetitions possessive, which matches the same) and
 # the default origin.
 ADDRESS = r"(?:[A-Z][ a-zäüöß-]++)++(?:\. | |\.|)\d{1,3}[a-zA-Z\-/]{0,2}\d{0,3}[a-zA-Z]?"
+# The same with a number that may be missing: runs of words are passed over once, not from each of their capitals.
+_RUNS = r"(?:[A-Z][ a-zäüöß-]++)++(?:(?:\. | |\.|)\d{1,3}[a-zA-Z\-/]{0,2}\d{0,3}[a-zA-Z]?)?+"
 ORIGIN = (52.530644, 13.383068)
 #: Numbers of first letters by which names meet the texts that may contain them: a name takes the
 #: greatest that it has.
 KEY_LETTERS = (1, 2, 3, 5, 8, 12, 20)
+#: Different first letters of names up to which only tails that begin with one of them are asked.
+MOST_LETTERS = 5_000
 MAX_DISTANCE_M, MAX_STREETS, MAX_SECTIONS, MIN_LENGTH = 12_500.0, 10, 2, 5
 
 
 def pattern_entities(documents: DataFrame, pattern: str = ADDRESS) -> DataFrame:
     """``(doc_id, entity)``: all different matches, street abbreviations written out."""
-    found = documents.filter(F.col("text").isNotNull()).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("entity"))
+    runs = F.regexp_extract_all("text", F.lit(_RUNS if pattern == ADDRESS else pattern), F.lit(0))
+    found = documents.filter(F.col("text").isNotNull()).select("doc_id", F.explode(runs).alias("entity"))
+    if pattern == ADDRESS:
+        found = found.filter(F.col("entity").rlike("[0-9]"))
     return found.select("doc_id", T.expand_street(F.col("entity")).alias("entity")).distinct()
 
 
@@ -44,25 +51,36 @@ def entities(documents: DataFrame, recognised: DataFrame | None = None, pattern:
 
 def address_candidates(found: DataFrame) -> DataFrame:
     """``(doc_id, entity, name, number, suffix)``: one row per house number an entity stands for;
-    entities without digits or with four digits in a row are none."""
+    entities without digits or with four digits in a row are none. ``doc_id`` may be missing."""
+    own = [c for c in ("doc_id", "entity") if c in found.columns]
     able = found.filter(F.col("entity").rlike(r"\p{Nd}") & ~F.col("entity").rlike(r"\p{Nd}{4,}"))
-    split = able.select("doc_id", "entity", T.name_part(F.col("entity")).alias("name"), F.explode(T.house_numbers(T.number_part(F.col("entity")))).alias("h"))
-    return split.select("doc_id", "entity", "name", F.col("h.number").alias("number"), F.col("h.suffix").alias("suffix"))
+    split = able.select(*own, T.name_part(F.col("entity")).alias("name"), F.explode(T.house_numbers(T.number_part(F.col("entity")))).alias("h"))
+    return split.select(*own, "name", F.col("h.number").alias("number"), F.col("h.suffix").alias("suffix"))
 
 
-def containing_names(found: DataFrame, names: DataFrame) -> DataFrame:
-    """``(doc_id, entity)``: the part of each entity from where a known name is first met in it, at
-    any letter. Names meet entities by their first letters (``KEY_LETTERS``), so there is no nested loop;
-    the rest of the name is compared where they meet. Null and empty names are contained in nothing."""
-    known = names.select(F.col(names.columns[0]).alias("name")).filter(F.length("name") > 0).distinct()
+def name_tails(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """``(entity, tail)``: the part of each entity from where a known name is first met in it, at any
+    letter. Names meet the places of entities by a hash of their first letters (``KEY_LETTERS``), so
+    there is no nested loop; the whole name is compared where they meet. Null and empty names are
+    contained in nothing."""
+    known = staged(names.select(F.col(names.columns[0]).alias("name")).filter(F.length("name") > 0).distinct(), "names")
+    letters = [r[0] for r in known.select(F.substring("name", 1, 1)).distinct().limit(MOST_LETTERS + 1).collect()]
     size = F.greatest(*[F.when(F.length("name") >= n, n).otherwise(0) for n in KEY_LETTERS])
-    known = known.withColumn("key", F.substring(F.col("name"), F.lit(1), size))
-    places = F.transform(F.sequence(F.lit(1), F.length("entity")), lambda i: F.substring(F.col("entity"), i, F.length("entity")))
-    tails = found.select("doc_id", "entity").filter(F.length("entity") > 0).distinct().select("doc_id", "entity", F.explode(places).alias("tail"))
-    keyed = tails.withColumn("key", F.explode(F.array_distinct(F.array(*[F.substring("tail", 1, n) for n in KEY_LETTERS]))))
-    met = keyed.join(known, "key").filter(F.startswith("tail", "name"))
-    first = met.groupBy("doc_id", "entity", "name").agg(F.max(F.struct(F.length("tail").alias("n"), "tail")).alias("m"))
-    return first.select("doc_id", F.col("m.tail").alias("entity")).distinct()
+    known = known.select("name", F.xxhash64(F.substring(F.col("name"), F.lit(1), size)).alias("key"))
+    at = F.sequence(F.lit(1), F.length("entity"))
+    if len(letters) <= MOST_LETTERS:
+        at = F.filter(at, lambda i: F.substring(F.col("entity"), i, F.lit(1)).isin(letters))
+    places = texts.select("entity").filter(F.length("entity") > 0).distinct().select("entity", F.explode(at).alias("at"))
+    keys = F.array_distinct(F.array(*[F.xxhash64(F.substring(F.col("entity"), F.col("at"), F.lit(n))) for n in KEY_LETTERS]))
+    met = places.withColumn("key", F.explode(keys)).join(known, "key").filter(F.expr("locate(name, entity)") == F.col("at"))
+    return met.select("entity", F.substring(F.col("entity"), F.col("at"), F.length("entity")).alias("tail")).distinct()
+
+
+def containing_names(found: DataFrame, names: DataFrame) -> DataFrame:
+    """``(doc_id, entity)``: the tails of each document's entities (``name_tails``). Equal entities of
+    many documents are searched once."""
+    tails = name_tails(found, names)
+    return found.select("doc_id", "entity").join(tails, "entity").select("doc_id", F.col("tail").alias("entity")).distinct()
 
 
 def like_join(left: DataFrame, pattern: str, right: DataFrame, value: str) -> DataFrame:
@@ -110,15 +128,26 @@ def validate_addresses(found: DataFrame, register: DataFrame, max_streets: int =
     entity denotes, read from where a street or section name begins in it: candidates with at most
     ``max_streets`` addresses; those of their sections that are entities of the document, or the
     only one; at most ``max_sections`` of them. Rows without a section are none."""
-    key = ["doc_id", "entity", "name", "number", "suffix"]
+    key = ["entity", "name", "number", "suffix"]
     known = register.select(F.col("strnam").alias("name")).unionByName(register.select(F.col("bez_name").alias("name")))
-    candidates = staged(address_candidates(containing_names(found, known)), "candidates")
+    # what an entity may denote does not depend on the document: it is asked once for equal entities
+    texts = found.select("entity").distinct()
+    tails = staged(name_tails(texts, known), "tails")
+    candidates = staged(address_candidates(tails.select(F.col("tail").alias("entity")).distinct()), "candidates")
     met = staged(match_register(candidates, register).filter(F.col("section").isNotNull()), "register")
     guarded = met.groupBy(*key).agg(F.count_distinct("feature_id").alias("n"), F.count_distinct("section").alias("n_sections")).filter(F.col("n").between(1, max_streets))
-    named = found.select("doc_id", F.col("entity").alias("section"), F.lit(True).alias("named")).distinct()
-    chosen = met.join(guarded, key).join(named, ["doc_id", "section"], "left").filter(F.col("named") | (F.col("n_sections") == 1))
-    few = chosen.groupBy(*key).agg(F.count_distinct("section").alias("n_chosen")).filter(F.col("n_chosen") <= max_sections)
-    return chosen.join(few, key).select(*key, "section", "feature_id")
+    able = met.join(guarded, key).join(texts.select(F.col("entity").alias("section"), F.lit(True).alias("named")), "section", "left")
+    able = staged(able.filter((F.col("n_sections") == 1) & F.lit(max_sections >= 1) | F.col("named") & (F.col("n_sections") > 1)), "able")
+    answered = staged(tails.join(able.select(F.col("entity").alias("tail")).distinct(), "tail", "left_semi"), "answered")
+    places = found.select("doc_id", "entity").join(answered, "entity").select("doc_id", F.col("tail").alias("entity")).distinct()
+    cols = ["doc_id", *key, "section", "feature_id"]
+    one, several = places.join(able.filter("n_sections = 1"), "entity").select(*cols), able.filter("n_sections > 1")
+    if several.isEmpty():
+        return one
+    named = found.select("doc_id", F.col("entity").alias("section")).distinct()
+    chosen = places.join(several, "entity").join(named, ["doc_id", "section"], "left_semi")
+    few = chosen.groupBy("doc_id", *key).agg(F.count_distinct("section").alias("n_chosen")).filter(F.col("n_chosen") <= max_sections)
+    return one.unionByName(chosen.join(few, ["doc_id", *key], "left_semi").select(*cols))
 
 
 def entity_prefixes(found: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:

@@ -15,7 +15,7 @@ from quarrymill.operators.proximity import great_circle_m, usable_point
 from quarrymill.plans.core_queries import query
 from quarrymill.sinks import graph, relational
 from quarrymill.sources import readers
-from quarrymill.tables import table
+from quarrymill.tables import staged, table
 
 # SQL building blocks -------------------------------------------------------------------------
 
@@ -343,7 +343,7 @@ def address_expand(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def address_validate(spark: SparkSession, d: str) -> DataFrame:
-    return E.validate_addresses(E.pattern_entities(_documents(spark, d)), table(spark, d, "addresses").filter(F.col("strnam").isNotNull()))
+    return E.validate_addresses(staged(E.pattern_entities(_documents(spark, d)), "found"), table(spark, d, "addresses").filter(F.col("strnam").isNotNull()))
 
 
 def _named(spark: SparkSession, d: str) -> DataFrame:

@@ -176,3 +176,20 @@ def test_stream_queue(spark, tmp_path):
     spark.createDataFrame([(2, "b"), (3, "c"), (3, "c")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(src)
     run_queue(spark, src, out, ck, lambda b: b.select("doc_id", F.upper("text").alias("t")), ["doc_id"], "doc_id long, text string", across_batches=True).awaitTermination()
     assert rows(spark.read.parquet(out).drop("batch")) == [(1, "A"), (2, "B"), (3, "C")]
+
+
+def test_equal_entities_are_searched_once(spark):
+    """Entities of many documents are asked once, and where a name begins nowhere nothing is shipped."""
+    found = spark.createDataFrame([(i, "In der Lindauer Allee 17") for i in range(50)] + [(1, "am Weg 3"), (1, "")], "doc_id long, entity string")
+    names = spark.createDataFrame([("Lindauer Allee",), ("Allee",), ("Weg",), (None,), ("",)], "n string")
+    assert rows(E.name_tails(found, names)) == [("In der Lindauer Allee 17", "Allee 17"), ("In der Lindauer Allee 17", "Lindauer Allee 17"), ("am Weg 3", "Weg 3")]
+    assert E.containing_names(found, names).count() == 101
+
+
+def test_runs_give_the_matches_of_the_pattern(spark):
+    import re
+
+    text = "Am Alten Hof 5a. Die EG 7 und Das Haus ohne Zahl, Weg. 12-14; Große Straße des Ortes\nABC Allee 123456 Ä Xy 9/1"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = {r["entity"] for r in E.pattern_entities(docs).collect()}
+    assert got == {m.replace("str.", "straße").replace("Str.", "Straße") for m in re.findall(E.ADDRESS, text)}
