@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -232,6 +233,19 @@ def address_passages(addresses: DataFrame, passages: DataFrame) -> DataFrame:
     return met.groupBy(*cols).agg(F.min_by("passages", F.when(F.col("passages").isNotNull(), F.col("at"))).alias("passages"))
 
 
+def addresses_with_passages(addresses: DataFrame, documents: DataFrame, sentences: Callable[[Column], Column]) -> DataFrame:
+    """Different ``addresses``, each with the ``passages`` of its first display key that has some, as
+    ``address_passages`` gives them, taken from the texts themselves: addresses meet the text of their
+    document once, and no passage is shuffled."""
+    cols, none = [c for c in addresses.columns if c != "doc_id"], F.array().cast("array<string>")
+    own = addresses.groupBy("doc_id").agg(F.collect_set(F.struct(*cols)).alias("_all"))
+    # split before the join: after it the text would be split for every address
+    texts = documents.filter(F.col("text").isNotNull()).select("doc_id", sentences(F.col("text")).alias("_told"))
+    met = own.join(texts, "doc_id", "left").select("doc_id", "_told", F.explode("_all").alias("_own")).select("doc_id", "_own.*", "_told")
+    standing = F.aggregate("keys", none, lambda have, k: F.when(F.size(have) > 0, have).otherwise(F.filter("_told", lambda s: F.contains(s, k))))
+    return display_keys(met).select(*addresses.columns, F.nullif(F.sort_array(F.array_distinct(standing)), none).alias("passages"))
+
+
 def probable(found: DataFrame, least: float, probability_col: str = "probability") -> DataFrame:
     """Entities of a recogniser whose probability is at least ``least``; those without one stay out."""
     return found.filter(F.col(probability_col) >= least)

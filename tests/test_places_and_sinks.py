@@ -193,3 +193,10 @@ def test_runs_give_the_matches_of_the_pattern(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = {r["entity"] for r in E.pattern_entities(docs).collect()}
     assert got == {m.replace("str.", "straße").replace("Str.", "Straße") for m in re.findall(E.ADDRESS, text)}
+
+
+def test_passages_from_the_texts(spark):
+    found = spark.createDataFrame([(1, "Am Hof", 5, "A"), (1, "Am Hof", 5, "A"), (1, "Weg", 7, ""), (2, "Allee", 0, None)], "doc_id long, name string, number int, suffix string")
+    docs = spark.createDataFrame([(1, "Im Am Hof 5|Der Am Hof|Am Hof 5"), (3, "Weg 7")], "doc_id long, text string")
+    got = rows(E.addresses_with_passages(found, docs, lambda t: F.split(t, "[|]")))
+    assert got == [(1, "Am Hof", 5, "A", ("Am Hof 5", "Im Am Hof 5")), (1, "Weg", 7, "", None), (2, "Allee", 0, None, None)]
