@@ -84,8 +84,13 @@ def clean_documents(documents: DataFrame, keepwords: list[str] | None = None, mi
 
 
 def similar_lines(lines: DataFrame, first: int = 10) -> DataFrame:
-    """``(doc_id, line_no, similarity)``: how far each of the first lines is contained in others."""
-    left = lines.filter(F.col("line_no") < first).select("doc_id", "line_no", F.col("line").alias("left"))
-    right = lines.select("doc_id", F.col("line_no").alias("other"), F.col("line").alias("right"))
-    pairs = left.join(right, "doc_id").filter(F.col("line_no") != F.col("other"))
-    return pairs.groupBy("doc_id", "line_no").agg(F.max(T.line_overlap(F.col("left"), F.col("right"))).alias("similarity"))
+    """``(doc_id, line_no, similarity)``: how far each of the first lines is contained in others. Every
+    line is taken apart once; the first lines of a text go to its lines as one array."""
+    parts = [F.size("w").alias("n"), "w", F.array_join("w", " ").alias("told")]
+    taken = lines.select("doc_id", "line_no", F.split(F.lower("line"), r"\s+").alias("w")).select("doc_id", "line_no", *parts)
+    head = taken.filter(F.col("line_no") < first).groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "n", "w", "told")).alias("head"))
+    pairs = taken.withColumnRenamed("line_no", "other").join(head, "doc_id").select("doc_id", "other", "n", "w", "told", F.explode("head").alias("a")).filter(F.col("a.line_no") != F.col("other"))
+    shorter = F.col("a.n") <= F.col("n")
+    pairs = pairs.select("doc_id", "a.line_no", F.when(shorter, F.col("a.w")).otherwise(F.col("w")).alias("w"), F.when(shorter, F.col("told")).otherwise(F.col("a.told")).alias("told"), F.greatest("a.n", "n").alias("n"))
+    share = F.ceil(F.size(F.filter("w", lambda x: F.contains(F.col("told"), x))) * F.lit(100.0) / F.col("n")).cast("int")
+    return pairs.groupBy("doc_id", "line_no").agg(F.max(share).alias("similarity"))

@@ -43,3 +43,12 @@ def test_splitting(spark):
 @pytest.mark.parametrize(("w", "s"), [("aufeinander", "aufeinand"), ("häuser", "haus"), ("jahrhunderte", "jahrhundert"), ("freiheiten", "freiheit"), ("kategorischen", "kategor"), ("wohnung", "wohnung")])
 def test_stemmer(w, s):
     assert german_stem(w) == s
+
+
+def test_similar_lines_are_split_once(spark):
+    from quarrymill.operators import lines
+
+    df = spark.createDataFrame([(1, 0, "Der alte Hof"), (1, 1, "der  HOF"), (1, 2, "x"), (2, 0, "allein")], "doc_id long, line_no int, line string")
+    got = lines.similar_lines(df, 2)
+    assert {(r["line_no"], r["similarity"]) for r in got.collect()} == {(0, 67), (1, 67)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(lower") <= 4
