@@ -211,9 +211,12 @@ def locations_near(found: DataFrame, places: DataFrame, origin: tuple[float, flo
 def locations_near_origins(found: DataFrame, places: DataFrame, origins: DataFrame, max_distance_m: float = MAX_DISTANCE_M, min_length: int = MIN_LENGTH) -> DataFrame:
     """``(doc_id, word, origin_id, id)``: words of entities that name a place within a distance of any
     of the origins ``(origin_id, latitude, longitude)``."""
-    near = near_points(places, origins, max_distance_m).join(places.select("id", F.lower("name").alias("key")).distinct(), "id")
+    names = places.select("id", F.lower("name").alias("key")).distinct()
     words = found.select("doc_id", F.explode(F.split("entity", " ")).alias("word")).filter(~F.col("word").rlike(r"\p{Nd}") & (F.length("word") > min_length)).distinct()
-    return words.withColumn("key", F.lower("word")).join(near.select("key", "origin_id", "id"), "key").select("doc_id", "word", "origin_id", "id").distinct()
+    # only places that a word names are paired with origins; neither side repeats a row, nor does the result
+    hits = staged(words.withColumn("key", F.lower("word")).join(names, "key").select("doc_id", "word", "id"), "hits")
+    near = near_points(places.join(hits.select("id").distinct(), "id", "left_semi"), origins, max_distance_m)
+    return hits.join(near, "id").select("doc_id", "word", "origin_id", "id")
 
 
 def display_keys(addresses: DataFrame) -> DataFrame:

@@ -200,3 +200,13 @@ def test_passages_from_the_texts(spark):
     docs = spark.createDataFrame([(1, "Im Am Hof 5|Der Am Hof|Am Hof 5"), (3, "Weg 7")], "doc_id long, text string")
     got = rows(E.addresses_with_passages(found, docs, lambda t: F.split(t, "[|]")))
     assert got == [(1, "Am Hof", 5, "A", ("Am Hof 5", "Im Am Hof 5")), (1, "Weg", 7, "", None), (2, "Allee", 0, None, None)]
+
+
+def test_only_named_places_meet_origins(spark, monkeypatch):
+    asked, near = [], E.near_points
+    monkeypatch.setattr(E, "near_points", lambda p, *a: (asked.append(p.count()), near(p, *a))[1])
+    places = spark.createDataFrame([(1, "Lindau", 50.0, 9.0), (1, "Lindau", 50.0, 9.0), (2, "Elsewhere", 50.0, 9.001)], "id long, name string, latitude double, longitude double")
+    found = spark.createDataFrame([(7, "lindau Mitte")], "doc_id long, entity string")
+    got = E.locations_near_origins(found, places, places.withColumnRenamed("id", "origin_id"), 5000.0)
+    assert rows(got) == [(7, "lindau", 1, 1), (7, "lindau", 2, 1)]
+    assert asked == [2]
