@@ -34,9 +34,10 @@ def corpus_of(documents: DataFrame, settings: Settings) -> DataFrame:
     return tok.tag(rows)
 
 
-def extract_keywords(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``(doc_id, term, score)`` of all configured extractors, later ones overriding."""
-    corpus = corpus_of(documents, settings)
+def extract_keywords(documents: DataFrame, settings: Settings = Settings(), corpus: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, term, score)`` of all configured extractors, later ones overriding. ``corpus``: that
+    of the documents, where it is there already."""
+    corpus = corpus_of(documents, settings) if corpus is None else corpus
     return C.merge_keywords([EXTRACTORS[name](corpus, settings) for name in settings.keyword_extractor_algorithms])
 
 

@@ -96,3 +96,13 @@ def test_catalog_takes_all_similar_words(spark):
     keywords = spark.createDataFrame([(i, w, 1.0) for i, w in enumerate(words)], "doc_id long, term string, score double")
     names = spark.createDataFrame([("name",)], "name string")
     assert catalog.filter_by_catalog(keywords, names, vectors).count() == 1500
+
+
+def test_text_keywords_stage_no_passages(spark, monkeypatch):
+    from quarrymill.plans import more_queries
+
+    def refuse(df, name):
+        raise AssertionError(name)
+
+    monkeypatch.setattr(catalog, "staged", refuse)
+    assert more_queries.text_keywords(spark, "/root/testdata/sf0.001").count() > 0
