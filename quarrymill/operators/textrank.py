@@ -40,13 +40,10 @@ def degrees(graph: DataFrame) -> DataFrame:
 def linked_terms(graph: DataFrame, max_links: int = 10) -> DataFrame:
     """``(doc_id, term, links_in, links_out)``: neighbours in the order they were met, at most
     ``max_links`` + 1 each way."""
-    def side(own: str, other: str, name: str) -> DataFrame:
-        ranked = graph.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", own).orderBy("ord"))).filter(F.col("r") <= max_links + 1)
-        return ranked.groupBy("doc_id", F.col(own).alias("term")).agg(F.transform(F.sort_array(F.collect_list(F.struct("r", other))), lambda x: x[other]).alias(name))
-
-    empty = F.array().cast("array<string>")
-    both = side("dst", "src", "links_in").join(side("src", "dst", "links_out"), ["doc_id", "term"], "full")
-    return both.select("doc_id", "term", F.coalesce("links_in", empty).alias("links_in"), F.coalesce("links_out", empty).alias("links_out"))
+    ends = F.array(F.struct(F.col("dst").alias("term"), F.lit(True).alias("into"), F.col("src").alias("other")), F.struct(F.col("src").alias("term"), F.lit(False).alias("into"), F.col("dst").alias("other")))
+    met = graph.select("doc_id", "ord", F.explode(ends).alias("e")).select("doc_id", "e.term", "e.into", F.struct("ord", "e.other").alias("m"))
+    links = lambda into, name: F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.col("into") == into, F.col("m")))), 1, max_links + 1), lambda x: x["other"]).alias(name)
+    return met.groupBy("doc_id", "term").agg(links(True, "links_in"), links(False, "links_out"))
 
 
 def _rank_many(pdf: pd.DataFrame, iterations: int, normalise: bool, direction: str) -> pd.DataFrame:

@@ -66,9 +66,12 @@ def stem(terms: pd.Series) -> pd.Series:
     return terms.map(stemmer.german_stem, na_action="ignore")
 
 
-def corpus(tagged: DataFrame) -> DataFrame:
+def corpus(tagged: DataFrame, by_document: bool = False) -> DataFrame:
     """A tagged-token table as corpus: null and blank terms out, blanks around terms off, one row
-    per place."""
+    per place. ``by_document`` shuffles it by document, so that no later step by document, sentence
+    or term of a document has to."""
     term = F.trim("term")
     clean = tagged.select("doc_id", "sent_id", "pos", term.alias("term"), "pos_tag").filter(F.length("term") > 0)
+    if by_document:
+        clean = clean.repartition("doc_id")
     return clean.groupBy("doc_id", "sent_id", "pos").agg(F.min(F.struct("term", F.coalesce("pos_tag", F.lit("")).alias("pos_tag"))).alias("t")).select("doc_id", "sent_id", "pos", "t.term", "t.pos_tag")

@@ -74,8 +74,8 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-def _tagged(spark: SparkSession, d: str) -> DataFrame:
-    return tok.corpus(table(spark, d, "tagged_tokens"))
+def _tagged(spark: SparkSession, d: str, by_document: bool = False) -> DataFrame:
+    return tok.corpus(table(spark, d, "tagged_tokens"), by_document)
 
 
 # text layer ----------------------------------------------------------------------------------
@@ -222,7 +222,7 @@ def degrees(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_EDGES}, o AS (SELECT doc_id, src AS term, list(dst ORDER BY ord)[1:4] AS links_out FROM edges GROUP BY 1, 2), i AS (SELECT doc_id, dst AS term, list(src ORDER BY ord)[1:4] AS links_in FROM edges GROUP BY 1, 2)
     SELECT coalesce(o.doc_id, i.doc_id) AS doc_id, coalesce(o.term, i.term) AS term, coalesce(links_in, []) AS links_in, coalesce(links_out, []) AS links_out FROM o FULL JOIN i ON o.doc_id = i.doc_id AND o.term = i.term""")
 def linked_terms(spark: SparkSession, d: str) -> DataFrame:
-    return textrank.linked_terms(textrank.edges(_tagged(spark, d)), 3)
+    return textrank.linked_terms(textrank.edges(_tagged(spark, d, True)), 3)
 
 
 @query(f"WITH {_EDGES}, {_ranks(1)} SELECT doc_id, term, round(score, 6) AS score FROM r1")

@@ -106,3 +106,13 @@ def test_text_keywords_stage_no_passages(spark, monkeypatch):
 
     monkeypatch.setattr(catalog, "staged", refuse)
     assert more_queries.text_keywords(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_linked_terms_shuffle_tokens_once(spark):
+    from quarrymill.operators import tokens
+
+    tagged = spark.createDataFrame([(1, s, i, t, "NN") for s in (0, 1) for i, t in enumerate("abcdeba")], "doc_id long, sent_id int, pos int, term string, pos_tag string")
+    got = textrank.linked_terms(textrank.edges(tokens.corpus(tagged, by_document=True)), 1)
+    assert rows(got) == rows(textrank.linked_terms(textrank.edges(tokens.corpus(tagged)), 1))
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Window") == 0
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
