@@ -94,7 +94,7 @@ def textrank(corpus: DataFrame, window: int = 5, iterations: int = 10, normalise
     keeps each document's scores at length one."""
     if tags is not None:
         corpus = corpus.filter(F.col("pos_tag").isin(*tags))
-    graph = staged(edges(corpus, window), "edges")
+    graph = staged(edges(corpus, window).drop("ord"), "edges")
     sizes = graph.groupBy("doc_id").count()
     total, most = (x or 0 for x in sizes.agg(F.sum("count"), F.max("count")).collect()[0])
     buckets = max(1, total // BUCKET_EDGES + 1)

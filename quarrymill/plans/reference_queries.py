@@ -242,7 +242,7 @@ def textrank_10iter(spark: SparkSession, d: str) -> DataFrame:
     both_results AS (SELECT doc_id, term, tf * log10(n / df) AS score, 0 AS p FROM tf JOIN n USING (doc_id) UNION ALL SELECT doc_id, term, score, 1 FROM r10)
     SELECT doc_id, term, round(arg_max(score, p), 6) AS score FROM both_results GROUP BY 1, 2""")
 def keyword_merge(spark: SparkSession, d: str) -> DataFrame:
-    corpus = _tagged(spark, d)
+    corpus = _tagged(spark, d, True)
     return _score(C.merge_keywords([tfidf.tfidf(corpus, tags=None), textrank.textrank(corpus)]))
 
 

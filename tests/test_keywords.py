@@ -116,3 +116,10 @@ def test_linked_terms_shuffle_tokens_once(spark):
     assert rows(got) == rows(textrank.linked_terms(textrank.edges(tokens.corpus(tagged)), 1))
     assert got._jdf.queryExecution().sparkPlan().toString().count("Window") == 0
     assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
+def test_textrank_stages_edges_without_their_order(spark, monkeypatch):
+    seen, staged = [], textrank.staged
+    monkeypatch.setattr(textrank, "staged", lambda df, name: (seen.append((name, df.columns)), staged(df, name))[1])
+    assert textrank.textrank(corpus(spark, [list("abcde")])).count() == 5
+    assert seen == [("edges", ["doc_id", "src", "dst", "weight"])]
