@@ -23,6 +23,8 @@ ORIGIN = (52.530644, 13.383068)
 KEY_LETTERS = (1, 2, 3, 5, 8, 12, 20)
 #: Different first letters of names up to which only tails that begin with one of them are asked.
 MOST_LETTERS = 5_000
+#: Different beginnings of prefixes that are broadcast; if there are more, shorter ones are taken.
+MOST_STARTS = 100_000
 MAX_DISTANCE_M, MAX_STREETS, MAX_SECTIONS, MIN_LENGTH = 12_500.0, 10, 2, 5
 
 
@@ -151,11 +153,27 @@ def validate_addresses(found: DataFrame, register: DataFrame, max_streets: int =
     return one.unionByName(chosen.join(few, ["doc_id", *key], "left_semi").select(*cols))
 
 
-def entity_prefixes(found: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
-    """``(doc_id, prefix)``: "A", "A B", "A B C" of words without digits, longer than the minimum."""
+def _able_words(min_length: int) -> Column:
+    """Words of ``entity`` without digits, none where even all of them are not longer than the minimum."""
     words = F.filter(F.split("entity", " "), lambda w: ~w.rlike(r"\p{Nd}"))
+    return F.when(F.length(F.array_join(words, " ")) > min_length, words)
+
+
+def _able_prefixes(words: Column, min_length: int) -> Column:
+    """"A", "A B", "A B C" of at least one word, longer than the minimum; each begins with the first of them."""
     prefixes = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, F.lit(1), n), " "))
-    return found.withColumn("_w", words).filter(F.size("_w") > 0).select("doc_id", F.explode(prefixes).alias("prefix")).filter(F.length("prefix") > min_length).distinct()
+    return F.filter(prefixes, lambda p: F.length(p) > min_length)
+
+
+def _prefixes(found: DataFrame, min_length: int) -> DataFrame:
+    """As ``entity_prefixes``, but those that several entities of a document have are repeated."""
+    able = found.select("doc_id", _able_words(min_length).alias("words")).filter(F.col("words").isNotNull())
+    return able.select("doc_id", F.explode(_able_prefixes(F.col("words"), min_length)).alias("prefix"))
+
+
+def entity_prefixes(found: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
+    """``(doc_id, prefix)``: "A", "A B", "A B C" of words without digits, longer than the minimum."""
+    return _prefixes(found, min_length).distinct()
 
 
 def gazetteer(locations: DataFrame) -> DataFrame:
@@ -165,18 +183,40 @@ def gazetteer(locations: DataFrame) -> DataFrame:
 
 def validate_locations(found: DataFrame, places: DataFrame, in_synonyms: bool = False, min_length: int = MIN_LENGTH) -> DataFrame:
     """``(doc_id, prefix, id)``: prefixes of entities that name a gazetteer entry, or with
-    ``in_synonyms`` are contained in its ``synonyms`` (a string, or an array of them), case ignored.
-    Prefixes meet synonyms by their first ``min_length`` + 1 letters, which all of them have."""
-    asked = entity_prefixes(found, min_length).withColumn("key", F.lower("prefix"))
-    named = asked.join(places.select(F.lower("name").alias("key"), "id").distinct(), "key").select("doc_id", "prefix", "id")
-    if not in_synonyms:
-        return named.distinct()
-    size = min_length + 1
+    ``in_synonyms`` are contained in its ``synonyms`` (a string, or an array of them), case ignored."""
+    names = places.select(F.lower("name").alias("key"), "id")
+    # not to be broadcast: Spark takes prefixes for as few as their entities, since it does not count what explode adds
+    named = _prefixes(found, min_length).hint("merge").join(names, F.lower("prefix") == F.col("key")).select("doc_id", "prefix", "id")
+    return (named.unionByName(_prefixes_in_synonyms(found, places, min_length)) if in_synonyms else named).distinct()
+
+
+def _prefixes_in_synonyms(found: DataFrame, places: DataFrame, min_length: int) -> DataFrame:
+    """``(doc_id, prefix, id)``, repeated where a prefix stands several times: prefixes of entities
+    contained in ``synonyms``. All prefixes of an entity begin with its shortest one, so that alone is
+    searched, and the others are compared where it meets. It meets the places of synonyms by a hash
+    of its first letters, as names meet entities in ``name_tails``; only places are asked where some
+    shortest prefix may begin, with the numbers of letters that such prefixes have."""
+    sizes = [min_length + 1, *(n for n in KEY_LETTERS if n > min_length + 1)]
+    words = found.select("doc_id", _able_words(min_length).alias("words")).filter(F.col("words").isNotNull())
+    shortest = words.select("doc_id", "words", F.lower(_able_prefixes(F.col("words"), min_length)[0]).alias("prefix"))
+    size = F.greatest(*[F.when(F.length("prefix") >= n, n).otherwise(sizes[0]) for n in sizes])
+    asked = shortest.select("doc_id", F.array_join("words", " ").alias("entity"), "prefix", size.alias("size"))
+    starts = asked.groupBy(F.substring("prefix", 1, sizes[0]).alias("start")).agg(F.collect_set("size").alias("sizes"), F.max(F.length(F.lower("entity"))).alias("most"))
+    starts, letters = staged(starts, "starts"), sizes[0]
+    first = lambda n: F.substring("start", 1, n)
+    while letters and starts.select(first(letters)).distinct().limit(MOST_STARTS + 1).count() > MOST_STARTS:
+        letters -= 1
+    starts = starts.groupBy(first(letters).alias("start")).agg(F.array_distinct(F.flatten(F.collect_list("sizes"))).alias("sizes"), F.max("most").alias("most"))
     text = F.lower(F.array_join("synonyms", ",") if places.schema["synonyms"].dataType.typeName() == "array" else F.col("synonyms"))
-    written = places.select("id", text.alias("text")).filter(F.length("text") >= size).distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - size + 1), lambda i: F.substring(F.col("text"), i, F.lit(size))))
-    met = asked.withColumn("gram", F.substring("key", 1, size)).join(written.withColumn("gram", F.explode(grams)), "gram").filter(F.contains("text", "key"))
-    return named.unionByName(met.select("doc_id", "prefix", "id")).distinct()
+    written = places.select("id", text.alias("text")).filter(F.length("text") >= sizes[0])
+    at = written.select("id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - sizes[0] + 1)).alias("at"))
+    at = at.withColumn("start", F.substring(F.col("text"), F.col("at"), F.lit(letters))).join(F.broadcast(starts), "start")
+    at = at.select("id", F.substring(F.col("text"), F.col("at"), F.col("most")).alias("tail"), F.explode("sizes").alias("size")).filter(F.length("tail") >= F.col("size"))
+    tails = at.select("id", "tail", F.xxhash64(F.substring(F.col("tail"), F.lit(1), F.col("size"))).alias("key"))
+    asked = asked.select("doc_id", "entity", F.xxhash64(F.substring(F.col("prefix"), F.lit(1), F.col("size"))).alias("key"))
+    # neither to be broadcast: of the tails, too, Spark does not count what explode adds
+    met = asked.hint("merge").join(tails, "key").select("doc_id", "id", "tail", F.explode(_able_prefixes(F.split("entity", " "), min_length)).alias("prefix"))
+    return met.filter(F.startswith("tail", F.lower("prefix"))).select("doc_id", "prefix", "id")
 
 
 def distance_from(lat: Column, lon: Column, origin: tuple[float, float] = ORIGIN) -> Column:

@@ -346,11 +346,16 @@ def address_validate(spark: SparkSession, d: str) -> DataFrame:
     return E.validate_addresses(staged(E.pattern_entities(_documents(spark, d)), "found"), table(spark, d, "addresses").filter(F.col("strnam").isNotNull()))
 
 
-def _named(spark: SparkSession, d: str) -> DataFrame:
-    """Names that documents' keywords give, as entities."""
+def _named_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Names that documents' keywords give, as entities; some are repeated."""
     k = table(spark, d, "keywords").filter(F.col("doc_id").isNotNull() & F.col("keyword").isNotNull())
     p = table(spark, d, "locations").filter(F.col("name").isNotNull())
-    return k.select("doc_id", F.col("keyword").alias("entity")).unionByName(p.select(F.col("id").cast("long").alias("doc_id"), F.concat(F.col("name"), F.lit(" Mitte")).alias("entity"))).distinct()
+    return k.select("doc_id", F.col("keyword").alias("entity")).unionByName(p.select(F.col("id").cast("long").alias("doc_id"), F.concat(F.col("name"), F.lit(" Mitte")).alias("entity")))
+
+
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """Names that documents' keywords give, as entities."""
+    return _named_rows(spark, d).distinct()
 
 
 _NAMED = "named AS (SELECT DISTINCT doc_id, entity FROM (SELECT doc_id, keyword AS entity FROM keywords WHERE doc_id IS NOT NULL AND keyword IS NOT NULL UNION ALL SELECT id AS doc_id, name || ' Mitte' AS entity FROM locations WHERE name IS NOT NULL))"

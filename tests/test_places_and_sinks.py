@@ -96,6 +96,47 @@ def test_locations(spark):
     assert rows(E.locations_near(found, places)) == [(1, "Berlin", 1)]
 
 
+def test_locations_in_synonyms(spark, monkeypatch):
+    """All prefixes of all entities against all synonyms, also where one stands several times, begins
+    inside a word, is followed by more, or differs in case or in letters beyond the basic plane."""
+    entities = ["Linden", "Linden Hof", "Lindenau am See", "linden  hof", "Am 12 Lindenau", "ÄÖÜäöü Straße", "𝒜𝒜𝒜𝒜𝒜𝒜 Hof", "İİİ abc Platz", "ΟΔΟΣ ΑΒΓ Δ", "kurz", "a b c d e f g", "", "Neulindenauer Hofgarten bei der alten Mühle", "12 34", "Quai de la Gare", "(alt) x"]
+    synonyms = ["Linden, Lindenau, Linden Hof", "NEULINDEN HOFGARTEN", "linden  hof;Linden", None, "", "kurz", "äöüÄÖÜ STRAßEN", "x𝒜𝒜𝒜𝒜𝒜𝒜 hof", "i̇i̇i̇ abc platz", "οδος αβγ δε οδος", "a b c d e f gh", "neulindenauer hofgarten bei der alten mühlen, Neulindenauer Hofgarten", "Quai de l'Est|Quai de la", "linden", "[(alt) x]"]
+    found = spark.createDataFrame([(n % 3, e) for n, e in enumerate(entities)], "doc_id long, entity string")
+    places = spark.createDataFrame(list(enumerate(synonyms)), "id int, synonyms string").withColumn("name", F.lit(None).cast("string"))
+    prefixes = {" ".join([w for w in e.split(" ") if not any(c.isdecimal() for c in w)][:k]) for e in entities for k in range(1, len(e) + 2)}
+    low = {r["s"]: r["l"] for r in spark.createDataFrame([(s,) for s in {*prefixes, *filter(None, synonyms)}], "s string").withColumn("l", F.lower("s")).collect()}
+    for least in (0, 1, 5, 8):
+        want = set()
+        for n, e in enumerate(entities):
+            words = [w for w in e.split(" ") if not any(c.isdecimal() for c in w)]
+            for p in (" ".join(words[:k]) for k in range(1, len(words) + 1)):
+                want |= {(n % 3, p, i) for i, s in enumerate(synonyms) if s and len(p) > least and low[p] in low[s]}
+        assert set(rows(E.validate_locations(found, places, in_synonyms=True, min_length=least))) == want
+    monkeypatch.setattr(E, "MOST_STARTS", 2)
+    assert set(rows(E.validate_locations(found, places, in_synonyms=True, min_length=8))) == want
+
+
+def test_synonyms_are_not_broadcast(spark):
+    """What explode makes of many long synonyms does not come to the driver, though Spark takes it for small."""
+    name = lambda n: F.concat(F.lit("Linden"), F.translate(F.md5(n.cast("string")), "0123456789", "ghijklmnop"))
+    found = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(name(F.col("id")), F.lit(" Mitte")).alias("entity"))
+    long = F.concat_ws(", ", *[name(F.col("id") + n) for n in (0, 30_000, 60_000)])
+    places = spark.range(2_000).select(F.col("id"), F.lit("x").alias("name"), long.alias("synonyms"))
+    told = E.validate_locations(found, places, in_synonyms=True)
+    assert told.count() == 2_000
+    counted = told.groupBy().count()
+    counted.collect()
+
+    def broadcast_rows(node):
+        kind = node.getClass().getSimpleName()
+        own = node.metrics().apply("numOutputRows").value() if kind == "BroadcastExchangeExec" else 0
+        inner = node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan() if kind.endswith("QueryStageExec") else None
+        children = node.children()
+        return own + (broadcast_rows(inner) if inner is not None else 0) + sum(broadcast_rows(children.apply(i)) for i in range(children.size()))
+
+    assert broadcast_rows(counted._jdf.queryExecution().executedPlan()) <= 4_000
+
+
 def test_relational_sinks(spark, tmp_path):
     kw = spark.createDataFrame([(1, "a", 0.5), (2, "b", 0.1)], "doc_id long, term string, score double")
     cat = spark.createDataFrame([("a", "m", True, ["o1", "o2"])], "term string, morphem string, iscore boolean, ontologies array<string>")
